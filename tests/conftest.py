@@ -12,6 +12,6 @@ from sigmill.session import build  # noqa: E402
 def spark(tmp_path_factory):
     s = build(cores=4, shuffle_partitions=4, memory="4g")
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+    s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield s
     s.stop()
