@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sigmill.llm import byte_bpe
+from sigmill.llm import byte_bpe, fingerprints
 
-MODULES = [byte_bpe]
+MODULES = [fingerprints, byte_bpe]
 
 
 def queries() -> dict:
