@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sigmill.llm import byte_bpe, fingerprints
+from sigmill.llm import byte_bpe, fingerprints, packing
 
-MODULES = [fingerprints, byte_bpe]
+MODULES = [fingerprints, byte_bpe, packing]
 
 
 def queries() -> dict:
