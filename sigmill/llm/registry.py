@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sigmill.llm import byte_bpe, fingerprints, packing
+from sigmill.llm import byte_bpe, fingerprints, packing, pii
 
-MODULES = [fingerprints, byte_bpe, packing]
+MODULES = [fingerprints, byte_bpe, packing, pii]
 
 
 def queries() -> dict:
