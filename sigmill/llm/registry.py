@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sigmill.llm import byte_bpe, fingerprints, packing, pii
+from sigmill.llm import byte_bpe, fingerprints, packing, pii, toxicity
 
-MODULES = [fingerprints, byte_bpe, packing, pii]
+MODULES = [fingerprints, byte_bpe, packing, toxicity, pii]
 
 
 def queries() -> dict:
