@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sigmill.llm import byte_bpe, fingerprints, packing, pii, toxicity
+from sigmill.llm import byte_bpe, fingerprints, line_dedup, packing, pii, toxicity
 
-MODULES = [fingerprints, byte_bpe, packing, toxicity, pii]
+MODULES = [fingerprints, byte_bpe, packing, toxicity, pii, line_dedup]
 
 
 def queries() -> dict:
