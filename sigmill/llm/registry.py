@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sigmill.llm import byte_bpe, fingerprints, line_dedup, packing, pii, toxicity
+from sigmill.llm import byte_bpe, fingerprints, line_dedup, ngram_join, packing, pii, toxicity
 
-MODULES = [fingerprints, byte_bpe, packing, toxicity, pii, line_dedup]
+MODULES = [fingerprints, byte_bpe, packing, toxicity, ngram_join, pii, line_dedup]
 
 
 def queries() -> dict:
