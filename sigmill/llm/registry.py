@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sigmill.llm import byte_bpe, fingerprints, html_extract, line_dedup, ngram_join, packing, pii, toxicity
+from sigmill.llm import byte_bpe, fingerprints, html_extract, line_dedup, neighbours, ngram_join, packing, pii, toxicity
 
-MODULES = [fingerprints, byte_bpe, packing, toxicity, ngram_join, pii, line_dedup, html_extract]
+MODULES = [fingerprints, byte_bpe, neighbours, packing, toxicity, ngram_join, pii, line_dedup, html_extract]
 
 
 def queries() -> dict:
