@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sigmill.llm import byte_bpe, fingerprints, html_extract, line_dedup, neighbours, ngram_join, packing, pii, toxicity
+import corpus_pipeline
+from sigmill.llm import byte_bpe, fingerprints, html_extract, line_dedup, neighbours, ngram_join, packing, pii, toxicity, url_filters
 
-MODULES = [fingerprints, byte_bpe, neighbours, packing, toxicity, ngram_join, pii, line_dedup, html_extract]
+MODULES = [fingerprints, byte_bpe, neighbours, packing, toxicity, ngram_join, pii, url_filters, line_dedup, html_extract]
 
 
 def queries() -> dict:
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
+    own = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()} | own
