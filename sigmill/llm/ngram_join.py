@@ -15,13 +15,14 @@
 
 Null and empty texts (no words) have no shingles, size 0 and link with nothing: their component is their own doc_id. Texts with
 fewer words than n are one shingle. Rows with equal doc_id are documents of their own; component_id is the smallest
-non-null doc_id of the linked rows. Other columns are ignored. Two different sets are taken as equal if both size and 64-bit
+non-null doc_id of the linked rows; a text that only rows without doc_id hold links with nothing. Other columns are ignored. Two different sets are taken as equal if both size and 64-bit
 sum agree, which for 10**10 documents is expected less than once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ CELLS = 1 << 16
 BLOCK = 64
 #: Ids up to which a set of needed documents is broadcast (8 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
+#: A node is compared with its leader if they meet in one of so many of its shingles; the others are left to the matrix.
+PLAUSIBLE = 50
 #: Words whose hashes a Python worker keeps.
 KEPT_WORDS = 400_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -62,42 +65,63 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's word n-grams; words are parted by ASCII space, A-Z are lower-cased."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(n, len(h))
-    rolled = np.full(len(h) - width + 1, width, dtype=np.uint64)
-    for k in range(width):
-        rolled = _mixed(rolled * _A + h[k : len(h) - width + 1 + k])
-    return np.unique(rolled)
-
-
-def _node(found: np.ndarray) -> int:
-    return int(_mixed(found).sum(dtype=np.uint64).view(np.int64)) if len(found) else 0
+def shingles(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's word n-grams, one text after the other, and where each text's begin
+    (one more number: the end). Words are parted by ASCII space, A-Z are lower-cased."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    starts = np.append(0, np.cumsum(lengths))
+    h = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=starts[-1])
+    full = np.zeros(max(0, len(h) - n + 1), dtype=np.uint64)
+    for k in range(n):
+        full = full * _A + h[k : len(h) - n + 1 + k] if len(full) else full
+    full = _mixed(full + np.uint64(n))
+    each = []
+    for at, length in zip(starts[:-1].tolist(), lengths.tolist()):
+        if length >= n:
+            part = full[at : at + length - n + 1]
+        elif length:
+            part = np.zeros(1, dtype=np.uint64)
+            for k in range(at, at + length):
+                part = part * _A + h[k]
+            part = _mixed(part + np.uint64(length))
+        else:
+            part = full[:0]
+        part.sort()
+        each.append(part)
+    flat = np.concatenate([full[:0], *each])
+    ends = np.append(0, np.cumsum([len(x) for x in each], dtype=np.int64))
+    keep = np.ones(len(flat), dtype=bool)
+    keep[1:] = flat[1:] != flat[:-1]
+    keep[ends[:-1][ends[:-1] < len(flat)]] = True
+    return flat[keep], np.append(0, np.cumsum(keep))[ends]
+
+
+def _nodes(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A set's node: the sum of its mixed hashes."""
+    return np.diff(np.append(np.uint64(0), np.cumsum(_mixed(flat), dtype=np.uint64))[at]).view(np.int64)
 
 
 def _cell(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(48)).astype(np.int64)
 
 
+def _slices(parts: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    for whole in parts:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def _sizes(docs: DataFrame, n: int) -> DataFrame:
     """Rows of kind 0: (doc_id, node, size); of kind 1: (cell, count) of each task's shingles."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "id", "node", "size"]
         cells = np.zeros(CELLS, dtype=np.int64)
-        for part in parts:
-            nodes, sizes, held = [], [], []
-            for cell in part.column(1):
-                found = shingles(cell.as_py(), n)
-                nodes.append(_node(found))
-                sizes.append(len(found))
-                held.append(_cell(found))
-            cells += np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *held]), minlength=CELLS)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(nodes), pa.int32()), part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], names)
+        for part in _slices(parts):
+            flat, at = shingles(part.column(1).to_pylist(), n)
+            cells += np.bincount(_cell(flat), minlength=CELLS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at) - 1, dtype=np.int32)), part.column(0), pa.array(_nodes(flat, at)), pa.array(np.diff(at))], names)
         some = np.flatnonzero(cells)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array([1] * len(some), pa.int32()), pa.array(some), pa.array([0] * len(some), pa.int64()), pa.array(cells[some])], names)
@@ -110,21 +134,17 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
-        for whole in parts:
-            for at in range(0, whole.num_rows, 500):
-                tokens, nodes, sizes = [], [], []
-                for cell in whole.slice(at, 500).column(1):
-                    found = shingles(cell.as_py(), n)
-                    if not len(found):
-                        continue
-                    keep = len(found) - (percent * len(found) + 99) // 100 + 1
-                    order = np.lexsort((found, rank[_cell(found)]))
-                    tokens.append(found[order[:keep]].view(np.int64))
-                    nodes.append(np.full(keep, _node(found)))
-                    sizes.append(np.full(keep, len(found)))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes)], ["token", "node", "size"])
+        rank = np.minimum(shared.value, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)
+        for part in _slices(parts):
+            flat, at = shingles(part.column(1).to_pylist(), n)
+            # cell counts first, then the hashes themselves, as one number
+            order = rank[_cell(flat)] | flat >> np.uint64(24)
+            size = np.diff(at)
+            keep = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
+            chosen = [b + np.argpartition(order[b:e], k - 1)[:k] for b, e, k in zip(at[:-1].tolist(), at[1:].tolist(), keep.tolist()) if k]
+            if chosen:
+                columns = flat[np.concatenate(chosen)].view(np.int64), np.repeat(_nodes(flat, at), keep), np.repeat(size, keep)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "node", "size"])
 
     return docs.select("text").withColumn("doc_id", F.lit(0)).select("doc_id", "text").mapInArrow(batches, "token long, node long, size long")
 
@@ -136,20 +156,22 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     rows = docs.join(wanted, "doc_id").select("node", "text")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in parts:
-            for at in range(0, whole.num_rows, 1000):
-                nodes, sets = [], []
-                part = whole.slice(at, 1000)
-                for node, cell in zip(part.column(0).to_pylist(), part.column(1)):
-                    found = shingles(cell.as_py(), n)
-                    if _node(found) == node:  # another row may have the same doc_id
-                        nodes.append(node)
-                        sets.append(found.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+        for part in _slices(parts):
+            flat, at = shingles(part.column(1).to_pylist(), n)
+            same = _nodes(flat, at) == part.column(0).to_numpy()  # another row may have the same doc_id
+            sets = pa.array([flat[b:e].tobytes() for b, e in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), sets], ["node", "shingles"]).filter(pa.array(same))
 
     return rows.mapInArrow(batches, "node long, shingles binary")
 
 
+def _loaded(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The sets of the wanted nodes, once each."""
+    wanted = written(wanted.select("doc_id", "node"))
+    sets = written(_sets(docs, wanted, n))
+    return sets if sets.count() <= wanted.count() else sets.dropDuplicates(["node"])  # rows that repeat both doc_id and text
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     both = np.concatenate([a, b])
     both.sort()
@@ -247,11 +269,11 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     # each node against the leader of most of its buckets
     met = bucketed.where((F.col("node") != F.col("leader")) & _fits(F.col("size"), F.col("leader_size"), percent))
-    best = met.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "leader")).alias("m"))
-    stars = best.select("node", "m.leader")
-    one = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size")).where("doc_id is not null and size > 0")
-    needed = bucketed.select("node").distinct().join(one, "node").select("doc_id", "node")
-    sets = written(_sets(docs, needed, n).dropDuplicates(["node"]))
+    best = met.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"), F.min("size").alias("size")).where(F.col("times") * PLAUSIBLE >= F.col("size"))
+    stars = written(best.groupBy("node").agg(F.max(F.struct("times", "leader")).alias("m")).select("node", "m.leader"))
+    one = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("size").alias("size")).where("doc_id is not null and size > 0").select("doc_id", "node")
+    compared = stars.select("node").unionAll(stars.select("leader")).distinct()
+    sets = _loaded(docs, compared.join(one, "node"), n)
     led = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("led"))
     leaders = stars.select("leader").distinct()
     links = written(_verified(sets.join(stars, "node").join(led.join(leaders, "leader", "left_semi"), "leader"), percent))
@@ -262,7 +284,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         up = groups.select(F.col("node").alias("grp"), F.col("grp").alias("up"))
         groups = written(groups.join(up, "grp", "left").select("node", F.coalesce("up", "grp").alias("grp")))
     members = bucketed.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    shape = needed.select("node").join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node")).groupBy("grp").agg(F.count(F.lit(1)).alias("held"))
+    shape = bucketed.select("node").distinct().join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node")).groupBy("grp").agg(F.count(F.lit(1)).alias("held"))
     mixed = members.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 < g1").select("token")
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("held") / BLOCK)).cast("int")
     open_rows = written(members.join(mixed, "token").join(shape, "grp").withColumn("block", block).select("token", "node", "size", "grp", "held", "block"))
@@ -276,9 +298,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = q.join(matrix, "token").where(smaller & near).groupBy("node", "size", "grp", "block").agg(F.count(F.lit(1)).alias("shared"))
     chosen = found.join(ranges, ["grp", "block"]).where(F.col("shared") >= _least_shared(F.col("size"), F.col("low"), F.col("high"), percent)).select("node", "grp", "block")
     chosen = written(chosen)
-    asked = chosen.join(sets, "node").select("grp", "block", "node", "shingles").toDF("grp", "block", "node", "shingles")
-    in_block = open_rows.select("node", "grp", "block").distinct().join(chosen.select("grp", "block").distinct(), ["grp", "block"], "left_semi").join(sets, "node")
-    in_block = in_block.select("grp", "block", "node", "shingles").toDF("grp", "block", "node", "shingles")
+    inside = written(open_rows.select("node", "grp", "block").distinct().join(chosen.select("grp", "block").distinct(), ["grp", "block"], "left_semi"))
+    missing = inside.select("node").unionAll(chosen.select("node")).distinct().join(compared, "node", "left_anti")
+    sets = sets.unionAll(_loaded(docs, missing.join(one, "node"), n))
+    asked, in_block = [x.join(sets, "node").select("grp", "block", "node", "shingles").toDF("grp", "block", "node", "shingles") for x in (chosen, inside)]
     more = _opened(asked, in_block, percent)
 
     edges = links.selectExpr("node as a", "leader as b").unionAll(more)
