@@ -5,12 +5,12 @@
    what many documents share stands last.
 2. Prefix filter: two sets at or above the threshold share one of their first n - ceil(t*n) + 1 shingles.
    Each such shingle is a bucket of nodes; its leader is the node with the smallest hash.
-3. Every node is compared with the leader it meets most often: as many pairs as nodes. Those that link form
-   the groups, cut into blocks of about BLOCK nodes.
+3. Every node is compared with the leader it meets most often: as many pairs as nodes. Nodes with one leader form
+   a group of like texts, cut into blocks of about BLOCK nodes; those that link with it are connected already.
 4. Token-group matrix: a block stores the union of its members' prefix shingles, with its range of sizes. A
-   node of another group is a query; the number of its prefix shingles in the union bounds its overlap with
-   each member from above, and only blocks whose bound reaches the threshold are opened. No candidate is
-   lost: within a group all nodes are connected already, and between groups the bound is exact.
+   node is a query to the blocks that hold nodes it isn't connected with yet; the number of its prefix
+   shingles in a block's union bounds its overlap with each member from above, and only blocks whose bound
+   reaches the threshold are opened. The bound is exact, so no link is lost.
 5. Components over the links, by label propagation with shortcuts.
 
 Null and empty texts (no words) have no shingles, size 0 and link with nothing: their component is their own doc_id. Texts with
@@ -36,7 +36,7 @@ from sigmill.llm.shared import table, written
 #: Cells of the shingle counts: a fixed number, whatever the input.
 CELLS = 1 << 16
 #: Nodes in a block of a group.
-BLOCK = 64
+BLOCK = 256
 #: Ids up to which a set of needed documents is broadcast (8 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 #: A node is compared with its leader if they meet in one of so many of its shingles; the others are left to the matrix.
@@ -212,26 +212,48 @@ def _least_shared(query: Column, low: Column, high: Column, percent: int) -> Col
 
 
 def _opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the queries of each block and its members; one for each query and block is enough."""
+    """Links (a, b) between the queries of each block and its members: one for each component of members that a query meets."""
 
     def compare(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        if not len(q) or not len(m):
+            return none
         sets = [np.frombuffer(x, dtype=np.uint64) for x in m["shingles"]]
-        union = np.unique(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
+        sizes, comps, nodes = np.array([len(x) for x in sets]), m["comp"].to_numpy(), m["node"].to_numpy()
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        holder = np.repeat(np.arange(len(sets)), sizes)[order]
+        union, first = np.unique(flat[order], return_index=True)
+        first = np.append(first, len(flat))
         out = []
-        for node, x in zip(q["node"], q["shingles"]):
+        for node, comp, x in zip(q["node"], q["comp"], q["shingles"]):
             s = np.frombuffer(x, dtype=np.uint64)
-            if 100 * _common(s, union) < percent * len(s):
+            at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+            at = at[union[at] == s]
+            if 100 * len(at) < percent * len(s):
                 continue
-            for other, t in zip(m["node"], sets):
-                if _link(s, t, percent):
-                    out.append((node, other))
-                    break
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            # the overlap with every member at once
+            widths = first[at + 1] - first[at]
+            held = holder[np.repeat(first[at] - np.append(0, np.cumsum(widths)[:-1]), widths) + np.arange(widths.sum())]
+            common = np.bincount(held, minlength=len(sets))
+            linked = (100 * common >= percent * (sizes + len(s) - common)) & (comps != comp) & (nodes != node)
+            for other in dict(zip(comps[linked], nodes[linked])).values():
+                out.append((node, other))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64") if out else none
 
     keys = ["grp", "block"]
     return queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(compare, "a long, b long")
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, root) along (node, leader): some rounds of shortcuts, which may end short of the root; then there are more roots than needed."""
+    out = parents.select("node", F.col("leader").alias("root"))
+    for _ in range(3):
+        up = out.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        out = written(out.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the undirected edges (a, b): the smallest node of its component.
 
@@ -278,30 +300,31 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     leaders = stars.select("leader").distinct()
     links = written(_verified(sets.join(stars, "node").join(led.join(leaders, "leader", "left_semi"), "leader"), percent))
 
-    # groups: along the links to the root; the rounds left out would only make groups smaller
-    groups = links.select("node", F.col("leader").alias("grp"))
-    for _ in range(3):
-        up = groups.select(F.col("node").alias("grp"), F.col("grp").alias("up"))
-        groups = written(groups.join(up, "grp", "left").select("node", F.coalesce("up", "grp").alias("grp")))
-    members = bucketed.join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    shape = bucketed.select("node").distinct().join(groups, "node", "left").withColumn("grp", F.coalesce("grp", "node")).groupBy("grp").agg(F.count(F.lit(1)).alias("held"))
-    mixed = members.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 < g1").select("token")
+    # groups of like nodes along the stars, and what is known to be connected along the links
+    groups, linked = _roots(stars).withColumnRenamed("root", "grp"), _roots(links).withColumnRenamed("root", "comp")
+    nodes = bucketed.select("node").distinct().join(groups, "node", "left").join(linked, "node", "left")
+    nodes = nodes.select("node", F.coalesce("grp", "node").alias("grp"), F.coalesce("comp", "node").alias("comp"))
+    shape = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("held"))
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("held") / BLOCK)).cast("int")
-    open_rows = written(members.join(mixed, "token").join(shape, "grp").withColumn("block", block).select("token", "node", "size", "grp", "held", "block"))
+    nodes = written(nodes.join(shape, "grp").withColumn("block", block))
+    members = bucketed.select("token", "node", "size").join(nodes, "node")
+    mixed = members.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
+    open_rows = written(members.join(mixed, "token").select("token", "node", "size", "grp", "held", "block", "comp"))
 
-    # the token-group matrix against the queries of smaller groups
-    matrix = open_rows.groupBy("token", "grp", "block", "held").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    # the token-group matrix against the queries; of two blocks, the nodes of the smaller group ask
+    matrix = open_rows.groupBy("token", "grp", "block", "held").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     ranges = open_rows.groupBy("grp", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    q = open_rows.select("token", "node", "size", F.col("grp").alias("own"), F.col("held").alias("own_held"))
-    smaller = (F.col("own_held") < F.col("held")) | ((F.col("own_held") == F.col("held")) & (F.col("own") < F.col("grp")))
+    q = open_rows.select("token", "node", "size", "comp", F.col("grp").alias("own"), F.col("held").alias("own_held"), F.col("block").alias("own_block"))
+    asks = F.struct("own_held", "own", "own_block") <= F.struct("held", "grp", "block")
+    other = ~((F.col("c0") == F.col("comp")) & (F.col("c1") == F.col("comp")))
     near = (100 * F.col("high") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("low"))
-    found = q.join(matrix, "token").where(smaller & near).groupBy("node", "size", "grp", "block").agg(F.count(F.lit(1)).alias("shared"))
-    chosen = found.join(ranges, ["grp", "block"]).where(F.col("shared") >= _least_shared(F.col("size"), F.col("low"), F.col("high"), percent)).select("node", "grp", "block")
+    found = q.join(matrix, "token").where(asks & other & near).groupBy("node", "size", "comp", "grp", "block").agg(F.count(F.lit(1)).alias("shared"))
+    chosen = found.join(ranges, ["grp", "block"]).where(F.col("shared") >= _least_shared(F.col("size"), F.col("low"), F.col("high"), percent)).select("node", "comp", "grp", "block")
     chosen = written(chosen)
-    inside = written(open_rows.select("node", "grp", "block").distinct().join(chosen.select("grp", "block").distinct(), ["grp", "block"], "left_semi"))
+    inside = written(open_rows.select("node", "comp", "grp", "block").distinct().join(chosen.select("grp", "block").distinct(), ["grp", "block"], "left_semi"))
     missing = inside.select("node").unionAll(chosen.select("node")).distinct().join(compared, "node", "left_anti")
     sets = sets.unionAll(_loaded(docs, missing.join(one, "node"), n))
-    asked, in_block = [x.join(sets, "node").select("grp", "block", "node", "shingles").toDF("grp", "block", "node", "shingles") for x in (chosen, inside)]
+    asked, in_block = [x.join(sets, "node").select("grp", "block", "node", "comp", "shingles").toDF("grp", "block", "node", "comp", "shingles") for x in (chosen, inside)]
     more = _opened(asked, in_block, percent)
 
     edges = links.selectExpr("node as a", "leader as b").unionAll(more)
