@@ -1,6 +1,7 @@
 """Every registered query of the reference's operators against its SQL in DuckDB."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 from sigmill import plans
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 
 
 def rows(columns, values):
@@ -25,11 +26,15 @@ def db():
     return con
 
 
+#: Tested against brute force in test_similarity.py.
+WITHOUT_SQL = {"jaro_winkler", "fuzzy_best"}
+
+
 def test_all_have_sql():
-    assert set(plans.queries()) == set(plans.oracle_sql())
+    assert set(plans.queries()) - WITHOUT_SQL == set(plans.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(plans.queries()))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_query_equals_sql(name, spark, db):
     found = plans.queries()[name](spark, DATA)
     want = db.execute(plans.oracle_sql()[name])
