@@ -1,15 +1,16 @@
 """Toxicity by weak supervision.
 
-1. Candidate terms (words, and the first letters of words) are counted over all labelled training rows in
-   Spark; those that toxic rows hold far more often become lexicons, dealt by strength to LEXICONS voters.
+1. Learning reads a bounded sample of labelled training rows (TRAINING_ROWS, by hash of doc_id). Of near copies among
+   them one is read: the rare words of one text with many copies would otherwise look like a lexicon.
+   Terms (words, and the first letters of words) are counted over these rows in Spark; those that toxic rows hold
+   more often than chance allows become LEXICONS lexicons by their odds, one voter each.
    Patterns over the text (shouting, second person with an insult's punctuation, symbol noise) vote too.
-2. A generative model of the votes, fitted by expectation maximisation on a bounded sample of training rows,
-   estimates each voter's accuracy in either class and the correlation of each pair of voters within a class;
+2. A generative model of the votes, fitted by expectation maximisation, estimates each voter's accuracy in either class and the correlation of each pair of voters within a class;
    a voter counts the less, the more others repeat it. Labels of training rows start and anchor the model.
 3. A logistic regression over term presence is trained on the model's posterior labels and scores every text.
 
 Only rows whose crc32(doc_id as text) mod 4 is not HELD_OUT are read with labels. lang, source and doc_id are no
-inputs of a score. Null and empty texts get the score of a text without terms, which is low. Every row is
+inputs of a score. Rows that repeat a doc_id are read as they are. Null and empty texts get the score of a text without terms, which is low. Every row is
 scored, repeated ones and those with null doc_id (never held out, never labelled) included. Without any toxic label, all scores are 0. Other columns are ignored.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from sigmill.llm.ngram_join import shingles
 from sigmill.llm.shared import table
 
 HELD_OUT = 2
@@ -32,8 +34,12 @@ THRESHOLD = 0.3
 LEXICONS = 12
 #: Terms that may enter the lexicons and the classifier.
 MOST_TERMS = 6000
-#: Labelled training rows, of either class, from which the label model and the classifier are fitted: those whose hash of doc_id is smallest.
-SAMPLE_ROWS = 20000
+#: Labelled rows outside the held-out part, of either class, that are learned from: those whose hash of doc_id is smallest.
+TRAINING_ROWS = 40000
+#: Smallest evidence for a term, in nats (the log-likelihood ratio of its toxic share against that of all rows): with a million terms, chance passes less than one.
+LEAST_EVIDENCE = 14.0
+#: Minimum hashes of a text's word trigrams; texts that share one are taken as copies when rows are chosen to learn from.
+SKETCHES = 8
 #: Length of the word beginnings that count as terms.
 STEMS = (4, 6)
 
@@ -64,38 +70,55 @@ def held_out(doc_id):
 
 
 def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of labelled rows outside the held-out part; one label a document, the larger where several differ."""
+    """(doc_id, text, toxic) of up to TRAINING_ROWS labelled documents outside the held-out part; one label a document, the larger where several differ."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+
+
+def _sketches(texts: list[str]) -> list[list[int]]:
+    """SKETCHES minimum hashes of the word trigrams of each text; the same ones for all texts without words."""
+    flat, at = shingles(texts, 3)
+    factors = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    none = [0] * SKETCHES
+    return [[int((flat[b:e] * f).min() >> np.uint64(1)) for f in factors] if e > b else none for b, e in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def _terms(training: DataFrame) -> DataFrame:
-    """(doc_id, toxic, terms, hits): the distinct terms of each text and which patterns it has."""
+    """(doc_id, toxic, terms, hits, sketches): the distinct terms of each text, which patterns it has, and its sketches."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = part.column(1).to_pylist()
             terms = pa.array([sorted(terms_of(t)) for t in texts], pa.list_(pa.string()))
             hits = pa.array([[bool(p.search(t)) for p in _PATTERNS] for t in texts], pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), terms, hits], ["doc_id", "toxic", "terms", "hits"])
+            sketches = pa.array(_sketches(texts), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), terms, hits, sketches], ["doc_id", "toxic", "terms", "hits", "sketches"])
+
+    return training.select("doc_id", "text", "toxic").mapInArrow(batches, "doc_id long, toxic int, terms array<string>, hits array<boolean>, sketches array<long>")
+
 
-    return training.select("doc_id", "text", "toxic").mapInArrow(batches, "doc_id long, toxic int, terms array<string>, hits array<boolean>")
+def _originals(terms: DataFrame) -> DataFrame:
+    """The rows of ``terms`` that are first, by doc_id, among those that share any one sketch with them; at most TRAINING_ROWS ids."""
+    first = terms.select("doc_id", F.posexplode("sketches").alias("k", "sketch")).groupBy("k", "sketch").agg(F.min("doc_id").alias("doc_id"))
+    kept = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") == SKETCHES).select("doc_id")
+    return terms.join(F.broadcast(kept), "doc_id")
 
 
-def mine(terms: DataFrame, least: int = 4) -> list[tuple[str, float]]:
-    """Terms that toxic rows hold more often, with their log odds, strongest first; at most MOST_TERMS."""
+def mine(terms: DataFrame) -> list[tuple[str, float]]:
+    """Terms that toxic rows hold more often than chance allows, with their log odds, strongest evidence first; at most MOST_TERMS."""
     sizes = terms.agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
-    pos, neg = float(sizes.p or 0), float(sizes.n - (sizes.p or 0))
-    if not pos:
+    if not sizes.p or sizes.p == sizes.n:
         return []
+    share = float(sizes.p) / float(sizes.n)
     each = terms.select("toxic", F.explode("terms").alias("term"))
-    counts = each.groupBy("term").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).where(F.col("p") >= least)
-    odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("p") + 0.5) / (neg + 1))
-    # the gain's lower bound: a term seen in few rows needs larger odds
-    bound = odds - 2.5 * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") - F.col("p") + 0.5))
-    strong = counts.select("term", odds.alias("odds"), (bound * F.sqrt("p")).alias("rank")).where(bound > 0.8)
-    return [(r.term, r.odds) for r in strong.orderBy(F.desc("rank"), "term").limit(MOST_TERMS).collect()]
+    counts = each.groupBy("term").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).where(F.col("p") > share * F.col("n"))
+    clean = F.col("n") - F.col("p")
+    evidence = F.col("p") * F.log(F.col("p") / (share * F.col("n"))) + F.when(clean > 0, clean * F.log(clean / ((1 - share) * F.col("n")))).otherwise(0.0)
+    odds = F.log((F.col("p") + 0.5) / (clean + 0.5)) - F.lit(float(np.log(share / (1 - share))))
+    strong = counts.select("term", odds.alias("odds"), evidence.alias("evidence")).where(F.col("evidence") >= LEAST_EVIDENCE)
+    return [(r.term, r.odds) for r in strong.orderBy(F.desc("evidence"), "term").limit(MOST_TERMS).collect()]
 
 
 def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 20) -> np.ndarray:
@@ -146,13 +169,14 @@ def _logistic(columns: list[np.ndarray], size: int, goal: np.ndarray, rounds: in
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Learns from the labelled training rows; None where no toxic one is among them."""
-    terms = _terms(_training(docs, labels)).persist()
+    read = _terms(_training(docs, labels)).persist()
     try:
+        terms = _originals(read)
         found = mine(terms)
         if not found:
             return None
         index = {t: i for i, (t, _) in enumerate(found)}
-        # rows come as indexes of mined terms only; the sample's size is fixed
+        # rows come as indexes of mined terms only; their number is bounded
         spark = docs.sparkSession
         shared = spark.sparkContext.broadcast(index)
 
@@ -162,16 +186,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 ids = [[of[t] for t in ts if t in of] for ts in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), part.column(2)], ["toxic", "ids", "hits"])
 
-        sample = terms.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-        rows = sample.select("toxic", "terms", "hits").mapInArrow(pick, "toxic int, ids array<int>, hits array<boolean>").collect()
+        rows = terms.select("toxic", "terms", "hits").mapInArrow(pick, "toxic int, ids array<int>, hits array<boolean>").collect()
     finally:
-        terms.unpersist()
+        read.unpersist()
     known = np.array([r.toxic for r in rows])
     ids = [np.array(r.ids, dtype=np.int64) for r in rows]
     hits = np.array([r.hits for r in rows], dtype=float)
+    # terms of like odds form one voter: a weak one isn't taken for as sure as a strong one
+    voter = np.empty(len(found), dtype=np.int64)
+    voter[np.argsort([-o for _, o in found], kind="stable")] = np.arange(len(found)) * LEXICONS // len(found)
     lexicon = np.zeros((len(rows), LEXICONS))
     for k, x in enumerate(ids):
-        lexicon[k, np.unique(x % LEXICONS)] = 1
+        lexicon[k, np.unique(voter[x])] = 1
     post = label_model(np.hstack([lexicon, hits]), known)
     size = len(found) + len(PATTERNS)
     columns = [np.concatenate([x, len(found) + np.flatnonzero(h)]) for x, h in zip(ids, hits)]
