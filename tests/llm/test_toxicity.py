@@ -41,6 +41,20 @@ def test_held_out_rows_are_found(spark, documents):
     assert got[5000] == got[5001] < 0.3 and 0 <= got[5002] <= 1 and got[None] > 0.3
 
 
+def test_words_of_copied_texts_are_no_lexicon(spark, documents):
+    data = rows(900)
+    own = ["".join(random.choices("stuvwxyz", k=8)) for _ in range(60)]
+    ids = [i for i in range(2000, 2200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    copies = [(i, " ".join([*own[: i % 50], f"edit{i}", *own[i % 50 :], BAD[0]]), 1) for i in ids]
+    clean = [(4000 + k, " ".join(random.choices(WORDS, k=30) + own[5 * k : 5 * k + 5])) for k in range(12)]
+    docs = documents([(i, t) for i, t, _ in data + copies] + clean)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in data + copies], "doc_id long, quality int, toxic int")
+    model = tx.fit(docs, labels)
+    assert not model.terms.keys() & set(own) and model.terms.keys() >= set(BAD)
+    got = {r.doc_id: r.toxic_score for r in tx.scored(docs, model).collect()}
+    assert max(got[i] for i, _ in clean) < 0.3 and all(got[i] >= 0.3 for i in ids)
+
+
 def test_small_tables(spark, documents):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert tx.fit(documents([(1, "a")]), empty) is None
