@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
-1. Learning reads a bounded sample of labelled training rows (TRAINING_ROWS, by hash of doc_id). Of near copies among
-   them one is read: the rare words of one text with many copies would otherwise look like a lexicon.
+1. Learning reads a bounded sample of labelled training rows (TRAINING_ROWS, by hash of doc_id). Of near copies with one
+   label among them (word-trigram Jaccard of about NEAR or more) the first by doc_id is read: the rare words of one text with many
+   copies would otherwise look like a lexicon. Texts that only share passages are all read.
    Terms (words, and the first letters of words) are counted over these rows in Spark; those that toxic rows hold
    more often than chance allows become LEXICONS lexicons by their odds, one voter each.
    Patterns over the text (shouting, second person with an insult's punctuation, symbol noise) vote too.
@@ -11,7 +12,8 @@
 
 Only rows whose crc32(doc_id as text) mod 4 is not HELD_OUT are read with labels. lang, source and doc_id are no
 inputs of a score. Rows that repeat a doc_id are read as they are. Null and empty texts get the score of a text without terms, which is low. Every row is
-scored, repeated ones and those with null doc_id (never held out, never labelled) included. Without any toxic label, all scores are 0. Other columns are ignored.
+scored, repeated ones and those with null doc_id (never held out, never labelled) included. Without any toxic label, all scores are 0;
+where no term is beyond chance, patterns and the intercept are fitted alone. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ MOST_TERMS = 6000
 TRAINING_ROWS = 40000
 #: Smallest evidence for a term, in nats (the log-likelihood ratio of its toxic share against that of all rows): with a million terms, chance passes less than one.
 LEAST_EVIDENCE = 14.0
-#: Minimum hashes of a text's word trigrams; texts that share one are taken as copies when rows are chosen to learn from.
-SKETCHES = 8
+#: Minimum hashes of a text's word trigrams, and how many of them form a band: rows are compared where they share a band.
+SKETCHES, BAND = 64, 4
+#: Share of equal sketches (which estimates the Jaccard of the trigrams) from which two rows with one label are near copies.
+NEAR = 0.8
 #: Length of the word beginnings that count as terms.
 STEMS = (4, 6)
 
@@ -77,12 +81,20 @@ def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
 
 
-def _sketches(texts: list[str]) -> list[list[int]]:
-    """SKETCHES minimum hashes of the word trigrams of each text; the same ones for all texts without words."""
+_FACTORS = np.random.default_rng(8).integers(0, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _sketches(texts: list[str]) -> np.ndarray:
+    """SKETCHES minimum hashes of the word trigrams of each text, a row each; zeros for all texts without words."""
     flat, at = shingles(texts, 3)
-    factors = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    none = [0] * SKETCHES
-    return [[int((flat[b:e] * f).min() >> np.uint64(1)) for f in factors] if e > b else none for b, e in zip(at[:-1].tolist(), at[1:].tolist())]
+    out = np.zeros((len(texts), SKETCHES), dtype=np.uint32)
+    some = np.flatnonzero(at[1:] > at[:-1])
+    if len(some):
+        for k, f in enumerate(_FACTORS):
+            h = flat * f
+            h = (h ^ (h >> np.uint64(32))) * f
+            out[some, k] = np.minimum.reduceat(h ^ (h >> np.uint64(29)), at[:-1][some]) & np.uint64(0xFFFFFFFF)
+    return out
 
 
 def _terms(training: DataFrame) -> DataFrame:
@@ -93,17 +105,35 @@ def _terms(training: DataFrame) -> DataFrame:
             texts = part.column(1).to_pylist()
             terms = pa.array([sorted(terms_of(t)) for t in texts], pa.list_(pa.string()))
             hits = pa.array([[bool(p.search(t)) for p in _PATTERNS] for t in texts], pa.list_(pa.bool_()))
-            sketches = pa.array(_sketches(texts), pa.list_(pa.int64()))
+            sketches = pa.array([x.tobytes() for x in _sketches(texts)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), terms, hits, sketches], ["doc_id", "toxic", "terms", "hits", "sketches"])
 
-    return training.select("doc_id", "text", "toxic").mapInArrow(batches, "doc_id long, toxic int, terms array<string>, hits array<boolean>, sketches array<long>")
+    return training.select("doc_id", "text", "toxic").mapInArrow(batches, "doc_id long, toxic int, terms array<string>, hits array<boolean>, sketches binary")
+
+
+def first_copies(ids: np.ndarray, toxic: np.ndarray, sketches: np.ndarray) -> set[int]:
+    """The ids of rows that are no near copy of an earlier row that stays, by id, with the same label. Rows that share an id are no copies of each other."""
+    kept: set[int] = set()
+    bands: dict[tuple, list[int]] = {}
+    for k in np.argsort(ids, kind="stable").tolist():
+        keys = [(toxic[k], b, sketches[k, b : b + BAND].tobytes()) for b in range(0, SKETCHES, BAND)]
+        like = np.array(sorted({x for key in keys for x in bands.get(key, ())}), dtype=np.int64)
+        like = like[ids[like] != ids[k]]
+        if len(like) and (sketches[like] == sketches[k]).mean(axis=1).max() >= NEAR:
+            continue
+        kept.add(int(ids[k]))
+        for key in keys:
+            bands.setdefault(key, []).append(k)
+    return kept
 
 
 def _originals(terms: DataFrame) -> DataFrame:
-    """The rows of ``terms`` that are first, by doc_id, among those that share any one sketch with them; at most TRAINING_ROWS ids."""
-    first = terms.select("doc_id", F.posexplode("sketches").alias("k", "sketch")).groupBy("k", "sketch").agg(F.min("doc_id").alias("doc_id"))
-    kept = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") == SKETCHES).select("doc_id")
-    return terms.join(F.broadcast(kept), "doc_id")
+    """The rows of ``terms`` without near copies; TRAINING_ROWS documents of SKETCHES numbers at most come to the driver."""
+    read = terms.select("doc_id", "toxic", "sketches").toArrow()
+    sketches = np.frombuffer(b"".join(read.column(2).to_pylist()), dtype=np.uint32).reshape(-1, SKETCHES)
+    kept = first_copies(read.column(0).to_numpy(), read.column(1).to_numpy(), sketches)
+    ids = terms.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(sorted(kept), pa.int64())}))
+    return terms.join(F.broadcast(ids), "doc_id")
 
 
 def mine(terms: DataFrame) -> list[tuple[str, float]]:
@@ -171,10 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Learns from the labelled training rows; None where no toxic one is among them."""
     read = _terms(_training(docs, labels)).persist()
     try:
+        if not read.where("toxic > 0").head(1):
+            return None
         terms = _originals(read)
         found = mine(terms)
-        if not found:
-            return None
         index = {t: i for i, (t, _) in enumerate(found)}
         # rows come as indexes of mined terms only; their number is bounded
         spark = docs.sparkSession

@@ -55,6 +55,30 @@ def test_words_of_copied_texts_are_no_lexicon(spark, documents):
     assert max(got[i] for i, _ in clean) < 0.3 and all(got[i] >= 0.3 for i in ids)
 
 
+def test_only_near_copies_with_one_label_are_left_out(spark, documents):
+    rng = random.Random(7)
+    shared = "one common passage that many rows of either label hold"
+    own = [" ".join([*rng.choices(WORDS, k=40), shared, *rng.choices(WORDS, k=40)]) for _ in range(30)]
+    base = rng.choices(WORDS, k=80)
+    near = [" ".join([*base[:40], f"edit{k}", *base[40:]]) for k in range(3)]
+    data = [(i, t, i % 2) for i, t in enumerate(own)] + [(100, near[0], 0), (101, near[1], 0), (102, near[2], 1), (103, "", 0), (104, None, 0), (105, "two words", 0)]
+    data = [(i, t, y, "" if t is None else t) for i, t, y in data]
+    training = spark.createDataFrame([(i, t, y) for i, _, y, t in data], "doc_id long, text string, toxic int")
+    kept = {r.doc_id for r in tx._originals(tx._terms(training)).collect()}
+    assert kept == {*range(30), 100, 102, 103, 105}
+
+
+def test_patterns_are_fitted_where_no_term_is_mined(spark, documents):
+    data = [(i, f"a{i} b{i}" + (" YOU!!" if i < 5 else ""), int(i < 5)) for i in range(40)]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][:40]
+    docs = documents([(ids[i], t) for i, t, _ in data])
+    labels = spark.createDataFrame([(ids[i], 1, y) for i, _, y in data], "doc_id long, quality int, toxic int")
+    model = tx.fit(docs, labels)
+    assert model is not None and not model.terms
+    got = {r.doc_id: r.toxic_score for r in tx.scored(docs, model).collect()}
+    assert min(got[ids[i]] for i in range(5)) > max(got[ids[i]] for i in range(5, 40))
+
+
 def test_small_tables(spark, documents):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert tx.fit(documents([(1, "a")]), empty) is None
