@@ -48,9 +48,10 @@ ODD = re.compile(f"[{re.escape(''.join(LOOKALIKES) + ''.join(INVISIBLE))}\uff01-
 #: Two digits or more in a row, spelled or not; a plus or "plus" may stand before.
 RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ ]|\+[ ]?)?{_DIGIT}(?:[ ]?[-. (),]?[ ]?(?:dot[ ])?{_DIGIT})+(?![A-Za-z0-9])", re.I)
 SPELLED_WORD = re.compile(r"(?<![A-Za-z])(?:zero|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])", re.I)
-AT = re.compile(r"[ ]?[\[({<][ ]?at[ ]?[\])}>][ ]?|(?<=[A-Za-z0-9])[ ]at[ ](?=[A-Za-z0-9-]+(?:[ ]?[\[({<][ ]?dot|[ ]dot[ ]|\.[A-Za-z0-9]))|[ ]@[ ]", re.I)
+#: A bare "at" counts before a name with a dot; not where the dot ends a sentence (small letter before, capital and small letter after: "at this.That").
+AT = re.compile(r"[ ]?[\[({<][ ]?at[ ]?[\])}>][ ]?|(?<=[A-Za-z0-9])[ ]at[ ](?!(?-i:[a-z])[A-Za-z0-9-]*\.(?-i:[A-Z][a-z]))(?=[A-Za-z0-9-]+(?:[ ]?[\[({<][ ]?dot|[ ]dot[ ]|\.[A-Za-z0-9]))|[ ]@[ ]", re.I)
 DOT = re.compile(r"[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?|(?<=[A-Za-z0-9])[ ]dot[ ](?=[A-Za-z0-9])", re.I)
-#: What a text must hold for a disguise to be possible; "at" alone isn't one.
+#: What a text must hold for a disguise to be possible, or a match of AT (a bare "at" before a name with a dot).
 DISGUISED = re.compile(r"[\[({<] ?(?:at|dot|\.) ?[\])}>]| dot | @ ", re.I)
 
 
@@ -145,7 +146,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     """Spans that show only in the normalised text."""
     odd = not text.isascii() and ODD.search(text)
     spelled = SPELLED_WORD.search(text)
-    if not (odd or spelled or DISGUISED.search(text)):
+    if not (odd or spelled or DISGUISED.search(text) or AT.search(text)):
         return []
     mapped = plain_characters(text)
     mapped = rewritten(mapped, RUN, _digits)

@@ -56,6 +56,13 @@ def test_disguises_map_back():
         assert shown(clean) == []
 
 
+def test_other_words_do_not_decide_on_a_disguise(documents):
+    for text, want in (("write to bob at example.com", [("email", "bob at example.com")]), ("Bob At Example.Com", [("email", "Bob At Example.Com")]), ("we look at this.That is", []), ("meet at noon.", [])):
+        for more in ("", " one", " dot ", " 1\xa0000", " a – b", " (at) "):
+            assert shown(text + more) == want
+    assert pii.redact(documents([(1, "write to bob at example.com")])).first().text == "write to [EMAIL]"
+
+
 def test_query_rows(documents):
     rows = [(1, "a@b.co and 10.0.0.256 10.0.0.25; 4111 1111 1111 1111; +1 (988) 555-2485"), (2, None), (3, ""), (4, "é🎉 x.y@é a@b.c.d"), (None, "1.2.3.4"), (1, "x " * 100000 + " q@w.er")]
     got = pii.spans(documents(rows)).collect()
