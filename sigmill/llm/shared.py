@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of texts that a worker handles at once.
+SLICE_ROWS = 400
+SLICE_BYTES = 2 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,5 +36,31 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(parts: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches with SLICE_ROWS rows at most, and SLICE_BYTES of column ``text`` unless one row has more; at
+    the end, the worker gives what it freed back to the machine."""
+    for whole in parts:
+        column = whole.column(text)
+        width = 8 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else 4
+        ends = memoryview(column.buffers()[1] or b"").cast("i" if width == 4 else "q") if len(column) else None
+        at = 0
+        while at < whole.num_rows:
+            begun, end = ends[column.offset + at], at + 1
+            while end < whole.num_rows and end - at < SLICE_ROWS and ends[column.offset + end + 1] - begun <= SLICE_BYTES:
+                end += 1
+            yield whole.slice(at, end - at)
+            at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Workers stay alive between tasks: memory they freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
