@@ -1,28 +1,30 @@
 """Line dedup by pairwise alignment.
 
-Every line has a key: a hash of its trimmed text, and of the line before it too where it has few words (so
-that a short line counts only where its surroundings repeat). A key's source is the first place that has it,
-in order of doc_id and line number. A document is paired with each earlier document that is a source of one
-of its lines; within a pair, the lines that both hold once are aligned by patience (the longest increasing
-run of source positions), and aligned blocks with LEAST_WORDS words or more are deleted from the later
-document. Lines that stand in another order than in the source stay. Pairing each document with sources
-only makes as many pairs as there are repeated lines, however many documents share one; keys with fewer
-holders make the rare anchors, and common ones join blocks in the same way.
-
+1. Rows with equal texts are one text; its document is the smallest doc_id. Rows of a larger doc_id are whole copies: all their
+   lines go, if they have LEAST_WORDS words together.
+2. Lines are hashed without outer spaces. A line of ANCHOR_WORDS words or more is a key, a shorter one together with the line
+   before it. Texts that share a rare key (RARE holders at most) are a pair; where more hold it, each of them is a pair
+   with the first holder only. So there are at most RARE pairs for a line, whatever the number of its holders.
+3. A pair is aligned by patience diff: equal first and last lines, then the lines that both hold once, in the longest
+   run that keeps their order, then again between these anchors. Aligned blocks (neighbours in both texts) of
+   LEAST_WORDS words or more go from the later text. A line that is long enough to be a block goes wherever it stands:
+   repeated and moved blocks are aligned on their own.
+
+The earlier of two texts is that of the smaller doc_id, then of the smaller hash; the first text with a line keeps it.
 A document whose every line is deleted (and that had text) is left out by ``deduplicated``; all other rows stay.
-Null text stays null, empty text empty; rows with null doc_id stay as they are. Rows that share a doc_id count as
-one document: they are no source for each other, and what is deleted goes from each of them. The first document with a
-line always keeps it. Other columns pass through.
+Null text stays null, empty text empty; rows with null doc_id stay as they are. Rows that repeat doc_id and text get
+equal results and are no copies of each other; rows that share only the doc_id are texts of their own. Other columns pass through.
+Two texts are taken as equal if two 64-bit hashes agree.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.llm.shared import table, written
@@ -31,96 +33,141 @@ from sigmill.llm.shared import table, written
 ANCHOR_WORDS = 5
 #: Words that an aligned block has at least.
 LEAST_WORDS = 8
+#: Holders up to which every two of them are paired.
+RARE = 6
+
+
+def _in_order(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of (place, place in the other text), in order of the first, whose second numbers rise."""
+    tails: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(anchors)
+    for k, (_, at) in enumerate(anchors):
+        spot = bisect_left(tails, at)
+        before[k] = last[spot - 1] if spot else -1
+        tails[spot : spot + 1] = [at]
+        last[spot : spot + 1] = [k]
+    run, k = [], last[-1] if last else -1
+    while k >= 0:
+        run.append(anchors[k])
+        k = before[k]
+    return run[::-1]
+
+
+def matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """The aligned places of two lists of line hashes, by patience diff."""
+    out = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
+        if a0 == a1 or b0 == b1:
+            continue
+        times_a, times_b = Counter(a[a0:a1]), Counter(b[b0:b1])
+        place = {x: k for k, x in enumerate(b[b0:b1], b0) if times_b[x] == 1}
+        run = _in_order([(k, place[x]) for k, x in enumerate(a[a0:a1], a0) if x in place and times_a[x] == 1])
+        for (i, j), (p, q) in zip(run, [*run[1:], (a1, b1)]):
+            todo.append((i, p, j, q))
+        if run:
+            todo.append((a0, run[0][0], b0, run[0][1]))
+    return sorted(out)
+
+
+def aligned_lines(later: list[int], words: list[int], earlier: list[int]) -> list[int]:
+    """The places of the lines that go from the later of two texts. Lines are hashes, 0 for a blank one."""
+    held = set(earlier)
+    gone = {k for k, (x, n) in enumerate(zip(later, words)) if n >= LEAST_WORDS and x in held}
+    block: list[tuple[int, int]] = []
+    for at in [*matches(later, earlier), None]:
+        if at and block and at == (block[-1][0] + 1, block[-1][1] + 1):
+            block.append(at)
+            continue
+        if sum(words[i] for i, _ in block) >= LEAST_WORDS:
+            gone.update(i for i, _ in block)
+        block = [at] if at else []
+    return sorted(gone)
+
+
+def _hashes(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("node"), F.xxhash64(text, F.lit(1)).alias("proof")]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(node, proof, first, rows, keys, words) of every distinct text: its smallest doc_id, its rows, its lines' hashes and word counts."""
+    lines = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), *_hashes(F.col("text")), F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("lines")
+    )
+    shown = lines.select(
+        "doc_id", "node", "proof",
+        F.transform("lines", lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("keys"),
+        F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)).alias("words"),
+    )
+    own = F.struct("keys", "words")
+    return shown.groupBy("node", "proof").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.first(own).alias("l")).select(
+        "node", "proof", "first", "rows", "l.keys", "l.words"
+    )
 
 
-def aligned(lines: list[tuple[int, int, int, int]]) -> list[int]:
-    """The line numbers to delete of one document. ``lines``: (number, source document, number there, words)."""
-    by_source = defaultdict(list)
-    for number, source, at, words in lines:
-        by_source[source].append((number, at, words))
-    gone = []
-    for found in by_source.values():
-        found.sort()
-        tails: list[int] = []
-        last: list[int] = []
-        before = [-1] * len(found)
-        for k, (_, at, _) in enumerate(found):
-            place = bisect_left(tails, at)
-            before[k] = last[place - 1] if place else -1
-            tails[place : place + 1] = [at]
-            last[place : place + 1] = [k]
-        run, k = [], last[-1]
-        while k >= 0:
-            run.append(found[k])
-            k = before[k]
-        run.reverse()
-        block: list[tuple[int, int, int]] = []
-        for x in [*run, None]:
-            if x and block and x[0] == block[-1][0] + 1 and x[1] == block[-1][1] + 1:
-                block.append(x)
-                continue
-            if sum(w for _, _, w in block) >= LEAST_WORDS:
-                gone += [n for n, _, _ in block]
-            block = [x] if x else []
-    return gone
+def _keys(texts: DataFrame) -> DataFrame:
+    """(node, first, key) of each text, each key once."""
+    short = lambda x, i: F.xxhash64(F.when(i > 0, F.element_at("keys", F.greatest(i, F.lit(1)))).otherwise(F.lit(0).cast("long")), x)
+    count = lambda i: F.element_at("words", i + 1)
+    keys = F.transform("keys", lambda x, i: F.when(count(i) >= ANCHOR_WORDS, x).when(count(i) > 0, short(x, i)))
+    return texts.select("node", "first", F.explode(F.array_distinct(F.filter(keys, lambda x: x.isNotNull()))).alias("key"))
+
+
+def pairs(texts: DataFrame) -> DataFrame:
+    """(node, source) of the texts that are aligned; the source is the earlier one."""
+    place = F.struct("first", "node")
+    keys = _keys(texts)
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(place).alias("source")).where("held > 1"))
+    rare = written(keys.join(shared.where(F.col("held") <= RARE).select("key"), "key"))
+    earlier = rare.select("key", F.col("first").alias("s_first"), F.col("node").alias("source"))
+    both = rare.join(earlier, "key").where(F.struct("s_first", "source") < F.struct("first", "node")).select("node", "source")
+    common = keys.join(shared.where(F.col("held") > RARE).select("key", F.col("source.node").alias("source")), "key").where("node <> source").select("node", "source")
+    return both.unionAll(common).distinct()
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone array<int>): the line numbers that go from each document that loses any."""
-    # one row a doc_id and line: a word count, and the key
-    parts = F.split("text", "\n")
-    trimmed = F.transform(parts, lambda x: F.trim(x))
-    keyed = F.transform(
-        trimmed,
-        lambda x, i: F.struct(
-            i.alias("line"),
-            F.when(x == "", 0).otherwise(F.size(F.split(x, " +"))).alias("words"),
-            x.alias("own"),
-            F.when(i > 0, F.element_at(trimmed, F.greatest(i, F.lit(1)))).otherwise("").alias("before"),
-        ),
-    )
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(keyed).alias("x")).where("x.words > 0")
-    lines = rows.select(
-        "doc_id", "x.line", "x.words",
-        F.when(F.col("x.words") >= ANCHOR_WORDS, F.xxhash64("x.own")).otherwise(F.xxhash64("x.before", "x.own")).alias("key"),
-    )
-    lines = written(lines)
-    source = lines.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("latest")).where("source < latest").drop("latest")
-    hits = lines.join(source, "key")
-    at_source = hits.where("doc_id = source").groupBy("key").agg(F.min("line").alias("at"), F.count(F.lit(1)).alias("held"))
-    # a line that either side holds more than once is no anchor, as in patience diff
-    later = hits.where("doc_id > source").join(at_source.where("held = 1").select("key", "at"), "key")
-    pairs = later.groupBy("doc_id").agg(F.collect_list(F.struct("line", "source", "at", "words", "key")).alias("lines"))
+    """(node, proof, first, gone array<int>, whole) of the texts that lose lines or have copies: the lines that go, and whether copies go as a whole."""
+    texts = written(_texts(docs))
+    found = written(pairs(texts))
+    later = texts.select("node", "keys", "words")
+    earlier = texts.select(F.col("node").alias("source"), F.col("keys").alias("held"))
+    both = found.join(earlier, "source").join(later, "node").select("node", "keys", "words", "held")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            ids, gone = [], []
-            for doc_id, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                own: dict[int, list] = defaultdict(list)
-                for x in found:
-                    own[x["key"]].append(x)
-                once = [(x[0]["line"], x[0]["source"], x[0]["at"], x[0]["words"]) for x in own.values() if len({y["line"] for y in x}) == 1]
-                if once and (lost := aligned(once)):
-                    ids.append(doc_id)
-                    gone.append(sorted(lost))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
+        for whole in parts:
+            for at in range(0, whole.num_rows, 1000):
+                part = whole.slice(at, 1000)
+                gone = [aligned_lines(a.as_py(), w.as_py(), b.as_py()) for a, w, b in zip(*part.columns[1:])]
+                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.list_(pa.int32()))], ["node", "gone"])
+                yield out.filter(pa.array([bool(x) for x in gone], pa.bool_()))
 
-    return pairs.mapInArrow(batches, "doc_id long, gone array<int>")
+    gone = both.mapInArrow(batches, "node long, gone array<int>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    enough = F.aggregate("words", F.lit(0), lambda n, x: n + x) >= LEAST_WORDS
+    return texts.select("node", "proof", "first", "rows", enough.alias("whole")).join(gone, "node", "left").where("gone is not null or rows > 1").drop("rows")
 
 
 def deduplicated(docs: DataFrame, keep_emptied: bool = False) -> DataFrame:
     """``docs`` without the repeated blocks; n_chars follows where it is a column."""
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("_doc_id"), "gone")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc_id"), "left")
-    left_over = F.size(F.filter(kept, lambda x: F.trim(x) != ""))
+    gone = written(repeated_lines(docs)).select(*[F.col(c).alias(f"_{c}") for c in ("node", "proof", "first", "gone", "whole")])
+    node, proof = _hashes(F.col("text"))
+    out = docs.join(gone, (node == F.col("_node")) & (proof == F.col("_proof")) & docs["doc_id"].isNotNull(), "left")
+    copy = F.col("_whole") & (docs["doc_id"].cast("long") > F.col("_first"))
+    kept = F.when(copy, F.array().cast("array<string>")).otherwise(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)))
+    changed = F.coalesce(copy, F.lit(False)) | F.col("_gone").isNotNull()
     if not keep_emptied:
-        out = out.where(F.col("gone").isNull() | F.col("text").isNull() | (left_over > 0))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumn("text", text).drop("gone", "_doc_id")
+        out = out.where(~changed | F.exists(kept, lambda x: F.trim(x) != ""))
+    out = out.withColumn("text", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

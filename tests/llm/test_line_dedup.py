@@ -1,64 +1,90 @@
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
+from itertools import combinations
 
 from sigmill.llm import line_dedup as ld
 
+LINE = "one two three four five six seven eight nine"
+
+
+def longest_rising(points):
+    """The longest rising run, from a quadratic table; of equally long ones that with the smallest end."""
+    order = lambda run: (len(run), -run[-1][1] if run else 0)
+    runs = []
+    for k, p in enumerate(points):
+        runs.append(max([runs[j] for j in range(k) if points[j][1] < p[1]], key=order, default=[]) + [p])
+    return max(runs, key=order, default=[])
+
+
+def diff(a, b, i=0, j=0):
+    """Patience diff by recursion over texts."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(i, j)] + diff(a[1:], b[1:], i + 1, j + 1)
+    if a[-1] == b[-1]:
+        return diff(a[:-1], b[:-1], i, j) + [(i + len(a) - 1, j + len(b) - 1)]
+    once = [(a.index(x), b.index(x)) for x in dict.fromkeys(a) if a.count(x) == 1 and b.count(x) == 1]
+    run = longest_rising(sorted(once))
+    if not run:
+        return []
+    out = diff(a[: run[0][0]], b[: run[0][1]], i, j)
+    for (p, q), (r, s) in zip(run, run[1:] + [(len(a), len(b))]):
+        out += diff(a[p:r], b[q:s], i + p, j + q)
+    return out
+
 
 def brute(rows):
-    """Plain version over all documents in memory; line keys are texts."""
-    docs = sorted((i, t) for i, t in rows if i is not None and t is not None)
-    first, places = {}, defaultdict(Counter)
-    keyed = []
+    """Plain version over all pairs of documents in memory."""
+    docs = sorted({(i, t) for i, t in rows if i is not None and t is not None})
+    first = {}
     for i, t in docs:
-        lines = [x.strip(" ") for x in t.split("\n")]
-        for k, x in enumerate(lines):
-            words = len(x.split())
-            if not words:
+        first.setdefault(t, i)
+    lines = {t: [x.strip(" ") for x in t.split("\n")] for _, t in docs}
+    count = lambda x: len(x.split(" ")) if x else 0
+    keys = {t: {(x,) if count(x) >= ld.ANCHOR_WORDS else (own[k - 1] if k else "", x) for k, x in enumerate(own) if x} for t, own in lines.items()}
+    holders = defaultdict(list)
+    for t, i in first.items():
+        for k in keys[t]:
+            holders[k].append((i, t))
+    pairs = set()
+    for held in holders.values():
+        held.sort()
+        pairs |= set(combinations(held, 2)) if len(held) <= ld.RARE else {(held[0], x) for x in held[1:]}
+    lost = defaultdict(set)
+    for (_, s), (_, t) in pairs:
+        block = []
+        for at in diff(lines[t], lines[s]) + [None]:
+            if at and block and at == (block[-1][0] + 1, block[-1][1] + 1):
+                block.append(at)
                 continue
-            key = (x,) if words >= ld.ANCHOR_WORDS else (lines[k - 1] if k else "", x)
-            keyed.append((i, k, words, key))
-            places[key][i] += 1
-            first.setdefault(key, (i, k))
-    gone = defaultdict(list)
-    for i, k, words, key in keyed:
-        source, at = first[key]
-        if source < i and places[key][i] == 1 and places[key][source] == 1:
-            gone[i].append((k, source, at, words))
+            if sum(count(lines[t][k]) for k, _ in block) >= ld.LEAST_WORDS:
+                lost[t] |= {k for k, _ in block}
+            block = [at] if at else []
+        lost[t] |= {k for k, x in enumerate(lines[t]) if count(x) >= ld.LEAST_WORDS and x in lines[s]}
     out = {}
     for i, t in docs:
-        lost = set()
-        by = defaultdict(list)
-        for x in gone.get(i, []):
-            by[x[1]].append(x)
-        for found in by.values():
-            found.sort()
-            best = [[]] * (len(found) + 1)
-            runs = []
-            for a in range(len(found)):
-                r = max([runs[b] for b in range(a) if found[b][2] < found[a][2]], key=len, default=[]) + [found[a]]
-                runs.append(r)
-            best = max(runs, key=len)
-            block = []
-            for x in best + [None]:
-                if x and block and x[0] == block[-1][0] + 1 and x[2] == block[-1][2] + 1:
-                    block.append(x)
-                    continue
-                if sum(b[3] for b in block) >= ld.LEAST_WORDS:
-                    lost |= {b[0] for b in block}
-                block = [x] if x else []
-        out[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost)
+        whole = i > first[t] and sum(map(count, lines[t])) >= ld.LEAST_WORDS
+        out[i] = "" if whole else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost[t])
     return out
 
 
-def test_against_brute_force(documents):
+def corpus():
     random.seed(2)
-    pool = [" ".join(random.choices("abcdefghij", k=random.choice([2, 4, 9, 14]))) for _ in range(60)]
+    pool = [" ".join(random.choices("abcdefghij", k=random.choice([2, 4, 9, 14]))) for _ in range(60)] + [""]
     rows = []
-    for i in range(120):
+    for i in range(150):
         at = random.randrange(50)
         own = [" ".join(random.choices("klmnopqrs", k=9)) for _ in range(random.randrange(4))]
-        lines = own[:1] + pool[at : at + random.randrange(10)] + own[1:]
-        rows.append((i, "\n".join(lines)))
+        shared = pool[at : at + random.randrange(10)]
+        if random.random() < 0.3:
+            random.shuffle(shared)
+        rows.append((i, "\n".join(own[:1] + shared + own[1:] + random.choices(pool, k=random.randrange(3)))))
+    return rows + [(150 + k, rows[4 * k][1]) for k in range(20)] + [(180 + k, rows[3][1] + f"\nown line {k}") for k in range(12)]
+
+
+def test_against_brute_force(documents):
+    rows = corpus()
     rows += [(200, None), (201, ""), (202, rows[3][1]), (None, rows[3][1]), (203, "z " * 60000 + "\n" + rows[5][1])]
     got = {r.doc_id: r.text for r in ld.deduplicated(documents(rows), keep_emptied=True).collect()}
     want = brute(rows)
@@ -68,8 +94,26 @@ def test_against_brute_force(documents):
     assert kept == {i for i, t in got.items() if t is None or t == "" == dict(rows).get(i) or t.strip()}
 
 
+def test_short_lines_of_a_block_seen_elsewhere_before(documents):
+    a, b, c = "red green blue black white", "cat dog cow hen pig", "oak elm ash fir yew"
+    rows = [(1, a), (2, b), (3, c), (4, f"{a}\n{b}\n{c}"), (5, f"new words\n{a}\n{b}\n{c}")]
+    assert {r.doc_id: r.text for r in ld.deduplicated(documents(rows)).collect()}[5] == "new words"
+
+
+def test_a_copy_with_a_repeated_inner_line_goes(documents):
+    text = "first line here\nsame words\nsame words\nlast line here"
+    got = ld.deduplicated(documents([(1, text), (2, text), (3, text + "\nand more")])).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, text), (3, "and more")]
+
+
+def test_moved_and_repeated_lines(documents):
+    other = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    got = ld.deduplicated(documents([(1, f"{LINE}\n{other}"), (2, f"{other}\nkept\n{LINE}\n{LINE}")])).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, f"{LINE}\n{other}"), (2, "kept")]
+
+
 def test_repeated_rows_and_empty(documents):
-    line = "one two three four five six seven eight nine"
-    got = sorted((r.doc_id, r.text) for r in ld.deduplicated(documents([(1, line), (1, line), (2, line + "\nother"), (2, line + "\nother")])).collect())
-    assert got == [(1, line), (1, line), (2, line + "\nother"), (2, line + "\nother")] or got == [(1, line), (1, line), (2, "other"), (2, "other")]
+    rows = [(1, LINE), (1, LINE), (2, LINE + "\nother"), (2, LINE + "\nother"), (3, LINE)]
+    got = sorted((r.doc_id, r.text) for r in ld.deduplicated(documents(rows), keep_emptied=True).collect())
+    assert got == [(1, LINE), (1, LINE), (2, "other"), (2, "other"), (3, "")]
     assert ld.deduplicated(documents([])).count() == 0
