@@ -12,21 +12,22 @@ included; other columns are ignored. Offsets are code points, the end exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm.shared import table
+from sigmill.llm.shared import give_back, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An address starts where its run of digits does, and takes whole runs: without backtracking, long runs cost their length.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -39,20 +40,32 @@ LOOKALIKES = {
 }
 # Characters without width.
 INVISIBLE = frozenset("­​‌‍⁠﻿")
-# Spelled digits.
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Spelled digits in English, German, French and Spanish.
+SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+# Names of "@", "." and "+" in these languages.
+AT_WORDS, DOT_WORDS, PLUS_WORDS = "at|ät|arobase|arroba", "dot|punkt|point|punto", "plus|más"
 
-_DIGIT = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9])"
+_WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
+_DIGIT = f"(?:{_WORDS}|[0-9])"
+_L = "A-Za-zÀ-ÿ"
 #: Characters that transducer 1 changes.
 ODD = re.compile(f"[{re.escape(''.join(LOOKALIKES) + ''.join(INVISIBLE))}\uff01-\uff5e\U0001d400-\U0001d7ff]")
-#: Two digits or more in a row, spelled or not; a plus or "plus" may stand before.
-RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ ]|\+[ ]?)?{_DIGIT}(?:[ ]?[-. (),]?[ ]?(?:dot[ ])?{_DIGIT})+(?![A-Za-z0-9])", re.I)
-SPELLED_WORD = re.compile(r"(?<![A-Za-z])(?:zero|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])", re.I)
+#: Two digits or more in a row, spelled or not; a plus or its name may stand before.
+RUN = re.compile(rf"(?<![{_L}0-9])(?:(?:{PLUS_WORDS})[ ]|\+[ ]?)?{_DIGIT}(?:[ ]?[-. (),]?[ ]?(?:(?:{DOT_WORDS})[ ])?{_DIGIT})+(?![{_L}0-9])", re.I)
+SPELLED_WORD = re.compile(rf"(?<![{_L}])(?:{_WORDS})(?![{_L}])", re.I)
 #: A bare "at" counts before a name with a dot; not where the dot ends a sentence (small letter before, capital and small letter after: "at this.That").
-AT = re.compile(r"[ ]?[\[({<][ ]?at[ ]?[\])}>][ ]?|(?<=[A-Za-z0-9])[ ]at[ ](?!(?-i:[a-z])[A-Za-z0-9-]*\.(?-i:[A-Z][a-z]))(?=[A-Za-z0-9-]+(?:[ ]?[\[({<][ ]?dot|[ ]dot[ ]|\.[A-Za-z0-9]))|[ ]@[ ]", re.I)
-DOT = re.compile(r"[ ]?[\[({<][ ]?(?:dot|\.)[ ]?[\])}>][ ]?|(?<=[A-Za-z0-9])[ ]dot[ ](?=[A-Za-z0-9])", re.I)
-#: What a text must hold for a disguise to be possible, or a match of AT (a bare "at" before a name with a dot).
-DISGUISED = re.compile(r"[\[({<] ?(?:at|dot|\.) ?[\])}>]| dot | @ ", re.I)
+AT = re.compile(
+    rf"[ ]?[\[({{<][ ]?(?:{AT_WORDS})[ ]?[\])}}>][ ]?|(?<=[A-Za-z0-9])[ ](?:{AT_WORDS})[ ](?!(?-i:[a-z])[A-Za-z0-9-]*\.(?-i:[A-Z][a-z]))"
+    rf"(?=[A-Za-z0-9-]+(?:[ ]?[\[({{<][ ]?(?:{DOT_WORDS})|[ ](?:{DOT_WORDS})[ ]|\.[A-Za-z0-9]))|[ ]@[ ]", re.I
+)
+#: What a match of AT or DOT holds at least.
+_CLUES = [f" {w} " for w in (*AT_WORDS.split("|"), *DOT_WORDS.split("|"), "@")] + list("[({<")
+DOT = re.compile(rf"[ ]?[\[({{<][ ]?(?:{DOT_WORDS}|\.)[ ]?[\])}}>][ ]?|(?<=[A-Za-z0-9])[ ](?:{DOT_WORDS})[ ](?=[A-Za-z0-9])", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -79,7 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the plain detectors, in order."""
     found = [(s, 0, e) for s, e in _emails(text)]
     for m in IP.finditer(text):
-        if all(int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x) <= 3 and int(x or 0) <= 255 for x in [x.lstrip("0") for x in m[0].split(".")]):
             found.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -136,27 +149,28 @@ def _digits(m: re.Match) -> str | None:
     """A run of spelled digits in plain digits; the separators go, but for dots of an address and a leading plus."""
     if not SPELLED_WORD.search(m[0]):
         return None
-    shown = re.sub(r"(?i)plus ", "+", m[0])
-    shown = re.sub(r"(?i) ?dot ", ".", shown)
-    shown = re.sub(r"(?i)[a-z]+", lambda w: SPELLED.get(w[0].lower(), w[0]), shown)
+    shown = re.sub(rf"(?i)(?:{PLUS_WORDS}) ", "+", m[0])
+    shown = re.sub(rf"(?i) ?(?:{DOT_WORDS}) ", ".", shown)
+    shown = re.sub(rf"(?i)[{_L}]+", lambda w: SPELLED.get(w[0].lower(), w[0]), shown)
     return re.sub(r"[ ,()-]", "", shown)
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that show only in the normalised text."""
     odd = not text.isascii() and ODD.search(text)
-    spelled = SPELLED_WORD.search(text)
-    if not (odd or spelled or DISGUISED.search(text) or AT.search(text)):
+    low = text if odd else text.lower()  # a cheap look for the rarer words first; any of them alone decides nothing
+    if not (odd or SPELLED_WORD.search(text) or any([w in low for w in _CLUES]) and (DOT.search(text) or AT.search(text))):
         return []
     mapped = plain_characters(text)
     mapped = rewritten(mapped, RUN, _digits)
     mapped = rewritten(mapped, AT, lambda m: "@")
     mapped = rewritten(mapped, DOT, lambda m: ".")
-    taken = {k: [(s, e) for s, kind, e in base if kind == k] for k in range(len(KINDS))}
+    taken = {k: [(s, e) for s, kind, e in base if kind == k] for k in range(len(KINDS))}  # in order, without overlaps
     found = []
     for s, kind, e in base_spans(mapped[0]):
         start, end = mapped[1][s], mapped[2][e - 1]
-        if not any(a < end and start < b for a, b in taken[kind]):
+        at = bisect_left(taken[kind], (end,)) - 1  # the last that begins before the end
+        if at < 0 or taken[kind][at][1] <= start:
             found.append((start, kind, end))
     return found
 
@@ -167,7 +181,7 @@ def spans(docs: DataFrame) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         named = lambda found: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found]
-        for part in parts:
+        for part in slices(parts):
             base, every = [], []
             for cell in part.column(1):
                 text = cell.as_py() or ""
@@ -183,7 +197,6 @@ def spans(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each found span of text replaced by its kind in brackets; null text stays null, n_chars follows where it is a column."""
     names = docs.columns
-    at = names.index("text")
 
     def masked(text: str) -> str:
         plain = base_spans(text)
@@ -195,14 +208,13 @@ def redact(docs: DataFrame) -> DataFrame:
             free = e
         return "".join(out) + text[free:]
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts = [None if (t := c.as_py()) is None else masked(t) for c in part.column(at)]
-            columns = list(part.columns)
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.array([None if (t := c.as_py()) is None else masked(t) for c in part], pa.string())
+        give_back()
 
-    out = docs.mapInArrow(batches, docs.schema)
+    # only texts go to Python and back
+    out = docs.withColumn("text", F.arrow_udf(batches, "string")(F.col("text")))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out
