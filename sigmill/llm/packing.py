@@ -15,7 +15,6 @@ stream, so memory follows the longest document only.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm.shared import partitions, table
+from sigmill.llm.shared import give_back, partitions, slices, table
 
 SEQUENCE = 4096
 END_ID = 2
 DIMENSIONS = 3
 BITS = 10
 #: Rows of the sample per range from which the ranges' bounds come.
-SAMPLE_PER_RANGE = 40
-#: Words whose ids a Python worker keeps.
-KEPT_WORDS = 500_000
+SAMPLE_PER_RANGE = 20
+#: Words whose ids a task keeps.
+KEPT_WORDS = 150_000
 #: Characters on which str.split and the tokenizer's notion of space differ.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -41,7 +40,7 @@ _state: dict = {}
 
 
 class _Words:
-    """Ids of texts, as little-endian 32-bit strings. The pretokenizer never matches across space, so a text's
+    """Ids of texts, as little-endian strings of 16 bits, or 32 where the vocabulary needs them. The pretokenizer never matches across space, so a text's
     ids are those of its space-separated words, and words are kept."""
 
     def __init__(self, path: str) -> None:
@@ -50,6 +49,7 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             ends[i] = token.endswith("</w>")
@@ -58,14 +58,14 @@ class _Words:
         self.marks = {m: self._ids([m])[0] for m in ".,"}
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _simple(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only: one pretoken each, so that each ends at its end-of-word token."""
         out: list[bytes] = []
         for k in range(0, len(words), 256):
             part = words[k : k + 256]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 out += [x.tobytes() for x in np.split(ids, cuts[:-1])]
@@ -94,24 +94,23 @@ class _Words:
         return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in ODD_SPACES) else t.split() for t in texts]
-        seen = set().union(*(s for s in split if s)) - self.kept.keys()
-        kept = self.kept
-        if seen:
-            new = self.learn(seen)
-            if not seen <= kept.keys():
-                kept = _Both(new, kept)
-        get = kept.__getitem__
-        return [self._ids([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
-
-
-class _Both(dict):
-    def __init__(self, first: dict, second: dict) -> None:
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, key: str) -> bytes:
-        return self.second[key]
+        get, out, missing, open_ = self.kept.get, [], set(), []
+        for t in texts:
+            if any([c in t for c in ODD_SPACES]):
+                out.append(self._ids([t])[0])
+                continue
+            words = t.split()
+            ids = list(map(get, words))
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a word that isn't kept
+                missing.update([w for w, x in zip(words, ids) if x is None])
+                open_.append((len(out), words, ids))
+                out.append(b"")
+        new = self.learn(missing) if missing else {}
+        for k, words, ids in open_:
+            out[k] = b"".join([new[w] if x is None else x for w, x in zip(words, ids)])
+        return out
 
 
 def _words(vocabulary: str) -> _Words:
@@ -157,35 +156,34 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _keys(ids: list[bytes], doc_ids: list[int | None]) -> np.ndarray:
-    """Curve key of each document, with a hash of its id in the low bits."""
-    table_ = _directions(1 << 16)
-    sums = np.zeros((len(ids), DIMENSIONS))
-    for k, x in enumerate(ids):
-        a = np.frombuffer(x, dtype="<u4")
-        if len(a):
-            sums[k] = table_[a].mean(axis=0) * min(len(a), 4096) ** 0.5
-    cells = np.clip((sums / 24 + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+def _keys(flat: np.ndarray, starts: np.ndarray, doc_ids: list[int | None]) -> np.ndarray:
+    """Curve key of each document, with a hash of its id in the low bits; documents' ids begin at ``starts``, each has some."""
+    sums = np.add.reduceat(_directions(1 << 16)[flat & 0xFFFF], starts, axis=0, dtype=np.float64)
+    lengths = np.diff(np.append(starts, len(flat)))[:, None]
+    cells = np.clip((sums / lengths * np.minimum(lengths, 4096) ** 0.5 / 24 + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
     low = np.array([zlib.crc32(str(i).encode()) for i in doc_ids], dtype=np.int64)
     return hilbert(cells, BITS) << 32 | low
 
 
 def tokenized(docs: DataFrame, vocabulary: str, bounds: list[int] | None = None) -> DataFrame:
-    """(doc_id, curve, place, ids): ids as little-endian 16-bit numbers with the end id; place is the range among ``bounds``."""
+    """(doc_id, curve, place, width, ids): ids as little-endian numbers of ``width`` bytes with the end id; place is the range among ``bounds``."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cuts, end = _words(vocabulary), np.array(bounds or [], dtype=np.int64), struct.pack("<I", END_ID)
-        for whole in parts:
-            for at in range(0, whole.num_rows, 1000):
-                part = whole.slice(at, 1000)
-                doc_ids = part.column(0).to_pylist()
-                ids = [x + end for x in words.encode([t or "" for t in part.column(1).to_pylist()])]
-                curve = _keys(ids, doc_ids)
-                short = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in ids]
-                place = np.searchsorted(cuts, curve, side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve), pa.array(place), pa.array(short, pa.binary())], ["doc_id", "curve", "place", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, curve long, place int, ids binary")
+        words, cuts = _words(vocabulary), np.array(bounds or [], dtype=np.int64)
+        kind = np.dtype(words.dtype)
+        end = np.array([END_ID], dtype=kind).tobytes()
+        for part in slices(parts):
+            ids = [x + end for x in words.encode([t or "" for t in part.column(1).to_pylist()])]
+            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // kind.itemsize
+            flat = np.frombuffer(b"".join(ids), dtype=kind)
+            curve = _keys(flat, np.append(0, np.cumsum(lengths)[:-1]), part.column(0).to_pylist())
+            place = np.searchsorted(cuts, curve, side="right").astype(np.int32)
+            width = np.full(len(ids), kind.itemsize, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve), pa.array(place), pa.array(width), pa.array(ids, pa.binary())], ["doc_id", "curve", "place", "width", "ids"])
+        words.kept.clear()
+        give_back()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, curve long, place int, width int, ids binary")
 
 
 def pack(docs: DataFrame, ranges: int, vocabulary: str = "word_bpe_49k.json", size: int = SEQUENCE) -> DataFrame:
@@ -216,11 +214,11 @@ def pack(docs: DataFrame, ranges: int, vocabulary: str = "word_bpe_49k.json", si
                         left -= room
                         number += 1
                     take = min(room, length)
-                    emit(doc_id, start, take, ids[2 * start : 2 * (start + take)], total, number - 1, offset)
+                    emit(doc_id, start, take, ids, total, number - 1, offset)
                     start, length, room, offset = start + take, length - take, room - take, offset + take
 
         def emit(doc_id, start, length, ids, total, sequence, offset) -> None:
-            crc = zlib.crc32(np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes())
+            crc = zlib.crc32(ids[start : start + length].astype("<u4").tobytes())
             out.append([doc_id, start, length, crc, total, (place << 40) + sequence, offset])
 
         def flush() -> pa.RecordBatch:
@@ -230,11 +228,12 @@ def pack(docs: DataFrame, ranges: int, vocabulary: str = "word_bpe_49k.json", si
 
         pending: list = []
         for part in parts:
-            for doc_id, at, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+            for doc_id, at, width, cell in zip(*[c.to_pylist() for c in part.columns[:3]], part.column(3)):
                 if at != place:
                     close(pending)
                     pending, filled, place, number = [], 0, at, 0
-                total = len(ids) // 2
+                ids = np.frombuffer(cell.as_buffer(), dtype=f"<u{width}")
+                total = len(ids)
                 start = 0
                 while start < total:
                     take = min(size - filled, total - start)
@@ -243,7 +242,7 @@ def pack(docs: DataFrame, ranges: int, vocabulary: str = "word_bpe_49k.json", si
                     if filled == size:
                         offset = 0
                         for d, s, n, x, t in pending:
-                            emit(d, s, n, x[2 * s : 2 * (s + n)], t, number, offset)
+                            emit(d, s, n, x, t, number, offset)
                             offset += n
                         pending, filled, number = [], 0, number + 1
                 if len(out) > 5000:
@@ -253,7 +252,7 @@ def pack(docs: DataFrame, ranges: int, vocabulary: str = "word_bpe_49k.json", si
             yield flush()
 
     dealt = tokenized(docs, vocabulary, bounds).repartition(max(1, ranges // 4), "place").sortWithinPartitions("place", "curve", "doc_id", "ids")
-    return dealt.select("doc_id", "place", "ids").mapInArrow(
+    return dealt.select("doc_id", "place", "width", "ids").mapInArrow(
         ranged, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
 
