@@ -5,9 +5,9 @@
    split until lists are balanced. Every vector is indexed: it goes to its nearest list and, near a boundary, to
    each further list whose distance is within REPLICATE of the nearest.
 3. Centroids are searched through an in-memory graph (each linked to its nearest others) by a beam; a query opens
-   the lists within OPEN times its nearest list's distance.
+   the lists within OPEN times its nearest list's distance, and at least so many that they hold k others.
 4. Lists longer than BLOCK are dealt to blocks, and each block is scored against the queries that open its
-   list, in double precision on the original vectors.
+   list (in chunks of about CHUNK), in double precision on the original vectors. Of equal scores, the smaller ids stay.
 
 Vectors that are null, zero, hold null or non-finite components, or whose length isn't the table's most common
 one, take no part, neither do rows without vec_id. Rows that repeat id and vector count once. Ties go to the smaller vec_id. A
@@ -33,8 +33,9 @@ FIT_ROWS = 20000
 #: Vectors in a list that the number of lists aims at, and lists at most (their centroids are broadcast).
 LIST_ROWS = 200
 MOST_LISTS = 4096
-#: Vectors of a list in one scoring block.
+#: Vectors of a list in one scoring block, and queries that a block meets at once.
 BLOCK = 1000
+CHUNK = 2000
 LINKS = 24
 BEAM = 48
 REPLICATE = 1.06
@@ -135,19 +136,24 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _listed(classes: DataFrame, index: Index, ratio: float) -> DataFrame:
-    """(class, list) of every class: its nearest list, and those within ``ratio`` of that distance."""
-    shared = classes.sparkSession.sparkContext.broadcast(index)
+def _listed(classes: DataFrame, index: Index, ratio: float, sizes: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """(class, list, own) of every class: its nearest list (own), and those within ``ratio`` of that distance; with ``sizes`` of lists, also so many
+    of the nearest that they hold ``least`` vectors."""
+    shared = classes.sparkSession.sparkContext.broadcast((index, sizes))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, sizes = shared.value
         for whole in parts:
             for at in range(0, whole.num_rows, 512):
                 part = whole.slice(at, 512)
-                ids, dist = near_lists(shared.value, _unit(_vectors(part.column(1))))
-                r, k = np.nonzero(dist <= ratio * dist[:, :1] + 1e-9)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(ids[r, k].astype(np.int32))], ["class", "list"])
+                ids, dist = near_lists(index, _unit(_vectors(part.column(1))))
+                open_ = dist <= ratio * dist[:, :1] + 1e-9
+                if sizes is not None:
+                    open_ |= np.cumsum(sizes[ids], axis=1) - sizes[ids] < least
+                r, k = np.nonzero(open_)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(ids[r, k].astype(np.int32)), pa.array(k == 0)], ["class", "list", "own"])
 
-    return classes.select("class", "embedding").mapInArrow(batches, "class string, list int")
+    return classes.select("class", "embedding").mapInArrow(batches, "class string, list int, own boolean")
 
 
 def search(vectors: DataFrame, every: int, k: int) -> DataFrame:
@@ -170,12 +176,20 @@ def search(vectors: DataFrame, every: int, k: int) -> DataFrame:
     wanted = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("class", "vec_id").distinct()
     queries = classes.join(wanted.select("class").distinct(), "class", "left_semi")
     postings = written(_listed(classes, index, REPLICATE))
-    blocks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = written(postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count_if("own").alias("held")))
+    sizes = np.zeros(len(index.centroids), dtype=np.int64)
+    for r in blocks.collect():  # a number for each list
+        sizes[r.list] = r.held
+    blocks = blocks.drop("held")
     held = postings.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).join(classes, "class").select("list", "block", "class", "embedding", "ids")
+    opened = written(_listed(queries, index, OPEN, sizes, k + 2))
+    chunks = written(opened.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
+    held = held.join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     asked = (
-        _listed(queries, index, OPEN).join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(classes, "class").select("list", "block", F.col("class").alias("query"), F.col("embedding").alias("q_embedding"))
-        .toDF("list", "block", "query", "embedding")
+        opened.join(blocks, "list").join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(2)), "chunks").cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .join(classes, "class").select("list", "block", "chunk", F.col("class").alias("query"), F.col("embedding").alias("q_embedding"))
+        .toDF("list", "block", "chunk", "query", "embedding")
     )
 
     def scored(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
@@ -184,19 +198,23 @@ def search(vectors: DataFrame, every: int, k: int) -> DataFrame:
             return empty
         a, b = np.array(q["embedding"].tolist()), np.array(v["embedding"].tolist())
         na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-        take = min(len(v), k + 3)
+        first = np.array([x[0] for x in v["ids"]], dtype=np.int64)
+        take = min(len(v), k + 2)
         out = []
         for at in range(0, len(a), 256):
             like = (a[at : at + 256] / na[at : at + 256, None]) @ (b / nb[:, None]).T
-            best = np.argpartition(-like, take - 1, axis=1)[:, :take]
-            r = np.repeat(np.arange(len(best)), take)
-            c = best.ravel()
+            least = np.partition(like, len(v) - take, axis=1)[:, len(v) - take]
+            r, c = np.nonzero(like >= least[:, None] - 1e-9)  # all that may be among the best, ties included
             # one formula for every pair, so that equal pairs give equal scores in whichever block
             score = (a[at + r] * b[c]).sum(axis=1) / (na[at + r] * nb[c])
+            order = np.lexsort((first[c], -score, r))
+            r, c, score = r[order], c[order], score[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < take
+            r, c, score = r[keep], c[keep], score[keep]
             out.append(pd.DataFrame({"query": q["query"].to_numpy()[at + r], "class": v["class"].to_numpy()[c], "ids": v["ids"].to_numpy()[c], "score": score}))
         return pd.concat(out)
 
-    keys = ["list", "block"]
+    keys = ["list", "block", "chunk"]
     found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(scored, "query string, class string, ids array<long>, score double")
     once = found.groupBy("query", "class").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     ranked = once.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("n") <= k + 1)

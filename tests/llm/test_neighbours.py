@@ -45,3 +45,25 @@ def test_small_tables(spark):
     assert nb.search(frame(spark, [0], [[1, 2]]), 50, 5).count() == 0
     three = nb.search(frame(spark, [0, 1, 1, 2], [[1, 2], [1, 2], [1, 2], [2, 1]]), 50, 5).collect()
     assert [(r["rank"], r.vec_id) for r in three] == [(1, 1), (2, 2)]
+
+
+def test_equal_scores_of_unequal_vectors(spark):
+    """Vectors of one direction and lengths that are powers of two: every cosine is the same number."""
+    x = np.array([[3.0 * 2.0 ** (k % 7), 4.0 * 2.0 ** (k % 7)] for k in range(60)])
+    got = nb.search(frame(spark, list(range(60)), x), 50, 5).collect()
+    assert [(r.query_id, r.vec_id) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == [(0, k) for k in range(1, 6)] + [(50, k) for k in range(5)]
+    many = [[2.0 ** (k % 40), 2.0 ** (k % 40)] for k in range(300)]
+    got = nb.search(frame(spark, list(range(300)), many), 100, 5).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == {(0, k) for k in range(1, 6)} | {(q, k) for q in (100, 200) for k in range(5)}
+
+
+def test_recall_over_hundreds_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(nb, "LIST_ROWS", 20)
+    monkeypatch.setattr(nb, "CHUNK", 7)
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((200, 24))[rng.integers(0, 200, 8000)] + 0.7 * rng.standard_normal((8000, 24))).astype("f4").astype(float)
+    got = nb.search(frame(spark, list(range(8000)), x), 50, 5).collect()
+    want = brute(list(range(8000)), x, 50, 5)
+    found = {(r.query_id, r.vec_id) for r in got}
+    assert len(got) == 5 * len(want)
+    assert sum((q, i) in found for q, near in want.items() for i, _ in near) >= 0.9 * 5 * len(want)
