@@ -119,11 +119,15 @@ def _bitmaps(flat: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(longs) + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.ravel()))
 
 
+def forget() -> None:
+    _words.clear()
+    give_back()
+
+
 def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices of the batches; the task's word hashes go when it ends."""
     yield from slices(parts)
-    _words.clear()
-    give_back()
+    forget()
 
 
 def _sizes(docs: DataFrame, n: int) -> DataFrame:

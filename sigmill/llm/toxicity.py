@@ -4,14 +4,15 @@
    label among them (word-trigram Jaccard of about NEAR or more) the first by doc_id is read: the rare words of one text with many
    copies would otherwise look like a lexicon. Texts that only share passages are all read.
    Terms (words, and the first letters of words) are counted over these rows in Spark; those that toxic rows hold
-   more often than chance allows become LEXICONS lexicons by their odds, one voter each.
+   more often than chance allows become lexicons, one voter each: TIERS of like odds for words and for beginnings of
+   each length, each dealt into HANDS by a hash of the term.
    Patterns over the text (shouting, second person with an insult's punctuation, symbol noise) vote too.
 2. A generative model of the votes, fitted by expectation maximisation, estimates each voter's accuracy in either class and the correlation of each pair of voters within a class;
-   a voter counts the less, the more others repeat it. Labels of training rows start and anchor the model.
+   a voter counts the less, the more others repeat it. The given label is one more voter, whose accuracy is estimated like the others', from a prior (LABEL_PRIOR); the model starts from it.
 3. A logistic regression over term presence is trained on the model's posterior labels and scores every text.
 
 Only rows whose crc32(doc_id as text) mod 4 is not HELD_OUT are read with labels. lang, source and doc_id are no
-inputs of a score. Rows that repeat a doc_id are read as they are. Null and empty texts get the score of a text without terms, which is low. Every row is
+inputs of a score. Of rows that repeat a doc_id, the one with the smallest text is learned from. Null and empty texts get the score of a text without terms, which is low. Every row is
 scored, repeated ones and those with null doc_id (never held out, never labelled) included. Without any toxic label, all scores are 0;
 where no term is beyond chance, patterns and the intercept are fitted alone. Other columns are ignored.
 """
@@ -19,6 +20,7 @@ where no term is beyond chance, patterns and the intercept are fitted alone. Oth
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,24 +28,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sigmill.llm.ngram_join import shingles
-from sigmill.llm.shared import table
+from sigmill.llm.ngram_join import forget, shingles
+from sigmill.llm.shared import give_back, slices, table, written
 
 HELD_OUT = 2
 THRESHOLD = 0.3
-LEXICONS = 12
+TIERS, HANDS = 6, 2
 #: Terms that may enter the lexicons and the classifier.
 MOST_TERMS = 6000
 #: Labelled rows outside the held-out part, of either class, that are learned from: those whose hash of doc_id is smallest.
 TRAINING_ROWS = 40000
-#: Smallest evidence for a term, in nats (the log-likelihood ratio of its toxic share against that of all rows): with a million terms, chance passes less than one.
-LEAST_EVIDENCE = 14.0
+#: Smallest evidence for a term, in nats (the log-likelihood ratio of its toxic share against that of all rows): with a million terms, chance
+#: passes some thirty. Chosen on labelled rows of remainder 3, learned from 0 and 1.
+LEAST_EVIDENCE = 8.0
 #: Minimum hashes of a text's word trigrams, and how many of them form a band: rows are compared where they share a band.
 SKETCHES, BAND = 64, 4
 #: Share of equal sketches (which estimates the Jaccard of the trigrams) from which two rows with one label are near copies.
 NEAR = 0.8
+#: What the accuracy of given labels is taken for before the votes are seen, with the weight of half the rows.
+LABEL_PRIOR = 0.97
 #: Length of the word beginnings that count as terms.
 STEMS = (4, 6)
 
@@ -78,7 +82,8 @@ def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # repeated rows once: TRAINING_ROWS holds for rows too
 
 
 _FACTORS = np.random.default_rng(8).integers(0, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,12 +106,13 @@ def _terms(training: DataFrame) -> DataFrame:
     """(doc_id, toxic, terms, hits, sketches): the distinct terms of each text, which patterns it has, and its sketches."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             texts = part.column(1).to_pylist()
             terms = pa.array([sorted(terms_of(t)) for t in texts], pa.list_(pa.string()))
             hits = pa.array([[bool(p.search(t)) for p in _PATTERNS] for t in texts], pa.list_(pa.bool_()))
             sketches = pa.array([x.tobytes() for x in _sketches(texts)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), terms, hits, sketches], ["doc_id", "toxic", "terms", "hits", "sketches"])
+        forget()
 
     return training.select("doc_id", "text", "toxic").mapInArrow(batches, "doc_id long, toxic int, terms array<string>, hits array<boolean>, sketches binary")
 
@@ -151,20 +157,26 @@ def mine(terms: DataFrame) -> list[tuple[str, float]]:
     return [(r.term, r.odds) for r in strong.orderBy(F.desc("evidence"), "term").limit(MOST_TERMS).collect()]
 
 
+def _rates(post: np.ndarray, votes: np.ndarray, prior: tuple[float, float] = (0.5, 1.0)) -> tuple[np.ndarray, np.ndarray]:
+    """P(vote | class 1) and P(vote | class 0) of each voter; prior: pseudo votes and rows of each class."""
+    hits, rows = prior
+    one = ((post @ votes) + hits) / (post.sum() + rows)
+    zero = (((1 - post) @ votes) + rows - hits) / ((1 - post).sum() + rows)
+    return np.clip(one, 1e-4, 1 - 1e-4), np.clip(zero, 1e-4, 1 - 1e-4)
+
+
 def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """The posterior of class 1 for each row of 0/1 votes.
+    """The posterior of class 1 for each row of 0/1 votes, ``known`` among them.
 
-    Fits P(vote | class) for each voter with the labels as a noisy vote of their own, finds the correlation of
+    Fits P(vote | class) for each voter, the given label included, finds the correlation of
     votes within the classes, and divides each voter's evidence by its share of repeated evidence."""
     rows, voters = votes.shape
-    silent = (votes.sum(axis=1) == 0).astype(float)
+    known = known.astype(float)
     post = known * 0.96 + 0.02
     weight = np.ones(voters)
-    anchor = np.log(np.array([0.03, 0.97]) / np.array([0.97, 0.03]))
     for k in range(rounds):
         prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
-        one = np.clip((post @ votes + 0.5) / (post.sum() + 1), 1e-4, 1 - 1e-4)
-        zero = np.clip(((1 - post) @ votes + 0.5) / ((1 - post).sum() + 1), 1e-4, 1 - 1e-4)
+        one, zero = _rates(post, votes)
         if k % 5 == 0:
             mean = np.outer(post, one) + np.outer(1 - post, zero)
             rest = votes - mean
@@ -172,11 +184,11 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 20) -> np.nd
             corr = np.abs(rest.T @ rest / rows / np.outer(spread, spread))
             np.fill_diagonal(corr, 0)
             weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(axis=1))
-        # a voter that doesn't fire abstains; only silence of all of them is evidence, once
-        none = silent @ post / (post.sum() + 1), silent @ (1 - post) / ((1 - post).sum() + 1)
-        evidence = votes @ (weight * np.log(one / zero)) + silent * np.log((none[0] + 1e-3) / (none[1] + 1e-3))
-        logit = np.log(prior / (1 - prior)) + evidence + anchor[known]
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        (hit,), (false,) = _rates(post, known[:, None], (LABEL_PRIOR * rows / 2, rows / 2))
+        said = np.where(known > 0, np.log(hit / false), np.log((1 - hit) / (1 - false)))
+        silence = np.log((1 - one) / (1 - zero))
+        evidence = votes @ (weight * (np.log(one / zero) - silence)) + (weight * silence).sum() + said
+        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -30, 30)))
     return post
 
 
@@ -199,33 +211,35 @@ def _logistic(columns: list[np.ndarray], size: int, goal: np.ndarray, rounds: in
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Learns from the labelled training rows; None where no toxic one is among them."""
-    read = _terms(_training(docs, labels)).persist()
-    try:
-        if not read.where("toxic > 0").head(1):
-            return None
-        terms = _originals(read)
-        found = mine(terms)
-        index = {t: i for i, (t, _) in enumerate(found)}
-        # rows come as indexes of mined terms only; their number is bounded
-        spark = docs.sparkSession
-        shared = spark.sparkContext.broadcast(index)
-
-        def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = shared.value
-            for part in parts:
+    read = written(_terms(_training(docs, labels)))  # TRAINING_ROWS rows at most
+    if not read.where("toxic > 0").head(1):
+        return None
+    terms = _originals(read)
+    found = mine(terms)
+    index = {t: i for i, (t, _) in enumerate(found)}
+    # rows come as indexes of mined terms only; their number is bounded
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def pick(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for whole in parts:
+            for at in range(0, whole.num_rows, 400):
+                part = whole.slice(at, 400)
                 ids = [[of[t] for t in ts if t in of] for ts in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), part.column(2)], ["toxic", "ids", "hits"])
+        give_back()
 
-        rows = terms.select("toxic", "terms", "hits").mapInArrow(pick, "toxic int, ids array<int>, hits array<boolean>").collect()
-    finally:
-        read.unpersist()
+    rows = terms.select("toxic", "terms", "hits").mapInArrow(pick, "toxic int, ids array<int>, hits array<boolean>").collect()
     known = np.array([r.toxic for r in rows])
     ids = [np.array(r.ids, dtype=np.int64) for r in rows]
     hits = np.array([r.hits for r in rows], dtype=float)
-    # terms of like odds form one voter: a weak one isn't taken for as sure as a strong one
-    voter = np.empty(len(found), dtype=np.int64)
-    voter[np.argsort([-o for _, o in found], kind="stable")] = np.arange(len(found)) * LEXICONS // len(found)
-    lexicon = np.zeros((len(rows), LEXICONS))
+    # terms of one kind and of like odds form a voter: a weak one isn't taken for as sure as a strong one
+    kinds = np.array([(0, *STEMS).index(len(t) - 1 if t.endswith("~") else 0) for t, _ in found], dtype=np.int64)
+    tier = np.empty(len(found), dtype=np.int64)
+    tier[np.argsort([-o for _, o in found], kind="stable")] = np.arange(len(found)) * TIERS // max(1, len(found))
+    hand = np.array([zlib.crc32(t.encode()) % HANDS for t, _ in found], dtype=np.int64)
+    voter = (kinds * TIERS + tier) * HANDS + hand
+    lexicon = np.zeros((len(rows), (1 + len(STEMS)) * TIERS * HANDS))
     for k, x in enumerate(ids):
         lexicon[k, np.unique(voter[x])] = 1
     post = label_model(np.hstack([lexicon, hits]), known)
@@ -258,17 +272,16 @@ def scorer(model: Model | None):
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with the column toxic_score (a column of that name is replaced)."""
-    docs = docs.drop("toxic_score")
-    at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = scorer(shared.value)
         for part in parts:
-            got = [score(c.as_py() or "") for c in part.column(at)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], [*part.schema.names, "toxic_score"])
+            yield pa.array([score(c.as_py() or "") for c in part], pa.float64())
+        give_back()
 
-    return docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())]))
+    # only texts go to Python, only numbers come back
+    return docs.drop("toxic_score").withColumn("toxic_score", F.arrow_udf(batches, "double")(F.col("text")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
