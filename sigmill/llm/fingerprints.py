@@ -5,7 +5,7 @@ follows one of CUTS), so that every document has many terms. Each paragraph hash
 document's fingerprint is the sum of its paragraphs' vectors, lane by lane modulo a power of two:
 
 * SUM_LANES lanes modulo 2**32 hold sums of 32-bit hashes: they tell different multisets apart;
-* BIT_LANES lanes modulo 2**20, three in a long, count the set bits of paragraph hashes by position: twice
+* lanes modulo 2**32, two in a long, count the set bits of paragraph hashes by position (a text has fewer paragraphs): twice
   the count less the number of paragraphs is a random +1/-1 projection of the multiset, so the cosine of two
   documents' lanes estimates the likeness of their paragraphs.
 
@@ -13,7 +13,7 @@ Order doesn't matter, equal multisets have equal fingerprints, and ``combine`` a
 (deletes) paragraphs without the rest of the document.
 
 Null text counts as empty, which is one empty paragraph. Every row gets a result, rows with equal doc_id
-included; rows in order of (doc_id, text), nulls first, have their "next document", and the last row's is
+included; rows in order of (doc_id, hash of text), nulls first, have their "next document", and the last row's is
 the first. A single row is its own next document. Other columns are ignored.
 
 Plan: documents are dealt once, by buckets of doc_id; the lead over a bucket, the paragraphs' sums and the
@@ -33,11 +33,12 @@ from sigmill.llm.shared import partitions, table
 CUTS = "aegknrt.,;:!?|。，"
 SPLIT = f"\\n|(?<=[{CUTS}]) +|(?<=[。！？，])"
 SEEDS = (11, 23, 37)
-LONGS = 20
+LONGS = 32
 SUM_LANES = 4
-LANE = (1 << 20) - 1
-SPREAD = LANE & 1 | 1 << 20 | 1 << 40
+SPREAD = 1 | 1 << 32
 WORD = (1 << 32) - 1
+#: Rows of a bucket, about.
+BUCKET_ROWS = 50_000
 
 
 def _paragraphs(text: Column) -> Column:
@@ -70,7 +71,7 @@ def _signed(vector: Column) -> Column:
     """The +1/-1 projections, as doubles."""
     packed = F.slice(vector, 2 + SUM_LANES, len(SEEDS) * LONGS)
     n = F.element_at(vector, 1)
-    lanes = F.flatten(F.transform(packed, lambda x: F.array(*[F.shiftright(x, s).bitwiseAND(F.lit(LANE)) for s in (0, 20, 40)])))
+    lanes = F.flatten(F.transform(packed, lambda x: F.array(x.bitwiseAND(F.lit(WORD)), F.shiftrightunsigned(x, 32))))
     return F.transform(lanes, lambda c: (c * 2 - n).cast("double"))
 
 
@@ -86,8 +87,10 @@ def _likeness(a: Column, b: Column, same: Column) -> Column:
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint vector of the union (sign 1) of two multisets, or of the difference (-1)."""
-    wide = F.zip_with(a, b, lambda x, y: x + y if sign == 1 else x - y)
-    return F.transform(wide, lambda x, i: F.when((i >= 1) & (i <= SUM_LANES), x.bitwiseAND(F.lit(WORD))).otherwise(x))
+    low, high = lambda x: x.bitwiseAND(F.lit(WORD)), lambda x: F.shiftrightunsigned(x, 32)
+    one = lambda x, y: low(x + y if sign == 1 else x - y)
+    # each lane of its own, so that none carries into the other
+    return F.zip_with(a, b, lambda x, y: one(low(x), low(y)).bitwiseOR(F.shiftleft(one(high(x), high(y)), 32)))
 
 
 def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -148,7 +151,8 @@ def edited_fingerprints(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents"), 2 * partitions(spark))
+    docs = table(spark, sf_dir, "documents")
+    return edited_fingerprints(docs, max(2 * partitions(spark), docs.count() // BUCKET_ROWS))
 
 
 QUERIES = {"op1_fingerprints": op1_fingerprints}

@@ -51,3 +51,12 @@ def test_likeness_follows_the_shared_share(documents):
     words = lambda n: " ".join("".join(random.choices("abcdefghiklmnort", k=6)) for _ in range(n))
     got = fp.edited_fingerprints(documents([(i, words(600)) for i in range(6)]), 2).collect()
     assert all(0.3 < r.near_edited < 0.7 and r.near_next < 0.25 for r in got)
+
+
+def test_very_many_paragraphs(spark):
+    docs = spark.sql("SELECT id AS doc_id, repeat('x\n', CAST(1000000 + id * 100000 AS INT)) AS text FROM range(2)")
+    got = {r.doc_id: r for r in fp.edited_fingerprints(docs, 1).collect()}
+    assert got[0].near_next > 0.999 and got[0].fingerprint != got[1].fingerprint
+    v = fp.fingerprints(docs, ["doc_id"])
+    r = v.agg(*[F.max(F.when(F.col("doc_id") == i, F.col("vector"))).alias(f"v{i}") for i in (0, 1)]).select(fp.combine(fp.F.col("v1"), F.col("v0"), -1).alias("rest")).first()
+    assert r.rest[0] == 100_000 and all(0 <= x & (2**32 - 1) <= 100_000 and 0 <= x >> 32 <= 100_000 for x in r.rest[1 + fp.SUM_LANES :])
