@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm.shared import table, written
+from sigmill.llm.shared import table, unused, written
 
 #: A line of fewer words is keyed together with the line before it.
 ANCHOR_WORDS = 5
@@ -156,12 +156,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, keep_emptied: bool = False) -> DataFrame:
     """``docs`` without the repeated blocks; n_chars follows where it is a column."""
-    gone = written(repeated_lines(docs)).select(*[F.col(c).alias(f"_{c}") for c in ("node", "proof", "first", "gone", "whole")])
+    own = {c: unused(docs, f"_{c}") for c in ("node", "proof", "first", "gone", "whole")}
+    gone = written(repeated_lines(docs)).select(*[F.col(c).alias(n) for c, n in own.items()])
     node, proof = _hashes(F.col("text"))
-    out = docs.join(gone, (node == F.col("_node")) & (proof == F.col("_proof")) & docs["doc_id"].isNotNull(), "left")
-    copy = F.col("_whole") & (docs["doc_id"].cast("long") > F.col("_first"))
-    kept = F.when(copy, F.array().cast("array<string>")).otherwise(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)))
-    changed = F.coalesce(copy, F.lit(False)) | F.col("_gone").isNotNull()
+    out = docs.join(gone, (node == F.col(own["node"])) & (proof == F.col(own["proof"])) & docs["doc_id"].isNotNull(), "left")
+    copy = F.col(own["whole"]) & (F.col("doc_id").cast("long") > F.col(own["first"]))
+    kept = F.when(copy, F.array().cast("array<string>")).otherwise(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(own["gone"], i)))
+    changed = F.coalesce(copy, F.lit(False)) | F.col(own["gone"]).isNotNull()
     if not keep_emptied:
         out = out.where(~changed | F.exists(kept, lambda x: F.trim(x) != ""))
     out = out.withColumn("text", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns)

@@ -65,5 +65,13 @@ def give_back() -> None:
         pass
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has a column of that name in either case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

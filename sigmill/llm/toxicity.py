@@ -270,8 +270,8 @@ def scorer(model: Model | None):
     return score
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with the column toxic_score (a column of that name is replaced)."""
+def scored(docs: DataFrame, model: Model | None, name: str = "toxic_score") -> DataFrame:
+    """``docs`` with the column ``name`` (a column of that name is replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -281,7 +281,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
         give_back()
 
     # only texts go to Python, only numbers come back
-    return docs.drop("toxic_score").withColumn("toxic_score", F.arrow_udf(batches, "double")(F.col("text")))
+    return docs.drop(name).withColumn(name, F.arrow_udf(batches, "double")(F.col("text")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
