@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.llm import line_dedup, ngram_join, packing, pii, toxicity
-from sigmill.llm.shared import partitions, table, written
+from sigmill.llm.shared import partitions, table, unused, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where(F.col("toxic_score") < toxicity.THRESHOLD).drop("toxic_score")
+    name = unused(docs, "toxic_score")
+    return toxicity.scored(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that share a doc_id stay or go together."""
     near = ngram_join.join(docs, n=5, percent=80)
-    gone = near.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = near.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ STAGES = [
 ]
 
 #: The classifier, the alignment and the tokenizer are beyond SQL: the stages are tested against brute force instead.
-ORACLE_SQL = None
+ORACLE_SQL = None  # tests/llm/test_pipeline.py
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
