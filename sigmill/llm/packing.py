@@ -15,11 +15,13 @@ stream, so memory follows the longest document only.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +33,17 @@ DIMENSIONS = 3
 BITS = 10
 #: Rows of the sample per range from which the ranges' bounds come.
 SAMPLE_PER_RANGE = 20
-#: Words whose ids a task keeps.
-KEPT_WORDS = 150_000
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 300_000
 #: Characters on which str.split and the tokenizer's notion of space differ.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
+#: Words of letters whose lower case is one letter and that no normal form changes, with marks behind them, which are one pretoken.
+LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)")
+#: The spelling of bytes in the vocabulary: printable ones as they are, the others in order from 256 on; spaces stay, they part words.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED) if b != 32}
+
 _state: dict = {}
 
 
@@ -46,6 +54,7 @@ class _Words:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -54,63 +63,68 @@ class _Words:
         for token, i in self.tokenizer.get_vocab().items():
             ends[i] = token.endswith("</w>")
         self.ends = ends
-        self.kept: dict[str, bytes] = {}
-        self.marks = {m: self._ids([m])[0] for m in ".,"}
+        self.kept: dict[str, bytes] = {"": b""}
+        # the same merges without normaliser and pattern, for words that need neither: plain letters, in the vocabulary's spelling of bytes
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = WhitespaceSplit()
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _simple(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters only: one pretoken each, so that each ends at its end-of-word token."""
+        """Ids of lower-case words of LETTERS only: one pretoken each, so that each ends at its end-of-word token."""
         out: list[bytes] = []
-        for k in range(0, len(words), 256):
-            part = words[k : k + 256]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+        width = np.dtype(self.dtype).itemsize
+        parts = [words[k : k + 32] for k in range(0, len(words), 32)]
+        spelled = (" ".join(words).encode().decode("latin-1").translate(BYTES)).split(" ") if words else []
+        texts = [" ".join(spelled[k : k + 32]) for k in range(0, len(words), 32)]
+        for part, e in zip(parts, self.letters.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.asarray(e.ids, dtype=self.dtype)
+            cuts = (np.flatnonzero(self.ends[ids]) * width + width).tolist()
             if len(cuts) == len(part):
-                out += [x.tobytes() for x in np.split(ids, cuts[:-1])]
+                raw = ids.tobytes()
+                out += [raw[b:e] for b, e in zip([0, *cuts], cuts)]
             else:
                 out += self._ids(part)
         return out
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that aren't kept yet."""
-        stems, whole = {}, []
-        for w in words:
-            stem = w[:-1] if w[-1] in ".," else w
-            if stem.isalpha() and stem.isascii():
-                stems[w] = stem.lower()
-            else:
-                whole.append(w)
-        new = dict(zip(whole, self._ids(whole)))
-        need = list({s for s in stems.values() if s not in self.kept})
+        found = [(w, m) for w in words if (m := LETTERS.fullmatch(w))]
+        whole = list(words) if not found else list(words.difference([w for w, _ in found]))
+        pairs = [(w, m[1].lower(), m[2]) for w, m in found]
+        kept, marks = self.kept, self.marks
+        need = list({stem for _, stem, _ in pairs}.difference(kept.keys()))
         of = dict(zip(need, self._simple(need)))
-        for w, s in stems.items():
-            ids = of.get(s) or self.kept[s]
-            new[w] = ids + self.marks[w[-1]] if w[-1] in ".," else ids
-        if len(self.kept) < KEPT_WORDS:
-            self.kept.update(of)
-            self.kept.update(new)
+        if more := list({mark for _, _, mark in pairs}.difference(marks.keys())):
+            marks.update(zip(more, self._ids(more)))
+        new = dict(zip(whole, self._ids(whole)))
+        new.update([(w, (of.get(stem) or kept[stem]) + marks[mark]) for w, stem, mark in pairs])
+        if len(kept) < KEPT_WORDS:
+            kept.update(of)
+            kept.update(new)
         return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, out, missing, open_ = self.kept.get, [], set(), []
-        for t in texts:
-            if any([c in t for c in ODD_SPACES]):
-                out.append(self._ids([t])[0])
-                continue
-            words = t.split()
-            ids = list(map(get, words))
-            try:
-                out.append(b"".join(ids))
-            except TypeError:  # a word that isn't kept
-                missing.update([w for w, x in zip(words, ids) if x is None])
-                open_.append((len(out), words, ids))
-                out.append(b"")
-        new = self.learn(missing) if missing else {}
-        for k, words, ids in open_:
-            out[k] = b"".join([new[w] if x is None else x for w, x in zip(words, ids)])
-        return out
+        odd = {k: self._ids([t])[0] for k, t in enumerate(texts) if any([c in t for c in ODD_SPACES])}
+        split = pc.utf8_split_whitespace(pa.array([t if k not in odd else "" for k, t in enumerate(texts)], pa.string()))
+        coded = split.flatten().dictionary_encode()  # each word once, and where it stands
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = list(map(self.kept.get, distinct))
+        if missing := {w for w, x in zip(distinct, known) if x is None}:
+            new = self.learn(missing)
+            known = [new[w] if x is None else x for w, x in zip(distinct, known)]
+        # the ids of all words in a row, then those of the texts' words gathered from there
+        kind = np.dtype(self.dtype)
+        lengths = np.fromiter(map(len, known), dtype=np.int32, count=len(known)) // kind.itemsize
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
+        widths = lengths[at]
+        ends = np.cumsum(widths, dtype=np.int32)
+        place = np.repeat(starts[at] - (ends - widths), widths) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+        raw = np.frombuffer(b"".join(known), dtype=kind)[place].tobytes()
+        cuts = (np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()].astype(np.int64) * kind.itemsize).tolist()
+        return [odd[k] if k in odd else raw[b:e] for k, (b, e) in enumerate(zip(cuts, cuts[1:]))]
 
 
 def _words(vocabulary: str) -> _Words:
@@ -172,7 +186,7 @@ def tokenized(docs: DataFrame, vocabulary: str, bounds: list[int] | None = None)
         words, cuts = _words(vocabulary), np.array(bounds or [], dtype=np.int64)
         kind = np.dtype(words.dtype)
         end = np.array([END_ID], dtype=kind).tobytes()
-        for part in slices(parts):
+        for part in slices(parts, rows=5000, size=4 << 20):
             ids = [x + end for x in words.encode([t or "" for t in part.column(1).to_pylist()])]
             lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // kind.itemsize
             flat = np.frombuffer(b"".join(ids), dtype=kind)
@@ -180,7 +194,6 @@ def tokenized(docs: DataFrame, vocabulary: str, bounds: list[int] | None = None)
             place = np.searchsorted(cuts, curve, side="right").astype(np.int32)
             width = np.full(len(ids), kind.itemsize, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(curve), pa.array(place), pa.array(width), pa.array(ids, pa.binary())], ["doc_id", "curve", "place", "width", "ids"])
-        words.kept.clear()
         give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, "doc_id long, curve long, place int, width int, ids binary")

@@ -39,8 +39,8 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(parts: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Parts of Arrow batches with SLICE_ROWS rows at most, and SLICE_BYTES of column ``text`` unless one row has more; at
+def slices(parts: Iterator[pa.RecordBatch], text: int = 1, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches with ``rows`` rows at most, and ``size`` bytes of column ``text`` unless one row has more; at
     the end, the worker gives what it freed back to the machine."""
     for whole in parts:
         column = whole.column(text)
@@ -49,7 +49,7 @@ def slices(parts: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.Record
         at = 0
         while at < whole.num_rows:
             begun, end = ends[column.offset + at], at + 1
-            while end < whole.num_rows and end - at < SLICE_ROWS and ends[column.offset + end + 1] - begun <= SLICE_BYTES:
+            while end < whole.num_rows and end - at < rows and ends[column.offset + end + 1] - begun <= size:
                 end += 1
             yield whole.slice(at, end - at)
             at = end
