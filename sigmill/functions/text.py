@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns and constants below must equal what sources use.
 #: A word of any script. ``\\w`` differs between engines on letters with accents, this doesn't.
 WORD = r"[\p{L}\p{N}_]+"
 #: Two to four numbers of up to four digits, parted by dots.
@@ -100,18 +103,21 @@ def jaro(a: str, b: str) -> float:
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
 
 
-def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        x, y = x.lower(), y.lower()
-        same = 0
-        while same < min(4, len(x), len(y)) and x[same] == y[same]:
-            same += 1
-        j = jaro(x, y)
-        return j + 0.1 * same * (1 - j)
+def winkler(x: str, y: str) -> float:
+    x, y = x.lower(), y.lower()
+    same = 0
+    while same < min(4, len(x), len(y)) and x[same] == y[same]:
+        same += 1
+    j = jaro(x, y)
+    return j + 0.1 * same * (1 - j)
+
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+    known: dict[tuple, float | None] = {}  # equal pairs of a batch are compared once
+    for pair in zip(a, b):
+        if pair not in known:
+            known[pair] = None if pair[0] is None or pair[1] is None else winkler(*pair)
+    return pd.Series([known[pair] for pair in zip(a, b)], dtype="float64")
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
@@ -119,6 +125,12 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return F.pandas_udf(_jaro_winkler, "double")(a, b)
 
 
+def bigram_dice(a: str, b: str) -> float:
+    x, y = (Counter(s[i : i + 2] for i in range(len(s) - 1)) for s in ("".join(a.split()), "".join(b.split())))
+    every = x.total() + y.total()
+    return 1.0 if a == b else 2 * (x & y).total() / every if every else 0.0
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in double precision, 0 where a norm is 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -1,22 +1,25 @@
 """String, token and vector similarity, and evaluation of label predictions.
 
-Comparisons of strings go to stated candidates (neighbouring keys, one first word); vectors to a bounded set of questions,
-which is broadcast. DuckDB's Jaro similarity cuts half a transposition off, ours does not: jaro_winkler and fuzzy_best have no SQL
+Vector queries ask for every row whose vec_id is divisible by EVERY, fuzzy matching for every distinct name, against all rows in blocks.
+DuckDB's Jaro similarity cuts half a transposition off, ours does not: jaro_winkler and fuzzy_best have no SQL
 and are tested against a brute-force version.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigmill.functions import text as X
+from sigmill.operators import blocks as B
+from sigmill.operators.fuzzy import fuzzy
 from sigmill.operators.labels import sized
 from sigmill.sources.tables import load
 
-#: Questions of the vector queries: the first row of each label, and of these so many at most.
-QUESTIONS = 16
+#: The vector queries ask for every row whose vec_id is divisible by this number.
+EVERY = 100
 # The names of the dictionary query, and the letters that may stand around a name.
 NAMES = ("The Rewh", "the", "that in", "orantion", "mit license", "token")
 EDGE = r"[\s,.()\[\]\"'!?;:/\\]"
@@ -45,20 +48,20 @@ def dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of the distinct names that share a first word, for each distinct name: 0.6 Jaro-Winkler + 0.4 Dice, and its class."""
-    names = load(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.split("p_name", " ")[0].alias("first")).distinct()
-    both = names.join(names.select(F.col("name").alias("other"), "first"), "first").where("name <> other")
-    scored = both.select("name", "other", F.round(0.6 * X.jaro_winkler(F.col("name"), F.col("other")) + 0.4 * X.dice(F.col("name"), F.col("other")), 4).alias("score"))
-    best = scored.groupBy("name").agg(F.max(F.struct("score", "other")).alias("m")).select("name", F.col("m.other").alias("best"), F.col("m.score").alias("score"))
-    return best.withColumn("match", F.when(F.col("score") >= 0.9, "match").when(F.col("score") >= 0.6, "partial").otherwise("none"))
+    """The best match of each distinct name among all others: equal without case 1, the only one that contains it or is contained 0.95, else
+    0.6 Jaro-Winkler + 0.4 Dice; from 0.9 a match, from 0.6 partial. Suggestions: up to three names, of 0.5 or more where the match is partial."""
+    names = load(spark, sf_dir, "part").select(F.col("p_name").alias("name")).where("name is not null").distinct()
+    return fuzzy(names.select(F.col("name").alias("query")), names)
 
 
 def dict_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest dictionary name (four letters or more) in each document, probed by its first word; ties by name."""
     names = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{n}')" for n in NAMES) + " AS n(name)").where("length(trim(name)) >= 4")
     names = names.select("name", F.lower("name").alias("low"), F.split(F.lower("name"), r"[\s\-_.]")[0].alias("word"))
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
-    probes = docs.select("doc_id", "text", F.explode(X.words(F.col("text"))).alias("word")).join(sized(names), "word")
+    docs = load(spark, sf_dir, "documents")
+    # words alone meet the names; texts come back for the documents that have candidates
+    hits = docs.select("doc_id", F.explode(X.words(F.col("text"))).alias("word")).join(sized(names), "word").drop("word").distinct()
+    probes = hits.join(docs.select("doc_id", F.lower("text").alias("text")), "doc_id")
     at = F.instr("text", F.col("low"))
     edge = lambda c: (c == "") | c.rlike(EDGE)
     before, after = F.when(at > 1, F.substring("text", at - 1, F.lit(1))).otherwise(""), F.substring("text", at + F.length("low"), F.lit(1))
@@ -67,21 +70,25 @@ def dict_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", F.col("m.name").alias("name"))
 
 
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row of the smallest vec_id of each label."""
-    first = load(spark, sf_dir, "embeddings").groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("m"))
-    return first.orderBy("label").limit(QUESTIONS).select(F.col("m.vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("m.embedding").alias("q"))
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All rows, and the questions among them."""
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return rows, rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("q"))
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosines of every row with the stated questions: at most QUESTIONS of them, so they are broadcast."""
-    rows = load(spark, sf_dir, "embeddings").join(F.broadcast(_questions(spark, sf_dir)), F.col("vec_id") != F.col("query_id"))
-    return rows.select("query_id", "query_label", "vec_id", "label", F.round(X.cosine(F.col("embedding"), F.col("q")), 5).alias("score"))
+def _nearest(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """The k rows nearest to each question by cosine, ties to the smaller vec_id."""
 
+    def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        like = B.cosines(q["q"], r["embedding"])
+        a, b = B.best(like, r["vec_id"].to_numpy(), q["query_id"].to_numpy(), k)
+        cell = lambda side, name, at: side[name].to_numpy()[at]
+        return pd.DataFrame({"query_id": cell(q, "query_id", a), "query_label": cell(q, "query_label", a), "vec_id": cell(r, "vec_id", b), "label": cell(r, "label", b), "score": like[a, b]})
 
-def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, questions = _sides(spark, sf_dir)
+    found = B.against(rows, questions, "vec_id", "query_id", score, "query_id long, query_label int, vec_id long, label int, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
-    return _scores(spark, sf_dir).withColumn("rank", rank).where("rank <= 5")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,18 +104,32 @@ def knn_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def greedy_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision (mean best score of the questions), recall (of the rows), their harmonic mean and the risk tier, for each label's rows."""
-    s = _scores(spark, sf_dir)
-    p = s.groupBy("label", "query_id").agg(F.max("score").alias("best")).groupBy("label").agg(F.avg("best").alias("p"))
-    r = s.groupBy("label", "vec_id").agg(F.max("score").alias("best")).groupBy("label").agg(F.avg("best").alias("r"))
-    out = p.join(r, "label").select("label", F.round("p", 3).alias("precision"), F.round("r", 3).alias("recall"), F.round(X.harmonic(F.col("p"), F.col("r")), 3).alias("f1"))
+
+    def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        like = B.cosines(q["q"], r["embedding"])
+        like[q["query_id"].to_numpy()[:, None] == r["vec_id"].to_numpy()[None, :]] = -2
+        out = []
+        for label, at in r.groupby("label").indices.items():
+            part = like[:, at]
+            if part.size:
+                out.append(pd.DataFrame({"side": "p", "label": label, "id": q["query_id"], "best": part.max(axis=1)}))
+                out.append(pd.DataFrame({"side": "r", "label": label, "id": r["vec_id"].to_numpy()[at], "best": part.max(axis=0)}))
+        out = pd.concat(out) if out else pd.DataFrame({"side": pd.Series(dtype=str), "label": [], "id": [], "best": []})
+        return out[out["best"] > -2].astype({"label": "int32", "id": "int64", "best": "float64"})
+
+    rows, questions = _sides(spark, sf_dir)
+    s = B.against(rows, questions, "vec_id", "query_id", score, "side string, label int, id long, best double").groupBy("side", "label", "id").agg(F.max("best").alias("best"))
+    sides = s.groupBy("label").pivot("side", ["p", "r"]).agg(F.avg("best")).where("p is not null and r is not null")
+    out = sides.select("label", F.round("p", 3).alias("precision"), F.round("r", 3).alias("recall"), F.round(X.harmonic(F.col("p"), F.col("r")), 3).alias("f1"))
     return out.withColumn("risk", F.when(F.col("precision") >= 0.78, "low").when(F.col("precision") >= 0.55, "medium").otherwise("high"))
 
 
 def overlap_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct terms that a document shares with the benchmark item of its number modulo 40."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), X.terms(F.col("text")).alias("a"))
-    items = load(spark, sf_dir, "benchmark").select("item_id", X.terms(F.col("text")).alias("b"))
-    joined = docs.join(sized(items, 10_000), "item_id").withColumn("both", F.size(F.array_intersect("a", "b")))
+    """Distinct terms that a document shares with the benchmark item of its number modulo the number of items."""
+    items = load(spark, sf_dir, "benchmark")
+    n = items.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))  # one row
+    docs = load(spark, sf_dir, "documents").join(F.broadcast(n)).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"), X.terms(F.col("text")).alias("a"))
+    joined = docs.join(sized(items.select("item_id", X.terms(F.col("text")).alias("b")), 10_000), "item_id").withColumn("both", F.size(F.array_intersect("a", "b")))
     share = lambda c: F.when(F.size(c) > 0, F.col("both") / F.size(c)).otherwise(0.0)
     return joined.select("doc_id", F.round(share("a"), 3).alias("precision"), F.round(share("b"), 3).alias("recall"), F.round(X.harmonic(share("a"), share("b")), 3).alias("f1"))
 
@@ -137,8 +158,8 @@ QUERIES = {f.__name__: f for f in (levenshtein_norm, jaro_winkler, dice, fuzzy_b
 _PAIRS = "SELECT x.p_partkey AS id, x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1"
 _GRAMS = lambda a: f"list_transform(range(1, length(replace({a}, ' ', ''))), lambda i: substr(replace({a}, ' ', ''), i::INT, 2))"
 _DICE = lambda a, b: f"CASE WHEN {a} = {b} THEN 1.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct({_GRAMS(a)}), lambda g: least(len(list_filter({_GRAMS(a)}, lambda z: z = g)), len(list_filter({_GRAMS(b)}, lambda z: z = g))))), 0) / (len({_GRAMS(a)}) + len({_GRAMS(b)})) END"
-_SCORES = f"""SELECT query_id, query_label, vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 5) AS score FROM embeddings JOIN (
-  SELECT arg_min(vec_id, vec_id) AS query_id, label AS query_label, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label ORDER BY label LIMIT {QUESTIONS}) ON vec_id <> query_id"""
+_SCORES = f"""SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score
+  FROM embeddings e JOIN embeddings q ON q.vec_id % {EVERY} = 0 AND e.vec_id <> q.vec_id"""
 _NEAREST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_SCORES})) WHERE rank <= 5"
 _TERMS = lambda t: f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({t}), '[^a-z0-9\\s]', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+'), lambda x: length(x) > 2))"
 _PREDICTED = "SELECT doc_id, quality AS y, (n_chars >= 400)::INT AS p FROM labels JOIN documents USING (doc_id)"
@@ -157,7 +178,7 @@ ORACLE = {
       r AS (SELECT label, avg(b) AS r FROM (SELECT label, vec_id, max(score) AS b FROM s GROUP BY ALL) GROUP BY label)
       SELECT label, round(p, 3) AS precision, round(r, 3) AS recall, CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 3) ELSE 0 END AS f1,
         CASE WHEN round(p, 3) >= 0.78 THEN 'low' WHEN round(p, 3) >= 0.55 THEN 'medium' ELSE 'high' END AS risk FROM p JOIN r USING (label)""",
-    "overlap_f1": f"""WITH t AS (SELECT doc_id, {_TERMS('d.text')} AS a, {_TERMS('b.text')} AS b FROM documents d JOIN benchmark b ON item_id = doc_id % 40),
+    "overlap_f1": f"""WITH t AS (SELECT doc_id, {_TERMS('d.text')} AS a, {_TERMS('b.text')} AS b FROM documents d JOIN benchmark b ON item_id = doc_id % (SELECT count(*) FROM benchmark)),
       s AS (SELECT doc_id, CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END AS p, CASE WHEN len(b) > 0 THEN len(list_intersect(a, b)) / len(b) ELSE 0 END AS r FROM t)
       SELECT doc_id, round(p, 3) AS precision, round(r, 3) AS recall, CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 3) ELSE 0 END AS f1 FROM s""",
     "kappa": f"""SELECT n, round(po, 4) AS accuracy, CASE WHEN pe = 1 THEN 0 ELSE round((po - pe) / (1 - pe), 4) END AS kappa FROM (

@@ -1,6 +1,6 @@
 """String similarity against brute-force versions and hand-computed cases."""
 
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 import pytest
@@ -52,13 +52,43 @@ def test_jaro_winkler_against_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 6e-5 for k in want)
 
 
-def test_fuzzy_best_against_brute_force(spark):
-    groups = defaultdict(set)
-    for _, n in names():
-        groups[n.split(" ")[0]].add(n)
-    want = {a: max(0.6 * winkler(a, b) + 0.4 * dice(a, b) for b in g if b != a) for g in groups.values() if len(g) > 1 for a in g}
-    got = {r.name: r.score for r in plans.queries()["fuzzy_best"](spark, DATA).collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 6e-5 for k in want)
+def fuzzy_brute(queries, listed):
+    out = {}
+    for a in queries:
+        low = a.lower()
+        scores = sorted((-(1.0 if low == b.lower() else round(0.6 * winkler(low, b.lower()) + 0.4 * dice(low, b.lower()), 4)), b) for b in listed if b != a)
+        inside = [b for _, b in scores if low in b.lower() or b.lower() in low]
+        score, best = -scores[0][0], scores[0][1]
+        if score < 1 and len(inside) == 1:
+            score, best = 0.95, inside[0]
+        near = [b for s, b in scores[:3] if score < 0.6 or -s >= 0.5] if score < 0.9 else []
+        out[a] = (best if score >= 0.6 else None, score, "match" if score >= 0.9 else "partial" if score >= 0.6 else "none", near)
+    return out
+
+
+@pytest.mark.parametrize("blocks", [(20_000, 2_000), (7, 5)])
+def test_fuzzy_best_against_brute_force(spark, monkeypatch, blocks):
+    from sigmill.operators import blocks as B
+
+    monkeypatch.setattr(B, "ROWS", blocks[0])
+    monkeypatch.setattr(B, "QUERIES", blocks[1])
+    every = sorted({n for _, n in names()})
+    got = plans.queries()["fuzzy_best"](spark, DATA).collect()
+    shown = {r["query"]: (r.best, r.score, r.match, [x.rsplit(":", 1)[0] for x in r.suggestions.split(";") if x]) for r in got}
+    want = fuzzy_brute(every, every)
+    assert shown.keys() == want.keys()
+    for k in want:
+        assert shown[k][0] == want[k][0] and abs(shown[k][1] - want[k][1]) < 6e-5 and shown[k][2:] == want[k][2:], k
+
+
+def test_fuzzy_tiers(spark):
+    from sigmill.operators.fuzzy import fuzzy
+
+    frame = lambda rows, c: spark.createDataFrame([(r,) for r in rows], f"{c} string")
+    got = {r["query"]: r for r in fuzzy(frame(["UBUNTU", "ubuntu linux", "zzz", "martha"], "query"), frame(["ubuntu", "debian", "marhta"], "name")).collect()}
+    assert (got["UBUNTU"].best, got["UBUNTU"].score) == ("ubuntu", 1.0) and (got["ubuntu linux"].best, got["ubuntu linux"].score) == ("ubuntu", 0.95)
+    assert got["zzz"].match == "none" and got["zzz"].best is None and len(got["zzz"].suggestions.split(";")) == 3
+    assert fuzzy(frame([], "query"), frame(["a"], "name")).count() == 0
 
 
 def test_nulls_and_empty_strings(spark):
