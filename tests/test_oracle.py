@@ -26,8 +26,8 @@ def db():
     return con
 
 
-#: Tested against brute force in test_similarity.py.
-WITHOUT_SQL = {"jaro_winkler", "fuzzy_best"}
+#: Tested against plain versions in test_similarity.py and test_learning.py.
+WITHOUT_SQL = {"jaro_winkler", "fuzzy_best", "sentiment_scores", "split_sizes", "language_naive_bayes", "language_logistic", "language_forest"}
 
 
 def test_all_have_sql():
