@@ -103,6 +103,17 @@ def long_words(title: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(title), r"\s+"), lambda w: F.length(w) > 4))
 
 
+def related(findings: DataFrame, most: int = 5) -> DataFrame:
+    """``findings`` (id, repo, title) with the number of earlier ones of the repository that share a long word, ``most`` at most, and how sure a recurrence is.
+
+    A word's first ids say enough: with ``most`` of them before a finding the number is reached, with fewer they are all there are."""
+    words = findings.select("repo", "id", F.explode(long_words(F.col("title"))).alias("_word"))
+    first = words.withColumn("n", F.row_number().over(W.partitionBy("repo", "_word").orderBy("id"))).where(F.col("n") <= most).groupBy("repo", "_word").agg(F.collect_list("id").alias("_ids"))
+    held = words.join(first, ["repo", "_word"]).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(F.filter("_ids", lambda x: x < F.col("id"))))).alias("_before"))
+    out = findings.join(held, "id", "left").withColumn("earlier", F.least(F.coalesce(F.size("_before"), F.lit(0)), F.lit(most)).cast("long")).drop("_before")
+    return out.withColumn("confidence", recurrence(F.col("earlier")))
+
+
 @detector("bugs")
 def bugs(rows: DataFrame) -> DataFrame:
     severity = F.when(F.col("tool") == "bandit", F.when(F.col("rank") == "HIGH", "high").when(F.col("rank") == "MEDIUM", "medium")).when((F.col("tool") == "ruff") & F.col("code").startswith("B"), "high")

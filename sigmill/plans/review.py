@@ -134,10 +134,8 @@ def similar_past(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_past(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each kind of finding of a repository, in how many later pull requests a finding shares one of its long words."""
-    rows = findings(spark, sf_dir)
-    words = rows.select("repo", "id", F.explode(D.long_words(F.col("title"))).alias("word"))
-    return words.groupBy("repo", "word").agg(F.count_distinct("id").alias("found"), F.min("id").alias("first"), F.max("id").alias("last"))
+    """For each finding, how many earlier ones of its repository share a long word with it, five at most, and the confidence that it recurs."""
+    return D.related(findings(spark, sf_dir)).select("id", "earlier", "confidence")
 
 
 def tool_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +243,9 @@ ORACLE = {
     "file_languages": "SELECT ['Python', 'TypeScript', 'Markdown', 'Unknown', 'Unknown', 'JSON'][event_id % 6 + 1] AS language, count(*) AS files FROM events GROUP BY 1",
     "sql_statements": """SELECT p_partkey, name, sql, line FROM (SELECT p_partkey, 'select_1' AS name, 'select 1' AS sql, 1::BIGINT AS line FROM part UNION ALL SELECT p_partkey, 'insert_2', 'insert into t values (' || p_size || ')', 2 FROM part WHERE p_partkey % 2 = 0
       UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'with_4' ELSE 'with_4' END, 'with x as (select 2) select * from x', 4 FROM part)""",
-    "related_past": f"""SELECT repo, word, count(DISTINCT id) AS found, min(id) AS first, max(id) AS last FROM (SELECT repo, id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda w: length(w) > 4))) AS word FROM ({_FINDINGS})) GROUP BY repo, word""",
+    "related_past": f"""WITH w AS (SELECT DISTINCT repo, id, unnest(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda w: length(w) > 4)) AS word FROM ({_FINDINGS})),
+      e AS (SELECT a.id, least(count(DISTINCT b.id), 5) AS n FROM w a JOIN w b ON a.repo = b.repo AND a.word = b.word AND b.id < a.id GROUP BY a.id)
+      SELECT f.id, coalesce(n, 0) AS earlier, CASE WHEN n >= 2 THEN round(least(0.5 + 0.1 * n, 0.95)::DOUBLE, 2) END AS confidence FROM ({_FINDINGS}) f LEFT JOIN e USING (id)""",
     "tool_findings": f"""WITH i AS (SELECT event_id AS id, {_EVENT('ruff', 'mypy', 'bandit', 'radon')} AS tool, {_EVENT('F821', 'E902', 'B006', 'F401', 'E501', 'W291', 'N802')} AS code, {_EVENT('error', 'warning', 'note')} AS level, {_EVENT('HIGH', 'MEDIUM', 'LOW')} AS rank, event_id % 25 AS c FROM events)
       SELECT id, 'bugs' AS agent, CASE rank WHEN 'HIGH' THEN 'high' ELSE 'medium' END AS severity FROM i WHERE tool = 'bandit' AND rank <> 'LOW' UNION ALL SELECT id, 'bugs', 'high' FROM i WHERE tool = 'ruff' AND code[1] = 'B'
       UNION ALL SELECT id, 'quality', CASE WHEN code[:2] IN ('F8', 'E9') THEN 'high' WHEN code[:2] = 'F4' OR code[1] = 'B' THEN 'medium' ELSE 'low' END FROM i WHERE tool = 'ruff' UNION ALL SELECT id, 'quality', 'high' FROM i WHERE tool = 'mypy' AND level = 'error'

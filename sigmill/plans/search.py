@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigmill.functions import text as X
-from sigmill.operators.labels import sized
 from sigmill.sources.tables import load
 
 NOW = "2026-02-11"
@@ -21,8 +20,10 @@ KEYWORDS = ("error", "mit", "license", "the", "broken", "broken")
 _DATE = "strftime(o_orderdate, '%Y%m%d')"
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, '{q}')" for k, q in enumerate(QUESTIONS)) + " AS q(id, question)")
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each document, by its number."""
+    text = F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("doc_id") % len(QUESTIONS) + 1).cast("int"))
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.alias("question"))
 
 
 def intent(q: Column) -> Column:
@@ -78,8 +79,8 @@ def search_cve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def date_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The releases of each channel's newest date."""
     rows = releases(spark, sf_dir)
-    last = rows.groupBy("channel").agg(F.max("date").alias("date"))
-    return rows.join(sized(last), ["channel", "date"]).select("channel", "date", "id")
+    last = rows.groupBy("channel").agg(F.max("date").alias("date"))  # small or not is known when it has run: adaptive execution picks the join
+    return rows.join(last, ["channel", "date"]).select("channel", "date", "id")
 
 
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,12 +124,13 @@ def negative_only_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intent_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions(spark).select("id", "question", intent(F.col("question")).alias("intent"))
+    return questions(spark, sf_dir).select("id", "question", intent(F.col("question")).alias("intent"))
 
 
 def date_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = date_range_of(F.col("question"), F.lit(NOW).cast("date"))
-    return questions(spark).withColumn("span", span).select("id", F.col("span.from").cast("string").alias("since"), F.col("span.to").cast("string").alias("until"))
+    kind = F.when(F.lower("question").contains("latest"), "latest").when(F.col("span.from") == F.col("span.to"), "exact").when(F.col("span").isNotNull(), "range")
+    return questions(spark, sf_dir).withColumn("span", span).select("id", kind.alias("kind"), F.col("span.from").cast("string").alias("since"), F.col("span.to").cast("string").alias("until"))
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +157,7 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (search_breaking, search_patch, search_cve, date_latest, date_range, broad_top10, merge_dedupe, tag_contains, tag_counts, relevance, negative_only_words, intent_class, date_phrase, completeness, gate_decision)}
 _SEARCH = lambda where: f"SELECT software, rank, id, date, total FROM (SELECT c_mktsegment AS software, o_orderkey AS id, {_DATE} AS date, count(*) OVER (PARTITION BY c_mktsegment) AS total, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_DATE} DESC, o_orderkey) AS rank FROM orders JOIN customer ON c_custkey = o_custkey WHERE {where}) WHERE rank <= 20"
-_Q = "(VALUES " + ", ".join(f"({k}, '{q}')" for k, q in enumerate(QUESTIONS)) + ") AS q(id, question)"
+_Q = "(SELECT doc_id AS id, [" + ", ".join(f"'{q}'" for q in QUESTIONS) + f"][doc_id % {len(QUESTIONS)} + 1] AS question FROM documents)"
 _D = f"DATE '{NOW}'"
 _SUN = f"({_D} - CAST(dayofweek({_D}) AS INTEGER))"
 _SPAN = {
@@ -182,7 +184,7 @@ ORACLE = {
       SELECT word FROM w WHERE toxic = 1 EXCEPT SELECT word FROM w WHERE toxic = 0""",
     "intent_class": f"""SELECT id, question, CASE WHEN regexp_matches(question, 'cve|vulnerab|security') THEN 'cve' WHEN regexp_matches(question, 'patch|hotfix') THEN 'patch'
       WHEN regexp_matches(question, 'break|deprecat|migrat') THEN 'breaking' WHEN regexp_matches(question, 'version|update|release') THEN 'version' ELSE 'general' END AS intent FROM {_Q}""",
-    "date_phrase": f"SELECT id, {_WHEN(0)} AS since, {_WHEN(1)} AS until FROM {_Q}",
+    "date_phrase": f"SELECT id, CASE WHEN contains(question, 'latest') THEN 'latest' WHEN since = until THEN 'exact' WHEN since IS NOT NULL THEN 'range' END AS kind, since, until FROM (SELECT id, question, {_WHEN(0)} AS since, {_WHEN(1)} AS until FROM {_Q})",
     "completeness": f"SELECT doc_id, round(g5, 3) AS completeness FROM ({_GATES})",
     "gate_decision": f"""SELECT *, CASE WHEN failed_gate IS NOT NULL OR composite < 0.6 THEN 'abstain' ELSE 'confident' END AS decision FROM (SELECT doc_id,
       CAST(CASE WHEN g1 < 0.6 THEN 1 WHEN g2 < 0.7 THEN 2 WHEN g3 = 0 THEN 3 WHEN g5 < 0.3 THEN 5 END AS BIGINT) AS failed_gate, round(CAST(0.25 * (g1::DOUBLE + g2::DOUBLE + g3::DOUBLE + g5) AS DOUBLE), 3) AS composite FROM ({_GATES}))""",
