@@ -72,6 +72,15 @@ def line_rules(diff: DataFrame) -> DataFrame:
     return out.where(sum((F.col(k) for k in rules), F.lit(0)) > 0)
 
 
+def crowded_defs(diff: DataFrame) -> DataFrame:
+    """(pr, file, pos): definitions in the new file with another one before them and no blank line between."""
+    of = W.partitionBy("pr", "file").orderBy("pos")
+    x = F.trim("text")
+    rows = diff.where("kind <> 'removed'").withColumn("_blanks", F.sum((x == "").cast("int")).over(of))
+    defs = rows.where(x.startswith("def ") | x.startswith("class "))
+    return defs.withColumn("_n", F.row_number().over(W.partitionBy("pr", "file", "_blanks").orderBy("pos"))).where("_n > 1").select("pr", "file", "pos")
+
+
 def added(diff: DataFrame) -> DataFrame:
     return diff.where("kind = 'added'").withColumn("line_no", F.row_number().over(W.partitionBy("pr", "file").orderBy("pos")).cast("long"))
 

@@ -199,6 +199,14 @@ def api_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.api_changes(lines)
 
 
+def crowded_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions without a blank line since the one before."""
+    n = F.col("p_partkey")
+    text = F.when(n % 7 == 0, "").when(n % 7 == 3, "    return 1").when(n % 5 == 0, "class A:").otherwise(F.concat(F.lit("  def f"), n.cast("string"), F.lit("():")))
+    lines = load(spark, sf_dir, "part").select((n % 20).alias("pr"), F.lit("m.py").alias("file"), n.alias("pos"), F.when(n % 3 == 0, "removed").when(n % 3 == 1, "added").otherwise("context").alias("kind"), text.alias("text"))
+    return D.crowded_defs(lines)
+
+
 def public_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty new public functions and classes of each pull request."""
     n = F.col("p_partkey")
@@ -217,7 +225,7 @@ def sig_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.where(F.col("old").isNotNull()).select(F.col("p_name").alias("name"), change.alias("change"), F.when(F.col("now").isNull(), "critical").otherwise("high").alias("severity")).where("change IS NOT NULL")
 
 
-QUERIES = {f.__name__: f for f in (diff_lines, diff_stats, diff_totals, diff_warnings, new_files, added_lines, file_languages, sql_statements, related_past, tool_findings, in_change, profile_flags, run_report, predictions, feedback, api_changes, public_symbols, line_rules, finding_severity, risk_level, pattern_key, pattern_stats, pattern_confidence, repo_summary, error_prone, similar_past, sig_changes)}
+QUERIES = {f.__name__: f for f in (diff_lines, diff_stats, diff_totals, diff_warnings, new_files, added_lines, file_languages, sql_statements, related_past, tool_findings, in_change, profile_flags, run_report, predictions, feedback, api_changes, crowded_defs, public_symbols, line_rules, finding_severity, risk_level, pattern_key, pattern_stats, pattern_confidence, repo_summary, error_prone, similar_past, sig_changes)}
 _FINDINGS = """SELECT event_id AS id, user_id AS repo, event_id % 50 AS pr, event_type AS agent, 'file' || (event_id % 9) AS file,
   CASE WHEN event_type = 'error' THEN CASE WHEN value >= 100 THEN 'critical' ELSE 'high' END WHEN event_type = 'purchase' THEN 'medium' WHEN event_type = 'signup' THEN 'low' ELSE 'info' END AS severity,
   'Rule `' || event_type || '` on line ' || json_extract_string(props, '$.k') AS title FROM events"""
@@ -262,6 +270,8 @@ ORACLE = {
     "api_changes": f"""WITH a AS {_API}, s AS (SELECT pr, what, name, arg_max(sig, pos) FILTER (side = 'removed') AS old, arg_max(sig, pos) FILTER (side = 'now') AS now, bool_or(side = 'removed') AS gone, bool_or(added) AS added FROM a GROUP BY ALL)
       SELECT pr, 'a.py' AS file, name, CASE WHEN what = 'class' THEN 'class removed' WHEN now IS NULL THEN 'function removed' ELSE 'signature changed' END AS change, CASE WHEN what = 'def' AND now IS NOT NULL THEN 'high' ELSE 'critical' END AS severity
       FROM s WHERE gone AND (what = 'class' AND NOT added OR what = 'def' AND name[1] <> '_' AND (now IS NULL OR now <> old))""",
+    "crowded_defs": """WITH l AS (SELECT p_partkey % 20 AS pr, p_partkey AS pos, CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 7 = 3 THEN 1 ELSE 2 END AS k FROM part WHERE p_partkey % 3 <> 0),
+      b AS (SELECT *, sum((k = 0)::INT) OVER (PARTITION BY pr ORDER BY pos) AS g FROM l) SELECT pr, 'm.py' AS file, pos FROM (SELECT *, row_number() OVER (PARTITION BY pr, g ORDER BY pos) AS n FROM b WHERE k = 2) WHERE n > 1""",
     "public_symbols": """WITH s AS (SELECT p_partkey % 20 AS pr, 'm' || p_partkey % 3 || '.py' AS file, CASE WHEN p_partkey % 4 = 0 THEN '_' ELSE '' END || 'x' || p_partkey % 60 AS name, CASE WHEN p_partkey % 5 = 0 THEN 'class' ELSE 'def' END AS what, p_partkey AS pos FROM part),
       f AS (SELECT pr, file, name, arg_min(what, pos) AS what, min(pos) AS pos FROM s WHERE what = 'class' OR name[1] <> '_' GROUP BY ALL) SELECT pr, file, name, what, rank FROM (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY file, pos) AS rank FROM f) WHERE rank <= 20""",
     "diff_stats": f"SELECT pr, file, count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed, count(*) FILTER (kind = 'context') AS context FROM {_PARSED} GROUP BY pr, file",

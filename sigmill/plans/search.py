@@ -76,6 +76,25 @@ def search_cve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, F.coalesce(F.col("channel") == "F", F.lit(False)) | F.col("tag").rlike("(?i)high|urgent"))
 
 
+def search_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases of the software that is asked for by name, whatever its case and outer spaces: each fiftieth customer's."""
+    named = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.lower(F.trim("c_name")).alias("key"))
+    asked = load(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("  "), F.upper("c_name"), F.lit(" ")).alias("name")).select(F.lower(F.trim("name")).alias("key")).distinct()
+    return releases(spark, sf_dir).join(named.join(asked, "key"), "cust").select("key", "id", "date")
+
+
+def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by their first line."""
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", "\n")[0].alias("title"))
+
+
+def post_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten posts of strongest value for each kind of event, with a name: kind, rank and user."""
+    rank = F.row_number().over(W.partitionBy("event_type").orderBy(F.desc(F.abs(F.col("value") - 250)), "event_id"))
+    rows = load(spark, sf_dir, "events").withColumn("rank", rank).where("rank <= 10")
+    return rows.select("event_id", F.format_string("%s %d (%s)", F.initcap("event_type"), "rank", F.col("user_id").cast("string")).alias("label"))
+
+
 def date_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The releases of each channel's newest date."""
     rows = releases(spark, sf_dir)
@@ -155,7 +174,7 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("decision", F.when(F.col("failed_gate").isNotNull() | (F.col("composite") < 0.6), "abstain").otherwise("confident"))
 
 
-QUERIES = {f.__name__: f for f in (search_breaking, search_patch, search_cve, date_latest, date_range, broad_top10, merge_dedupe, tag_contains, tag_counts, relevance, negative_only_words, intent_class, date_phrase, completeness, gate_decision)}
+QUERIES = {f.__name__: f for f in (search_breaking, search_patch, search_cve, search_name, first_lines, post_labels, date_latest, date_range, broad_top10, merge_dedupe, tag_contains, tag_counts, relevance, negative_only_words, intent_class, date_phrase, completeness, gate_decision)}
 _SEARCH = lambda where: f"SELECT software, rank, id, date, total FROM (SELECT c_mktsegment AS software, o_orderkey AS id, {_DATE} AS date, count(*) OVER (PARTITION BY c_mktsegment) AS total, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_DATE} DESC, o_orderkey) AS rank FROM orders JOIN customer ON c_custkey = o_custkey WHERE {where}) WHERE rank <= 20"
 _Q = "(SELECT doc_id AS id, [" + ", ".join(f"'{q}'" for q in QUESTIONS) + f"][doc_id % {len(QUESTIONS)} + 1] AS question FROM documents)"
 _D = f"DATE '{NOW}'"
@@ -171,6 +190,10 @@ ORACLE = {
     "search_breaking": _SEARCH("contains(lower(o_orderpriority), 'urgent')"),
     "search_patch": _SEARCH("o_orderstatus IN ('P', 'F')"),
     "search_cve": _SEARCH("o_orderstatus = 'F' OR regexp_matches(lower(o_orderpriority), 'high|urgent')"),
+    "search_name": f"SELECT lower(trim(c_name)) AS key, o_orderkey AS id, {_DATE} AS date FROM orders JOIN customer ON c_custkey = o_custkey WHERE lower(trim(c_name)) IN (SELECT lower(trim(c_name)) FROM customer WHERE c_custkey % 50 = 0)",
+    "first_lines": "SELECT conv_id, turn, string_split(text, chr(10))[1] AS title FROM conversations",
+    "post_labels": """SELECT event_id, upper(event_type[1]) || event_type[2:] || ' ' || rank || ' (' || user_id || ')' AS label FROM (
+      SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY abs(value - 250) DESC, event_id) AS rank FROM events) WHERE rank <= 10""",
     "date_latest": f"SELECT channel, date, id FROM (SELECT o_orderstatus AS channel, {_DATE} AS date, o_orderkey AS id, max({_DATE}) OVER (PARTITION BY o_orderstatus) AS last FROM orders) WHERE date = last",
     "date_range": "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderdate < DATE '1998-04-01'",
     "broad_top10": f"SELECT o_orderkey AS id, {_DATE} AS date, o_orderpriority AS tag FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') ORDER BY date DESC, id LIMIT 10",
