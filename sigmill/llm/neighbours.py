@@ -37,7 +37,9 @@ MOST_LISTS = 4096
 BLOCK = 1000
 CHUNK = 2000
 LINKS = 24
+#: Lists that a search of the graph keeps: for a vector that is indexed, and for a query.
 BEAM = 48
+QUERY_BEAM = 160
 REPLICATE = 1.06
 OPEN = 1.35
 
@@ -92,13 +94,13 @@ def fitted(sample: np.ndarray, lists: int, seed: int = 3) -> Index:
     like = c @ c.T
     np.fill_diagonal(like, -2)
     links = np.argsort(-like, axis=1)[:, : min(LINKS, len(c) - 1)] if len(c) > 1 else np.zeros((1, 0), dtype=np.int64)
-    return Index(c, links, rng.permutation(len(c))[:BEAM])
+    return Index(c, links, rng.permutation(len(c))[:QUERY_BEAM])
 
 
-def near_lists(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def near_lists(index: Index, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """For each unit vector, the lists that a beam search of the graph finds, nearest first, with their distances."""
     c, links = index.centroids, index.links
-    beam = min(BEAM, len(c))
+    beam = min(beam, len(c))
     rows = np.arange(len(x))[:, None]
     ids = np.tile(index.entries[:beam], (len(x), 1))
     seen = np.zeros((len(x), len(c)), dtype=bool)
@@ -146,7 +148,7 @@ def _listed(classes: DataFrame, index: Index, ratio: float, sizes: np.ndarray |
         for whole in parts:
             for at in range(0, whole.num_rows, 512):
                 part = whole.slice(at, 512)
-                ids, dist = near_lists(index, _unit(_vectors(part.column(1))))
+                ids, dist = near_lists(index, _unit(_vectors(part.column(1))), BEAM if sizes is None else QUERY_BEAM)
                 open_ = dist <= ratio * dist[:, :1] + 1e-9
                 if sizes is not None:
                     open_ |= np.cumsum(sizes[ids], axis=1) - sizes[ids] < least
