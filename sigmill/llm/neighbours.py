@@ -39,7 +39,7 @@ CHUNK = 2000
 LINKS = 24
 #: Lists that a search of the graph keeps: for a vector that is indexed, and for a query.
 BEAM = 48
-QUERY_BEAM = 160
+QUERY_BEAM = 128
 REPLICATE = 1.06
 OPEN = 1.35
 
@@ -201,7 +201,7 @@ def search(vectors: DataFrame, every: int, k: int) -> DataFrame:
         a, b = np.array(q["embedding"].tolist()), np.array(v["embedding"].tolist())
         na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
         first = np.array([x[0] for x in v["ids"]], dtype=np.int64)
-        take = min(len(v), k + 2)
+        take = min(len(v), k + 1)  # the query's own class and k others
         out = []
         for at in range(0, len(a), 256):
             like = (a[at : at + 256] / na[at : at + 256, None]) @ (b / nb[:, None]).T
