@@ -67,6 +67,6 @@ def test_trajectories(spark):
     for p in every:
         for theirs, ours in names.items():
             if theirs in p["metrics"]:
-                assert abs(p["metrics"][theirs] - got[p["post_id"]][ours]) <= 0.00101, (p["post_id"], theirs)
+                assert abs(p["metrics"][theirs] - got[p["post_id"]][ours]) <= 0.00051, (p["post_id"], theirs)
                 checked += 1
     assert checked >= 8 * len(every)
