@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sigmill.llm import byte_bpe, exact_dedup, fingerprints, html_extract, importance, line_dedup, neighbours, ngram_join, packing, pii, toxicity, url_filters
+from sigmill.llm import byte_bpe, exact_dedup, fingerprints, html_extract, importance, line_dedup, neighbours, ngram_join, packing, pii, ranked_search, toxicity, url_filters
 
-MODULES = [fingerprints, byte_bpe, neighbours, packing, toxicity, ngram_join, pii, url_filters, line_dedup, html_extract, exact_dedup, importance]
+MODULES = [fingerprints, byte_bpe, neighbours, packing, toxicity, ngram_join, pii, url_filters, line_dedup, html_extract, ranked_search, exact_dedup, importance]
 
 
 def queries() -> dict:

@@ -31,12 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: its lineage ends there, and lost executors cost nothing.
-    The folder is deleted when the driver ends."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder, a folder for each value of ``by``, and read back: its lineage ends there,
+    and lost executors cost nothing. The folder is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/sigmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
