@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sigmill.llm.shared import slices, table, written
+from sigmill.llm.shared import give_back, slices, table, written
 
 TOP = 20
 #: Postings a term in tier 0, and how much larger each further tier is.
@@ -44,6 +44,8 @@ BLOCK_BYTES = 32 << 20
 MOST_BROADCAST = 1_000_000
 #: Cells (documents x queries) that a task scores at once; bytes of a text that are split at once.
 CELLS, CHUNK = 1 << 20, 4 << 20
+#: Pairs of a posting and a query that are added up at once, about.
+PAIRS = 1 << 18
 #: Impacts are below a million; steps of the histogram.
 STEP, STEPS = 10_000, 100
 
@@ -123,7 +125,7 @@ def _tiers(cuts: np.ndarray, docs: int, words: int) -> Callable:
     """The postings of each tier, by document: those whose impact is at or above the term's cut."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts, text=3, rows=1000):
             of, terms, worth = _scored_postings(part, docs, words)
             for tier, cut in enumerate(cuts):
                 held = worth // STEP >= cut[terms]
@@ -183,10 +185,15 @@ class Queries:
 
     def sums(self, of: np.ndarray, terms: np.ndarray, worth: np.ndarray, rows: int) -> np.ndarray:
         """For ``rows`` documents and each query, the sum of gain times worth over the postings that they share."""
-        many = self.starts[terms + 1] - self.starts[terms]
-        at = np.arange(many.sum()) + np.repeat(self.starts[terms] - np.cumsum(many) + many, many)
         out = np.zeros(rows * len(self.names), dtype=np.int64)
-        np.add.at(out, np.repeat(of, many) * len(self.names) + self.who[at], self.gain[at] * np.repeat(worth, many))
+        asked = self.starts[terms + 1] > self.starts[terms]
+        of, terms, worth = of[asked], terms[asked], worth[asked]
+        every = np.append(0, np.cumsum(self.starts[terms + 1] - self.starts[terms]))
+        cuts = np.unique(np.append(np.searchsorted(every, np.arange(0, every[-1], PAIRS)), len(terms)))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            begun, many = self.starts[terms[a:b]], np.diff(every[a : b + 1])
+            at = np.arange(every[b] - every[a]) + np.repeat(begun - every[a:b] + every[a], many)
+            np.add.at(out, np.repeat(of[a:b], many) * len(self.names) + self.who[at], self.gain[at] * np.repeat(worth[a:b], many))
         return out.reshape(rows, len(self.names))
 
     def bound(self, rest: np.ndarray) -> np.ndarray:
@@ -199,10 +206,11 @@ class Queries:
 
 def _cut(parts: Iterator[pa.RecordBatch], queries: Queries) -> Iterator[pa.RecordBatch]:
     """Batches of so many documents that the cells of all queries fit."""
-    most = max(1, CELLS // max(1, len(queries.names)))
+    most = min(1000, max(1, CELLS // max(1, len(queries.names))))
     for part in parts:
         for at in range(0, part.num_rows, most):
             yield part.slice(at, most)
+    give_back()
 
 
 def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
