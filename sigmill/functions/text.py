@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,40 +83,89 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(every == 0, 0.0).otherwise(2.0 * both / every)
 
 
+def squeezed(text: str) -> str:
+    """Without white space, as ``\\s`` has it."""
+    return text.translate(_SPACES)
+
+
+_SPACES = dict.fromkeys(map(ord, " \t\n\x0b\f\r"))
+#: Cells of a batch of string pairs that are compared at once.
+_CELLS = 1 << 20
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    width = max(1, *map(len, texts))
+    return np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width)
+
+
+def _jaro(a: list[str], b: list[str]) -> np.ndarray:
+    x, y = _letters(a), _letters(b)
+    n, m = (np.array([len(t) for t in side], dtype=np.int64) for side in (a, b))
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)[:, None]
+    at = np.arange(y.shape[1])[None, :]
+    free, left = at < m[:, None], np.zeros(x.shape, dtype=bool)
+    for i in range(x.shape[1]):  # each letter takes the first equal one in reach that is free
+        fits = free & (y == x[:, i : i + 1]) & (np.abs(at - i) <= reach) & (i < n)[:, None]
+        left[:, i] = fits.any(axis=1)
+        rows = np.flatnonzero(left[:, i])
+        free[rows, fits[rows].argmax(axis=1)] = False
+    right = (at < m[:, None]) & ~free
+    both = left.sum(axis=1)
+    most = max(1, int(both.max(initial=0)))
+    in_order = lambda letters, taken: np.take_along_axis(letters, np.argsort(~taken, axis=1, kind="stable"), axis=1)[:, :most]
+    differ = (in_order(x, left) != in_order(y, right)) & (np.arange(most)[None, :] < both[:, None])
+    k = np.maximum(both, 1)
+    found = (both / np.maximum(n, 1) + both / np.maximum(m, 1) + (both - differ.sum(axis=1) / 2) / k) / 3
+    return np.where([p == q for p, q in zip(a, b, strict=True)], 1.0, np.where(both > 0, found, 0.0))
+
+
+def jaro_all(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro similarity of pairs of strings: pairs of like length are compared together, letter by letter."""
+    out = np.zeros(len(a))
+    longest = np.array([max(len(x), len(y), 1) for x, y in zip(a, b, strict=True)], dtype=np.int64)
+    order, begun = np.argsort(longest, kind="stable"), 0
+    while begun < len(a):
+        end = begun + 1
+        while end < len(a) and (end + 1 - begun) * longest[order[end]] <= _CELLS:
+            end += 1
+        rows = order[begun:end]
+        out[rows] = _jaro([a[i] for i in rows], [b[i] for i in rows])
+        begun = end
+    return out
+
+
 def jaro(a: str, b: str) -> float:
     """Jaro similarity of two strings."""
-    if a == b:
-        return 1.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free, left, right = list(b), [], [False] * len(b)
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not right[j] and free[j] == c:
-                right[j] = True
-                left.append(c)
-                break
-    m = len(left)
-    if not m:
-        return 0.0
-    swapped = sum(x != y for x, y in zip(left, [c for c, used in zip(b, right) if used])) / 2
-    return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
-
-
-def winkler(x: str, y: str) -> float:
-    x, y = x.lower(), y.lower()
-    same = 0
-    while same < min(4, len(x), len(y)) and x[same] == y[same]:
-        same += 1
-    j = jaro(x, y)
+    return float(jaro_all([a], [b])[0])
+
+
+def winkler_all(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Jaro-Winkler of pairs of strings in lower case."""
+    x, y = a.tolist(), b.tolist()
+    j = jaro_all(x, y)
+    same = np.array([next((k for k, (p, q) in enumerate(zip(s[:4], t[:4])) if p != q), min(4, len(s), len(t))) for s, t in zip(x, y, strict=True)], dtype=np.float64)
     return j + 0.1 * same * (1 - j)
 
 
+def dice_all(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Dice over bigrams of pairs of strings."""
+    x, y = ([squeezed(t) for t in side] for side in (a, b))
+    grams = [[t[i : i + 2] for t in side for i in range(len(t) - 1)] for side in (x, y)]
+    of = [np.repeat(np.arange(len(side)), [max(0, len(t) - 1) for t in side]) for side in (x, y)]
+    _, codes = np.unique(np.array(grams[0] + grams[1], dtype="U2"), return_inverse=True)
+    kinds = int(codes.max(initial=0)) + 1
+    (p, n), (q, m) = (np.unique(o * kinds + c, return_counts=True) for o, c in zip(of, (codes[: len(grams[0])], codes[len(grams[0]) :]), strict=True))
+    held, i, j = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+    both = np.bincount(held // kinds, weights=np.minimum(n[i], m[j]), minlength=len(x))
+    every = np.array([max(0, len(s) - 1) + max(0, len(t) - 1) for s, t in zip(x, y, strict=True)])
+    return np.where([s == t for s, t in zip(a, b, strict=True)], 1.0, 2 * both / np.maximum(every, 1))
+
+
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple, float | None] = {}  # equal pairs of a batch are compared once
-    for pair in zip(a, b):
-        if pair not in known:
-            known[pair] = None if pair[0] is None or pair[1] is None else winkler(*pair)
-    return pd.Series([known[pair] for pair in zip(a, b)], dtype="float64")
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[known] = winkler_all(a[known].str.lower(), b[known].str.lower())
+    return pd.Series(out).astype(object).where(known, None).astype("Float64")
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
@@ -125,12 +173,6 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return F.pandas_udf(_jaro_winkler, "double")(a, b)
 
 
-def bigram_dice(a: str, b: str) -> float:
-    x, y = (Counter(s[i : i + 2] for i in range(len(s) - 1)) for s in ("".join(a.split()), "".join(b.split())))
-    every = x.total() + y.total()
-    return 1.0 if a == b else 2 * (x & y).total() / every if every else 0.0
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in double precision, 0 where a norm is 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

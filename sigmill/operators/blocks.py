@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 ROWS, QUERIES = 20_000, 2_000
 
 
-def against(rows: DataFrame, queries: DataFrame, row_key: str, query_key: str, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def against(rows: DataFrame, queries: DataFrame, row_key: str, query_key: str, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, most_rows: int = 0, most_queries: int = 0) -> DataFrame:
     """The union of ``score(queries, rows)`` over all pairs of blocks. Rows are sent once for each block of queries."""
-    many = max(1, -(-rows.count() // ROWS))
-    asked = max(1, -(-queries.count() // QUERIES))
+    many = max(1, -(-rows.count() // (most_rows or ROWS)))
+    asked = max(1, -(-queries.count() // (most_queries or QUERIES)))
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     r = rows.withColumn("_rows", deal(row_key, many)).withColumn("_queries", every(asked))

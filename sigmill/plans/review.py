@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from sigmill.operators import review as D
 from sigmill.sources.tables import load
 
+# Words of titles, some of which hold others.
+PARTS = ("import", "Imports of module", "unimported", "timeout", "no timeouts", "loops", "nested-loops", "", "long function", "functional")
 RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 #: Lines of a document stand for a diff of two files and a deleted one: every third line is added, removed or context.
 _HEADS = ("diff --git a/app.py b/app.py", "--- a/app.py", "+++ b/app.py"), ("diff --git a/gone.py b/gone.py", "--- a/gone.py", "+++ /dev/null"), ("diff --git a/util.js b/util.js", "--- a/util.js", "+++ b/util.js")
@@ -134,8 +136,11 @@ def similar_past(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_past(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each finding, how many earlier ones of its repository share a long word with it, five at most, and the confidence that it recurs."""
-    return D.related(findings(spark, sf_dir)).select("id", "earlier", "confidence")
+    """For each finding, how many earlier ones of its repository have a title that holds one of its long words, five at most, and the confidence that it recurs.
+    A number in words, by its event, makes some titles' words parts of others'."""
+    named = F.element_at(F.array(*map(F.lit, PARTS)), (F.col("id") % len(PARTS) + 1).cast("int"))
+    rows = findings(spark, sf_dir).withColumn("title", F.concat(F.regexp_replace("title", "Rule|line", ""), F.lit(" "), named))
+    return D.related(rows).select("id", "earlier", "confidence")
 
 
 def tool_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +234,7 @@ QUERIES = {f.__name__: f for f in (diff_lines, diff_stats, diff_totals, diff_war
 _FINDINGS = """SELECT event_id AS id, user_id AS repo, event_id % 50 AS pr, event_type AS agent, 'file' || (event_id % 9) AS file,
   CASE WHEN event_type = 'error' THEN CASE WHEN value >= 100 THEN 'critical' ELSE 'high' END WHEN event_type = 'purchase' THEN 'medium' WHEN event_type = 'signup' THEN 'low' ELSE 'info' END AS severity,
   'Rule `' || event_type || '` on line ' || json_extract_string(props, '$.k') AS title FROM events"""
+_TITLED = f"SELECT id, repo, regexp_replace(title, 'Rule|line', '', 'g') || ' ' || [{', '.join(f"'{x}'" for x in PARTS)}][id % {len(PARTS)} + 1] AS title FROM ({_FINDINGS})"
 _KEYED = f"""SELECT *, substr(sha256(repo || '::' || agent || '::' || regexp_replace(regexp_replace(regexp_replace(lower(title), '`[^`]*`', '`X`', 'g'), '[0-9]+', 'N', 'g'), '\\s+', ' ', 'g')), 1, 16) AS pattern_key FROM ({_FINDINGS})"""
 _HEAD_LISTS = ["[" + ", ".join(f"'{x}'" for x in h) + "]" for h in _HEADS]
 _THIRDS = " || ".join(f"{h} || l[t * {k} + 1 : t * {k + 1}]" for k, h in enumerate(_HEAD_LISTS))
@@ -251,9 +257,10 @@ ORACLE = {
     "file_languages": "SELECT ['Python', 'TypeScript', 'Markdown', 'Unknown', 'Unknown', 'JSON'][event_id % 6 + 1] AS language, count(*) AS files FROM events GROUP BY 1",
     "sql_statements": """SELECT p_partkey, name, sql, line FROM (SELECT p_partkey, 'select_1' AS name, 'select 1' AS sql, 1::BIGINT AS line FROM part UNION ALL SELECT p_partkey, 'insert_2', 'insert into t values (' || p_size || ')', 2 FROM part WHERE p_partkey % 2 = 0
       UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'with_4' ELSE 'with_4' END, 'with x as (select 2) select * from x', 4 FROM part)""",
-    "related_past": f"""WITH w AS (SELECT DISTINCT repo, id, unnest(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda w: length(w) > 4)) AS word FROM ({_FINDINGS})),
-      e AS (SELECT a.id, least(count(DISTINCT b.id), 5) AS n FROM w a JOIN w b ON a.repo = b.repo AND a.word = b.word AND b.id < a.id GROUP BY a.id)
-      SELECT f.id, coalesce(n, 0) AS earlier, CASE WHEN n >= 2 THEN round(least(0.5 + 0.1 * n, 0.95)::DOUBLE, 2) END AS confidence FROM ({_FINDINGS}) f LEFT JOIN e USING (id)""",
+    "related_past": f"""WITH f AS MATERIALIZED ({_TITLED}), w AS (SELECT DISTINCT repo, lower(title) AS t, unnest(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda w: length(w) > 4)) AS word FROM f),
+      d AS (SELECT DISTINCT repo, lower(title) AS t FROM f), h AS MATERIALIZED (SELECT DISTINCT w.repo, w.t, d.t AS other FROM w JOIN d ON d.repo = w.repo AND contains(d.t, w.word)),
+      e AS (SELECT a.id, count(DISTINCT b.id) AS n FROM f a JOIN h ON h.repo = a.repo AND h.t = lower(a.title) JOIN f b ON b.repo = h.repo AND lower(b.title) = h.other AND b.id < a.id GROUP BY a.id)
+      SELECT f.id, least(coalesce(n, 0), 5) AS earlier, CASE WHEN n >= 2 THEN round(least(0.5 + 0.1 * least(n, 5), 0.95)::DOUBLE, 2) END AS confidence FROM f LEFT JOIN e USING (id)""",
     "tool_findings": f"""WITH i AS (SELECT event_id AS id, {_EVENT('ruff', 'mypy', 'bandit', 'radon')} AS tool, {_EVENT('F821', 'E902', 'B006', 'F401', 'E501', 'W291', 'N802')} AS code, {_EVENT('error', 'warning', 'note')} AS level, {_EVENT('HIGH', 'MEDIUM', 'LOW')} AS rank, event_id % 25 AS c FROM events)
       SELECT id, 'bugs' AS agent, CASE rank WHEN 'HIGH' THEN 'high' ELSE 'medium' END AS severity FROM i WHERE tool = 'bandit' AND rank <> 'LOW' UNION ALL SELECT id, 'bugs', 'high' FROM i WHERE tool = 'ruff' AND code[1] = 'B'
       UNION ALL SELECT id, 'quality', CASE WHEN code[:2] IN ('F8', 'E9') THEN 'high' WHEN code[:2] = 'F4' OR code[1] = 'B' THEN 'medium' ELSE 'low' END FROM i WHERE tool = 'ruff' UNION ALL SELECT id, 'quality', 'high' FROM i WHERE tool = 'mypy' AND level = 'error'

@@ -1,8 +1,7 @@
 """String, token and vector similarity, and evaluation of label predictions.
 
 Vector queries ask for every row whose vec_id is divisible by EVERY, fuzzy matching for every distinct name, against all rows in blocks.
-DuckDB's Jaro similarity cuts half a transposition off, ours does not: jaro_winkler and fuzzy_best have no SQL
-and are tested against a brute-force version.
+DuckDB's Jaro similarity cuts half a transposition off, ours does not: the SQL of jaro_winkler and fuzzy_best takes letters one by one in a list.
 """
 
 from __future__ import annotations
@@ -158,6 +157,14 @@ QUERIES = {f.__name__: f for f in (levenshtein_norm, jaro_winkler, dice, fuzzy_b
 _PAIRS = "SELECT x.p_partkey AS id, x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1"
 _GRAMS = lambda a: f"list_transform(range(1, length(replace({a}, ' ', ''))), lambda i: substr(replace({a}, ' ', ''), i::INT, 2))"
 _DICE = lambda a, b: f"CASE WHEN {a} = {b} THEN 1.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct({_GRAMS(a)}), lambda g: least(len(list_filter({_GRAMS(a)}, lambda z: z = g)), len(list_filter({_GRAMS(b)}, lambda z: z = g))))), 0) / (len({_GRAMS(a)}) + len({_GRAMS(b)})) END"
+#: Of a subquery with lower-case x and y: each letter of x takes the first equal letter of y in reach that is free.
+_REACH = "greatest(greatest(length(x), length(y)) // 2 - 1, 0)"
+_LOW, _SPOT = f"greatest(1, n.i - {_REACH})", f"instr(substr(s.rest, greatest(1, n.i - {_REACH}), n.i + {_REACH} - greatest(1, n.i - {_REACH}) + 1), substr(x, n.i, 1))"
+_TAKEN = f"""list_reduce(list_prepend({{'i': 0::BIGINT, 'rest': y, 'got': ''}}, list_transform(range(1, length(x) + 1), lambda i: {{'i': i::BIGINT, 'rest': '', 'got': ''}})),
+  lambda s, n: CASE WHEN {_SPOT} > 0 THEN {{'i': n.i, 'rest': substr(s.rest, 1, {_LOW} + {_SPOT} - 2) || chr(1) || substr(s.rest, {_LOW} + {_SPOT}), 'got': s.got || substr(x, n.i, 1)}} ELSE {{'i': n.i, 'rest': s.rest, 'got': s.got}} END)"""
+_JARO = lambda pairs: f"""(SELECT *, j + 0.1 * coalesce(list_min(list_filter(range(0, 5), lambda k: k = least(4, length(x), length(y)) OR substr(x, k + 1, 1) <> substr(y, k + 1, 1))), 0) * (1 - j) AS jw FROM (
+  SELECT *, CASE WHEN x = y THEN 1.0::DOUBLE WHEN got = '' THEN 0 ELSE (length(got) / length(x) + length(got) / length(y) + (length(got) - len(list_filter(range(1, length(got) + 1), lambda k: substr(got, k, 1) <> substr(other, k, 1))) / 2) / length(got)) / 3 END AS j FROM (
+  SELECT *, r.got AS got, array_to_string(list_transform(list_filter(range(1, length(y) + 1), lambda k: substr(r.rest, k, 1) = chr(1)), lambda k: substr(y, k, 1)), '') AS other FROM (SELECT *, {_TAKEN} AS r FROM ({pairs})))))"""
 _SCORES = f"""SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score
   FROM embeddings e JOIN embeddings q ON q.vec_id % {EVERY} = 0 AND e.vec_id <> q.vec_id"""
 _NEAREST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_SCORES})) WHERE rank <= 5"
@@ -167,6 +174,13 @@ _EDGE = EDGE.replace("'", "''")
 ORACLE = {
     "levenshtein_norm": f"SELECT id, round(1 - levenshtein(lower(a), lower(b)) / greatest(length(a), length(b)), 4) AS score FROM ({_PAIRS})",
     "dice": f"SELECT id, round({_DICE('a', 'b')}, 4) AS score FROM ({_PAIRS})",
+    "jaro_winkler": f"SELECT id, round(jw, 4) AS score FROM {_JARO(f'SELECT id, lower(a) AS x, lower(b) AS y FROM ({_PAIRS})')}",
+    "fuzzy_best": f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name IS NOT NULL), p AS (SELECT a.name AS query, b.name AS name, lower(a.name) AS x, lower(b.name) AS y FROM n a JOIN n b ON a.name <> b.name),
+      s AS MATERIALIZED (SELECT query, name, CASE WHEN x = y THEN 1 ELSE round(0.6 * jw + 0.4 * {_DICE('x', 'y')}, 4) END AS score, contains(x, y) OR contains(y, x) AS held FROM {_JARO('FROM p')}),
+      t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, name) <= 3), h AS (SELECT query, count(*) AS n, min(name) AS one FROM s WHERE held GROUP BY query),
+      b AS (SELECT query, arg_min(name, (-score, name)) AS first, max(score) AS top FROM t GROUP BY query), f AS (SELECT query, CASE WHEN top < 1 AND n = 1 THEN one ELSE first END AS best, CASE WHEN top < 1 AND n = 1 THEN 0.95 ELSE top END AS score FROM b LEFT JOIN h USING (query))
+      SELECT query, CASE WHEN f.score >= 0.6 THEN best END AS best, f.score, CASE WHEN f.score >= 0.9 THEN 'match' WHEN f.score >= 0.6 THEN 'partial' ELSE 'none' END AS match,
+        CASE WHEN f.score >= 0.9 THEN '' ELSE coalesce(string_agg(name || ':' || printf('%.2f', t.score), ';' ORDER BY t.score DESC, name) FILTER (f.score < 0.6 OR t.score >= 0.5), '') END AS suggestions FROM f JOIN t USING (query) GROUP BY query, f.best, f.score""",
     "dict_longest": f"""WITH n AS (SELECT name, lower(name) AS low FROM (VALUES {', '.join(f"('{n}')" for n in NAMES)}) AS v(name) WHERE length(trim(name)) >= 4),
       f AS (SELECT doc_id, name, lower(text) AS t, low, instr(lower(text), low) AS spot FROM documents, n WHERE list_contains(regexp_extract_all(lower(text), '{X.WORD}'), regexp_extract(low, '^[^-\\s_.]+')))
       SELECT doc_id, name FROM f WHERE spot > 0 AND (spot = 1 OR regexp_matches(substr(t, spot - 1, 1), '{_EDGE}')) AND (spot + length(low) > length(t) OR regexp_matches(substr(t, spot + length(low), 1), '{_EDGE}'))

@@ -27,7 +27,7 @@ def db():
 
 
 #: Tested against plain versions in test_similarity.py and test_learning.py.
-WITHOUT_SQL = {"jaro_winkler", "fuzzy_best", "sentiment_scores", "split_sizes", "language_naive_bayes", "language_logistic", "language_forest"}
+WITHOUT_SQL = {"sentiment_scores", "split_sizes", "language_naive_bayes", "language_logistic", "language_forest"}
 
 
 def test_all_have_sql():

@@ -1,9 +1,12 @@
 """String similarity against brute-force versions and hand-computed cases."""
 
+import random
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sigmill import plans
 from sigmill.functions import text as X
@@ -68,10 +71,10 @@ def fuzzy_brute(queries, listed):
 
 @pytest.mark.parametrize("blocks", [(20_000, 2_000), (7, 5)])
 def test_fuzzy_best_against_brute_force(spark, monkeypatch, blocks):
-    from sigmill.operators import blocks as B
+    from sigmill.operators import fuzzy as Z
 
-    monkeypatch.setattr(B, "ROWS", blocks[0])
-    monkeypatch.setattr(B, "QUERIES", blocks[1])
+    monkeypatch.setattr(Z, "ROWS", blocks[0])
+    monkeypatch.setattr(Z, "QUERIES", blocks[1])
     every = sorted({n for _, n in names()})
     got = plans.queries()["fuzzy_best"](spark, DATA).collect()
     shown = {r["query"]: (r.best, r.score, r.match, [x.rsplit(":", 1)[0] for x in r.suggestions.split(";") if x]) for r in got}
@@ -91,6 +94,54 @@ def test_fuzzy_tiers(spark):
     assert fuzzy(frame([], "query"), frame(["a"], "name")).count() == 0
 
 
+def strings(n, seed=1, letters="abcde \u00e9"):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(letters, k=rng.randrange(0, 14))) for _ in range(n)]
+
+
+def test_batches_equal_single_pairs():
+    a, b = strings(400, 1) + ["x" * 300, ""], strings(400, 2) + ["x" * 299 + "y", ""]
+    assert X.jaro_all(a, b).tolist() == pytest.approx([jaro(x, y) if x != y else 1.0 for x, y in zip(a, b)], abs=1e-12)
+    grams = lambda s: Counter(s[i : i + 2] for i in range(len(s) - 1))
+    want = []
+    for x, y in zip(a, b):
+        p, q = grams(x.replace(" ", "")), grams(y.replace(" ", ""))
+        want.append(1.0 if x == y else 2 * (p & q).total() / (p.total() + q.total()) if p or q else 0.0)
+    assert X.dice_all(pd.Series(a), pd.Series(b)).tolist() == pytest.approx(want)
+
+
+def test_fuzzy_on_odd_strings_against_all_pairs(spark, monkeypatch):
+    from sigmill.operators import fuzzy as Z
+
+    every = sorted({*strings(150, 3), "", "A", "a", "AB", "ab", "a b"})
+    monkeypatch.setattr(Z, "ROWS", 40)
+    got = Z.nearest(spark.createDataFrame([(q,) for q in every + [None]], "query string"), spark.createDataFrame([(q,) for q in every + [None]], "name string")).collect()
+    for q in every:
+        low = q.lower()
+        score = lambda n: 1.0 if low == n else float(Z.scores(pd.Series([low]), pd.Series([n]))[0])  # noqa: B023, E731
+        want = sorted((-score(n.lower()), n) for n in every if n != q)[:3]
+        assert [(-r.score, r.name) for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == want, q
+
+
+def test_fuzzy_over_many_names_scores_few_pairs(spark):
+    from sigmill.operators import fuzzy as Z
+
+    rng = random.Random(4)
+    parts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", weights=range(26, 0, -1), k=rng.randrange(4, 9))) for _ in range(260)]
+    listed = sorted({f"{rng.choice(parts)} {rng.choice(parts)}" for _ in range(10_600)})[:10_000]
+    asked = [n[:3] + n[4:] for n in rng.sample(listed, 30)] + ["qqqq", "zyx wvu"]
+    queries, names = spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame([(n,) for n in listed], "name string")
+    low = lambda df, c, d: df.select(c, F.lower(c).alias(d))
+    pairs, rest = Z.candidates(low(queries, "query", "low"), low(names, "name", "other"))
+    assert pairs.count() < 0.02 * len(asked) * len(listed) and rest.count() <= 4
+    got = {}
+    for r in Z.nearest(queries, names).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r.name, r.score))
+    for q in asked:
+        scores = Z.scores(pd.Series([q] * len(listed)), pd.Series(listed)).tolist()
+        assert got[q] == [(n, -s) for s, n in sorted((-s, n) for s, n in zip(scores, listed) if n != q)[:3]], q
+
+
 def test_nulls_and_empty_strings(spark):
     from pyspark.sql import functions as F
 
