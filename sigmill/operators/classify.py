@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import HashingTF, RegexTokenizer, StringIndexer, UnivariateFeatureSelector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of two letters or digits or more, as the usual vectoriser takes them.
 NO_WORD = r"[^\p{L}\p{N}_]+"
 SEED = 42
-#: Words that the vectoriser keeps: those in most documents.
-VOCABULARY = 1 << 16
+#: Columns of counted words: every word has one, by its hash. Trees look at every column, so they get those that a chi-square test finds bound to the label.
+COLUMNS, CHANCE = 1 << 14, 0.05
 
 
 def in_training(key: Column) -> Column:
     """Whether a row is one of the four fifths that are learned from; null keys are."""
-    return F.coalesce(F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(5)) > 0, F.lit(True))
+    digits = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{SEED}"))), 1, 8)
+    return F.coalesce(F.conv(digits, 16, 10).cast("long") % 5 > 0, F.lit(True))
 
 
-def bag_of_words(text: str = "text") -> list:
-    """The stages from texts to counted words."""
-    return [RegexTokenizer(inputCol=text, outputCol="_words", pattern=NO_WORD, minTokenLength=2), CountVectorizer(inputCol="_words", outputCol="features", vocabSize=VOCABULARY)]
+def bag_of_words(text: str = "text", columns: int = COLUMNS) -> PipelineModel:
+    """From texts to counted words."""
+    return PipelineModel([RegexTokenizer(inputCol=text, outputCol="_words", pattern=NO_WORD, minTokenLength=2), HashingTF(inputCol="_words", outputCol="features", numFeatures=columns)])
 
 
 def classifiers(labels: int) -> dict[str, object]:
@@ -32,21 +33,35 @@ def classifiers(labels: int) -> dict[str, object]:
         "naive_bayes": NaiveBayes(labelCol="_label"),
         "linear_svm": many(LinearSVC(labelCol="_label", maxIter=50)),
         "logistic_regression": LogisticRegression(labelCol="_label", maxIter=100),
-        "random_forest": RandomForestClassifier(labelCol="_label", numTrees=50, seed=SEED),
-        "boosting": many(GBTClassifier(labelCol="_label", maxIter=20, seed=SEED)),
+        "random_forest": RandomForestClassifier(labelCol="_label", numTrees=50, maxBins=16, seed=SEED),
+        "boosting": many(GBTClassifier(labelCol="_label", maxIter=10, maxBins=16, seed=SEED)),
     }
 
 
+def _reading(classifier, column: str):
+    """``classifier`` over another column of features."""
+    if isinstance(classifier, OneVsRest):
+        return classifier.setFeaturesCol(column).setClassifier(classifier.getClassifier().setFeaturesCol(column))
+    return classifier.setFeaturesCol(column)
+
+
 def predicted(rows: DataFrame, key: str, label: str, name: str, text: str = "text") -> DataFrame:
     """(key, label, guess) of the rows that aren't learned from, by one classifier; labels are texts or numbers, rows without label or text are left out."""
     known = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, F.col(label).cast("string").alias("label"), text)
-    training, rest = known.where(in_training(F.col(key))), known.where(~in_training(F.col(key)))
-    labels = training.select("label").distinct().count()
-    if labels < 2:
-        only = training.agg(F.min("label").alias("guess"))
-        return rest.join(F.broadcast(only)).select(key, "label", "guess")
+    training, rest = known.where(in_training(F.col(key))).persist(), known.where(~in_training(F.col(key)))  # read for the labels, then for the model
     index = StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc").fit(training)
-    model = Pipeline(stages=[*bag_of_words(text), classifiers(labels)[name]]).fit(index.transform(training))
+    if len(index.labels) < 2:
+        training.unpersist()
+        return rest.select(key, "label", F.lit(index.labels[0] if index.labels else None).cast("string").alias("guess"))
+    stages, shaped = [bag_of_words(text)], bag_of_words(text).transform(index.transform(training))
+    classifier = classifiers(len(index.labels))[name]
+    if name in ("random_forest", "boosting"):
+        chosen = UnivariateFeatureSelector(featuresCol="features", labelCol="_label", outputCol="_bound", selectionMode="fpr").setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(CHANCE).fit(shaped)
+        if chosen.selectedFeatures:
+            stages, shaped = [*stages, chosen], chosen.transform(shaped)
+            classifier = _reading(classifier, "_bound")
+    model = PipelineModel([*stages, classifier.fit(shaped)])
+    training.unpersist()
     names = F.array(*[F.lit(x) for x in index.labels])
     return model.transform(rest).select(key, "label", F.get(names, F.col("prediction").cast("int")).alias("guess"))
 

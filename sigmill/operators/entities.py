@@ -23,7 +23,9 @@ SOFTWARE = (
 DEVICE = (r"\b(ipad|iphone|macbook|imac)\b", r"\b(pixel\s*\d*|galaxy\s*\w*|surface\s*\w*)\b")
 GROUPS = (("os", OS, 0.95), ("software", SOFTWARE, 0.92), ("device", DEVICE, 0.88))
 VERSION = r"\b(?:(?:version|ver|v)\s*(\d+(?:\.\d+)*(?:\s*(?:beta|alpha|rc|dev|preview)\s*\d*)?)|(\d+\.\d+(?:\.\d+)*))\b"
-DICTIONARY_SURE = 0.95
+DICTIONARY_SURE, NOUN_SURE = 0.95, 0.55
+#: A word after an article or the like.
+NOUN = r"(?:^|[^\p{L}\p{N}])(?:the|a|an|my|your|this|that|der|die|das|le|la|el)\s+([a-z][a-z0-9-]+)"
 # The system of a device, in order.
 DEVICE_OS = {"ipad": "ipados", "iphone": "ios", "macbook": "macos", "imac": "macos", "pixel": "android", "galaxy": "android", "surface": "windows"}
 # Names under which software is listed.
@@ -41,17 +43,30 @@ def _found(text: Column, group: str, patterns: tuple[str, ...], sure: float) ->
     return F.transform(F.array_distinct(each), lambda n: F.struct(F.lit(group).alias("kind"), n.alias("name"), F.lit(sure).alias("sure")))
 
 
-def entities(text: Column, known: Column | None = None) -> Column:
-    """The entities of a text: systems, software, devices; ``known``, a dictionary name in the text or null, joins the software and is surer than a pattern."""
-    groups = {k: _found(text, k, p, s) for k, p, s in GROUPS}
-    every = F.concat(*groups.values())
-    if known is None:
-        return every
-    name = F.lower(known)
-    held = F.exists(every, lambda x: x["name"] == name)
-    surer = F.transform(every, lambda x: F.struct(x["kind"].alias("kind"), x["name"].alias("name"), F.when(x["name"] == name, F.greatest(x["sure"], F.lit(DICTIONARY_SURE))).otherwise(x["sure"]).alias("sure")))
-    more = F.array(F.struct(F.lit("software").alias("kind"), name.alias("name"), F.lit(DICTIONARY_SURE).alias("sure")))
-    return F.when(name.isNull(), every).when(held, surer).otherwise(F.concat(every, more))
+def nouns(text: Column) -> Column:
+    """Words that are taken for nouns, in lower case, where nothing better is known: those after a word that nouns follow. Our own rule, in place of a tagger."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(NOUN), F.lit(1)), lambda x: F.trim(x))
+
+
+def entities(text: Column) -> Column:
+    """The entities of a text by the grammar of patterns: systems, software, devices."""
+    none = F.array().cast("array<struct<kind: string, name: string, sure: double>>")
+    return F.when(F.lower(text).rlike("|".join(p for _, ps, _ in GROUPS for p in ps)), F.concat(*[_found(text, k, p, s) for k, p, s in GROUPS])).otherwise(none)
+
+
+def in_texts(texts: DataFrame, key: str, text: str, known: DataFrame | None = None) -> DataFrame:
+    """(key, kind, name, sure) of the entities of each text: those of the grammar; ``known`` (key, name), a dictionary name in the text, which joins the software and is surer than a
+    pattern; and nouns of the text as software, if they have three letters or more, begin with one of a to z and are nothing else."""
+    row = lambda source, kind, name, sure: F.struct(F.lit(source).alias("source"), kind.alias("kind"), name.alias("name"), sure.alias("sure"))
+    found = texts.select(key, F.explode(entities(F.col(text))).alias("x")).select(key, row("grammar", F.col("x.kind"), F.col("x.name"), F.col("x.sure")).alias("x"))
+    others = texts.select(key, F.explode(F.array_distinct(nouns(F.col(text)))).alias("n")).where((F.length("n") > 2) & F.col("n").rlike("^[a-z]"))
+    rows = found.unionAll(others.select(key, row("noun", F.lit("software"), F.col("n"), F.lit(NOUN_SURE)).alias("x")))
+    if known is not None:
+        rows = rows.unionAll(known.select(key, row("list", F.lit("software"), F.lower("name"), F.lit(DICTIONARY_SURE)).alias("x")))
+    once = rows.groupBy(key, F.col("x.name").alias("name")).agg(F.collect_set("x").alias("x"), F.max(F.when(F.col("x.source") == "list", F.col("x.sure"))).alias("listed"))
+    of = lambda source: F.filter("x", lambda e: e["source"] == source)
+    each = once.select(key, "name", "listed", F.explode(F.when(F.size(of("grammar")) > 0, of("grammar")).when(F.col("listed").isNotNull(), of("list")).otherwise(F.col("x"))).alias("e"))
+    return each.select(key, "e.kind", "name", F.greatest("e.sure", "listed").alias("sure"))
 
 
 def overall(found: Column) -> Column:

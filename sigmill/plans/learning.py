@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.operators import classify as C
+from sigmill.operators import neighbours as N
 from sigmill.operators import sentiment as S
 from sigmill.operators.trajectory import sentiment_class
+from sigmill.plans import labels as P
 from sigmill.sources.tables import load
 
 # Valences of words of the test tables.
@@ -96,9 +98,70 @@ def language_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, "random_forest")
 
 
-QUERIES = {f.__name__: f for f in (sentiment_scores, sentiment_counts, busy_posts, post_sides, category_means, stale_rows, highlighted, shortened, split_sizes, language_naive_bayes, language_logistic, language_forest)}
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the first component that their words name, which classifiers are to find from all words."""
+    return load(spark, sf_dir, "documents").select("doc_id", "text").join(P.component_primary(spark, sf_dir), "doc_id")
+
+
+def _secure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = P.security_binary(spark, sf_dir).select("doc_id", F.when(F.col("security"), "security").otherwise("none").alias("security"))
+    return load(spark, sf_dir, "documents").select("doc_id", "text").join(flags, "doc_id")
+
+
+def _learned(rows: DataFrame, label: str, name: str) -> DataFrame:
+    return C.agreement(C.predicted(rows, "doc_id", label, name)).select(F.lit(name).alias("classifier"), "n", "accuracy", "kappa")
+
+
+def component_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well counted words tell the component that keywords give."""
+    return _learned(_components(spark, sf_dir), "component", "naive_bayes")
+
+
+def component_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(_components(spark, sf_dir), "component", "logistic_regression")
+
+
+def component_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(_components(spark, sf_dir), "component", "random_forest")
+
+
+def security_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well counted words tell whether keywords say that a document is about security."""
+    return _learned(_secure(spark, sf_dir), "security", "linear_svm")
+
+
+def security_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learned(_secure(spark, sf_dir), "security", "boosting")
+
+
+def component_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component that most of the five nearest texts of the training rows have, for each other row."""
+    rows = _components(spark, sf_dir)
+    training, rest = rows.where(C.in_training(F.col("doc_id"))), rows.where(~C.in_training(F.col("doc_id")))
+    found = N.nearest(training.select(F.col("doc_id").alias("id"), F.col("component").alias("label"), "text"), rest.select(F.col("doc_id").alias("query"), "text"))
+    return rest.select("doc_id", "component").join(N.voted(found).withColumnRenamed("query", "doc_id"), "doc_id", "left")
+
+
+def component_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and kappa of the nearest texts' vote."""
+    return C.agreement(component_neighbours(spark, sf_dir), "component").select(F.lit("neighbours").alias("classifier"), "n", "accuracy", "kappa")
+
+
+QUERIES = {f.__name__: f for f in (component_naive_bayes, component_logistic, component_forest, security_svm, security_boosting, component_neighbours, component_knn, sentiment_scores, sentiment_counts, busy_posts, post_sides, category_means, stale_rows, highlighted, shortened, split_sizes, language_naive_bayes, language_logistic, language_forest)}
 _V = ", ".join(f"('{w}', {v})" for w, v in VALENCES)
+_TRAINS = f"('0x' || md5(doc_id || ':{C.SEED}')[1:8])::BIGINT % 5 > 0"
+_VOTES = f"""WITH d AS MATERIALIZED (SELECT doc_id, text, component, {_TRAINS} AS training FROM documents JOIN ({P.ORACLE['component_primary']}) USING (doc_id) WHERE text IS NOT NULL),
+  c AS MATERIALIZED (SELECT doc_id, training, word, count(*) AS n FROM (SELECT doc_id, training, unnest(regexp_extract_all(lower(text), '{N.WORD}')) AS word FROM d) GROUP BY ALL),
+  z AS MATERIALIZED (SELECT doc_id, sum(n * n) AS z FROM c GROUP BY 1), p AS MATERIALIZED (SELECT q.doc_id AS query, r.doc_id AS id, sum(q.n * r.n) AS p FROM c q JOIN c r ON r.word = q.word AND r.training AND NOT q.training GROUP BY ALL),
+  s AS (SELECT q.doc_id AS query, r.doc_id AS id, r.component AS label, coalesce(a.z, 0) + coalesce(b.z, 0) - 2 * coalesce(p, 0) AS distance FROM d q JOIN d r ON r.training AND NOT q.training LEFT JOIN p ON p.query = q.doc_id AND p.id = r.doc_id
+    LEFT JOIN z a ON a.doc_id = q.doc_id LEFT JOIN z b ON b.doc_id = r.doc_id QUALIFY row_number() OVER (PARTITION BY q.doc_id ORDER BY distance, r.doc_id) <= 5),
+  v AS (SELECT query, label FROM (SELECT query, label, count(*) AS n FROM s GROUP BY query, label) QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) = 1),
+  g AS MATERIALIZED (SELECT d.doc_id, d.component, v.label AS guess FROM d LEFT JOIN v ON v.query = d.doc_id WHERE NOT d.training)"""
 ORACLE = {
+    "split_sizes": f"SELECT {_TRAINS} AS training, count(*) AS documents FROM documents GROUP BY 1",
+    "component_neighbours": f"{_VOTES} SELECT * FROM g",
+    "component_knn": f"""{_VOTES} SELECT 'neighbours' AS classifier, n, round(po, 4) AS accuracy, CASE WHEN pe = 1 THEN 0 ELSE round((po - pe) / (1 - pe), 4) END AS kappa FROM (SELECT count(*) AS n, avg((component = guess)::INT) AS po,
+      (SELECT sum(a.n * b.n) FROM (SELECT component AS x, count(*) AS n FROM g GROUP BY 1) a JOIN (SELECT guess AS x, count(*) AS n FROM g GROUP BY 1) b USING (x)) / (count(*) * count(*)) AS pe FROM g)""",
     "sentiment_counts": f"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations), s AS (SELECT conv_id, turn, sum(v::DOUBLE) AS v FROM w JOIN (VALUES {_V}) AS l(word, v) USING (word) GROUP BY ALL),
       c AS (SELECT coalesce(v / sqrt(v * v + 15.0), 0.0) AS x FROM conversations LEFT JOIN s USING (conv_id, turn)) SELECT CASE WHEN x >= 0.05 THEN 'Positive' WHEN x <= -0.05 THEN 'Negative' ELSE 'Neutral' END AS label, count(*) AS turns FROM c GROUP BY 1""",
     "busy_posts": "SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1 HAVING count(*) - 1 >= 4",

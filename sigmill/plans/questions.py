@@ -1,10 +1,12 @@
-"""Question queries: each document asks one question, chosen and completed by its number, about its language's software."""
+"""Question queries: each document asks one question, chosen and completed by its number, about its language's software. The entities of
+documents' own texts are found with a list of names, the phrases of the benchmark."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigmill.operators import dictionary as D
 from sigmill.operators import entities as E
 from sigmill.sources.tables import load
 
@@ -33,9 +35,11 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("question")
-    rows = _asked(spark, sf_dir).select("doc_id", "question", E.entities(q).alias("found"), E.versions(q).alias("versions"), E.breaking(q, FAILURES).alias("failure"))
-    return rows.withColumn("intent", E.intent(q, F.col("versions"), F.col("failure").isNotNull())).withColumn("primary", E.primary(F.col("found")))
+    """Each different question is parsed once."""
+    q, asked = F.col("question"), _asked(spark, sf_dir)
+    rows = asked.select("question").distinct().select("question", E.entities(q).alias("found"), E.versions(q).alias("versions"), E.breaking(q, FAILURES).alias("failure"))
+    rows = rows.withColumn("intent", E.intent(q, F.col("versions"), F.col("failure").isNotNull())).withColumn("primary", E.primary(F.col("found")))
+    return asked.join(rows, "question")
 
 
 def entity_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +72,30 @@ def question_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed name of each question's entities."""
     names = spark.createDataFrame([(n,) for n in LISTED], "name string")
-    asked = _parsed(spark, sf_dir).select("doc_id", F.explode("found").alias("x")).select("doc_id", E.plain_name(F.col("x.name")).alias("entity"))
-    near = F.when(F.col("entity") == "linux mint", "Linux-Mint").when(F.col("entity") == "nginx", "Linux-Mint and more")
-    return E.canonical(asked, names, near).select("doc_id", "entity", "canonical")
+    parsed = _parsed(spark, sf_dir).select("doc_id", "question", F.explode("found").alias("x"))
+    near = D.longest(_asked(spark, sf_dir).select("question").distinct(), "question", "question", names).withColumnRenamed("name", "near")
+    asked = parsed.select("doc_id", "question", E.plain_name(F.col("x.name")).alias("entity")).join(near, "question", "left")
+    return E.canonical(asked, names, F.col("near")).select("doc_id", "entity", "canonical")
 
 
-QUERIES = {f.__name__: f for f in (entity_list, entity_primary, entity_confidence, question_versions, question_intent, question_prompt, canonical_name)}
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of one to three words of the benchmark."""
+    words = F.regexp_extract_all("text", F.lit(r"[A-Za-z]+"), F.lit(0))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+    return load(spark, sf_dir, "benchmark").select(words.alias("w")).select(F.explode(F.concat(run(1), run(2), run(3))).alias("name")).where("name <> ''").distinct()
+
+
+def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest name of the list that each document's text holds, stop words left out."""
+    return D.longest(load(spark, sf_dir, "documents"), "doc_id", "text", _names(spark, sf_dir), D.STOPS)
+
+
+def text_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities of documents' texts by patterns, by the list of names, and by words that stand where nouns do."""
+    return E.in_texts(load(spark, sf_dir, "documents"), "doc_id", "text", known_names(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (entity_list, entity_primary, entity_confidence, question_versions, question_intent, question_prompt, canonical_name, known_names, text_entities)}
 _S = lambda text: "'" + text.replace("'", "''") + "'"
 _Q = f"""(SELECT doc_id, [{', '.join(map(_S, ASKED))}][doc_id % {len(ASKED)} + 1] || CASE WHEN doc_id % 3 = 0 THEN ' v' || (doc_id % 7) ELSE '' END AS question FROM documents)"""
 #: DuckDB takes constant patterns only, so each pattern is a branch.
@@ -95,6 +117,14 @@ _INTENT = f"""(SELECT doc_id, question, versions, {_AT} AS failure_no, {_NAME} A
 _STRIP = lambda c: f"regexp_replace(lower({c}), '[\\s.\\-_]', '', 'g')"
 _PART = lambda c: f"trim(regexp_split_to_array(lower({c}), '[.\\-_]')[1])"
 _LISTS = ", ".join(f"('{n}')" for n in LISTED)
+_EDGE = _S(f"[{D.EDGE}]")
+#: Whether t holds a name at word borders: the letters around one of its places.
+_HOLDS = lambda t, n: f"""(contains({t}, {n}) AND len(list_filter(range(1, len(string_split({t}, {n}))), lambda i: (string_split({t}, {n})[i] = '' AND i = 1 OR string_split({t}, {n})[i] <> '' AND regexp_matches(right(string_split({t}, {n})[i], 1), {_EDGE}))
+  AND (string_split({t}, {n})[i + 1] = '' AND i + 1 = len(string_split({t}, {n})) OR string_split({t}, {n})[i + 1] <> '' AND regexp_matches(left(string_split({t}, {n})[i + 1], 1), {_EDGE})))) > 0)"""
+_NAMES = f"""n AS MATERIALIZED (SELECT DISTINCT name, lower(name) AS low FROM (SELECT unnest(list_transform(range(1, greatest(len(w), 1) + 1), lambda i: array_to_string(w[i : i], ' ')) || list_transform(range(1, greatest(len(w) - 1, 1) + 1), lambda i: array_to_string(w[i : i + 1], ' ')) || list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS name
+  FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark)) WHERE length(name) >= {D.LEAST} AND lower(name) NOT IN ({', '.join(map(_S, D.STOPS))}))"""
+_KNOWN = f"k AS MATERIALIZED (SELECT doc_id, arg_min(name, (-length(name), name)) AS name FROM (SELECT doc_id, name FROM (SELECT doc_id, lower(text) AS t FROM documents) d, n WHERE {_HOLDS('t', 'low')}) GROUP BY doc_id)"
+_TEXT_FOUND = _FOUND.replace(_Q, "(SELECT doc_id, text AS question FROM documents)")
 ORACLE = {
     "entity_list": f"{_FOUND} SELECT doc_id, kind, name, sure FROM f",
     "entity_primary": f"{_FIRST} SELECT q.doc_id, kind, name, sure FROM q LEFT JOIN primary_ USING (doc_id)",
@@ -107,7 +137,13 @@ ORACLE = {
       WHEN {_HAS(E.ABOUT_UPDATE)} THEN 'What''s the latest version of ' || p.name || s || '?' ELSE 'Tell me about ' || p.name || s END AS prompt
       FROM (SELECT *, CASE WHEN contains(question, 'today') THEN ' on 2026-02-11 (today)' ELSE '' END AS s FROM i) i JOIN primary_ p USING (doc_id) WHERE p.name IS NOT NULL""",
     "canonical_name": f"""{_FOUND}, e AS (SELECT doc_id, {_PLAIN('name')} AS entity FROM f), n AS (SELECT * FROM (VALUES {_LISTS}) AS v(name)),
-      k AS (SELECT {_STRIP('name')} AS key, name FROM n QUALIFY row_number() OVER (PARTITION BY key ORDER BY length(name) DESC, name) = 1), t AS (SELECT {_PART('name')} AS part, name FROM n QUALIFY row_number() OVER (PARTITION BY part ORDER BY length(name) DESC, name) = 1)
+      k AS (SELECT {_STRIP('name')} AS key, name FROM n QUALIFY row_number() OVER (PARTITION BY key ORDER BY length(name) DESC, name) = 1), t AS (SELECT {_PART('name')} AS part, name FROM n QUALIFY row_number() OVER (PARTITION BY part ORDER BY length(name) DESC, name) = 1),
+      g AS (SELECT doc_id, arg_min(name, (-length(name), name)) AS near FROM (SELECT doc_id, lower(question) AS t FROM q), (SELECT name, lower(name) AS low FROM n WHERE length(name) >= {D.LEAST}) WHERE {_HOLDS('t', 'low')} GROUP BY doc_id)
       SELECT doc_id, entity, coalesce(CASE entity {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in E.LISTED.items())} END, k.name, CASE WHEN regexp_matches(entity, '[.\\-_]') AND length({_PART('entity')}) >= 3 AND {_PART('entity')} <> entity THEN coalesce(t.name, {_PART('entity')}) END,
-        CASE WHEN entity = 'linux mint' THEN 'Linux-Mint' END) AS canonical FROM e LEFT JOIN k ON k.key = {_STRIP('entity')} LEFT JOIN t ON t.part = {_PART('entity')} AND regexp_matches(entity, '[.\\-_]')""",
+        CASE WHEN lower(near) <> entity AND length(near) / length(entity) BETWEEN 0.6 AND 1.5 THEN near END) AS canonical FROM e LEFT JOIN g USING (doc_id) LEFT JOIN k ON k.key = {_STRIP('entity')} LEFT JOIN t ON t.part = {_PART('entity')} AND regexp_matches(entity, '[.\\-_]')""",
+    "known_names": f"WITH {_NAMES}, {_KNOWN} SELECT doc_id, name FROM k",
+    "text_entities": f"""{_TEXT_FOUND}, {_NAMES}, {_KNOWN}, g_ AS (SELECT f.doc_id, f.kind, f.name, CASE WHEN lower(k.name) = f.name THEN greatest(sure, {E.DICTIONARY_SURE}) ELSE sure END AS sure FROM f LEFT JOIN k USING (doc_id)),
+      d AS (SELECT * FROM g_ UNION ALL SELECT doc_id, 'software', lower(name), {E.DICTIONARY_SURE}::DOUBLE FROM k WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = k.doc_id AND f.name = lower(k.name))),
+      o AS (SELECT DISTINCT doc_id, trim(unnest(regexp_extract_all(lower(text), {_S(E.NOUN)}, 1))) AS name FROM documents)
+      SELECT * FROM d UNION ALL SELECT doc_id, 'software', name, {E.NOUN_SURE}::DOUBLE FROM o WHERE length(name) > 2 AND NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = o.doc_id AND d.name = o.name)""",
 }
