@@ -2,13 +2,14 @@
 
 1. Rows with equal texts are one text; its document is the smallest doc_id. Rows of a larger doc_id are whole copies: all their
    lines go, if they have LEAST_WORDS words together.
-2. Lines are hashed without outer spaces. A line of ANCHOR_WORDS words or more is a key, a shorter one together with the line
-   before it. Texts that share a rare key (RARE holders at most) are a pair; where more hold it, each of them is a pair
-   with the first holder only. So there are at most RARE pairs for a line, whatever the number of its holders.
+2. Lines are hashed without outer spaces. The shortest runs of lines with LEAST_WORDS words, from each line on and up to each line, are
+   keys: any block that two texts share holds one, however common its lines are by themselves, and every line of a block is in one. Each text with a key and the first
+   holder of the key are a pair: as many pairs as keys, whatever the number of holders.
 3. A pair is aligned by patience diff: equal first and last lines, then the lines that both hold once, in the longest
    run that keeps their order, then again between these anchors. Aligned blocks (neighbours in both texts) of
-   LEAST_WORDS words or more go from the later text. A line that is long enough to be a block goes wherever it stands:
-   repeated and moved blocks are aligned on their own.
+   LEAST_WORDS words or more go from the later text. Repeated and moved blocks are aligned on their own: a run
+   of the later text that the earlier one holds goes wherever it stands.
+   So a line goes if, and only if, it is in a block of LEAST_WORDS words that any earlier text holds; a blank one if the lines around it go.
 
 The earlier of two texts is that of the smaller doc_id, then of the smaller hash; the first text with a line keeps it.
 A document whose every line is deleted (and that had text) is left out by ``deduplicated``; all other rows stay.
@@ -23,18 +24,17 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.llm.shared import table, unused, written
 
-#: A line of fewer words is keyed together with the line before it.
-ANCHOR_WORDS = 5
 #: Words that an aligned block has at least.
 LEAST_WORDS = 8
-#: Holders up to which every two of them are paired.
-RARE = 6
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _in_order(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -78,10 +78,33 @@ def matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def aligned_lines(later: list[int], words: list[int], earlier: list[int]) -> list[int]:
-    """The places of the lines that go from the later of two texts. Lines are hashes, 0 for a blank one."""
-    held = set(earlier)
-    gone = {k for k, (x, n) in enumerate(zip(later, words)) if n >= LEAST_WORDS and x in held}
+def runs(words: np.ndarray) -> np.ndarray:
+    """(begin, end) of the shortest runs of lines with LEAST_WORDS words, from each line on and up to each line; ``words`` has each line's number."""
+    upto = np.append(0, np.cumsum(words))
+    some = np.flatnonzero(words > 0)
+    ends = np.searchsorted(upto, upto[some] + LEAST_WORDS)  # of the run from a line on
+    begins = np.searchsorted(upto, upto[some + 1] - LEAST_WORDS, side="right") - 1  # of the run up to a line
+    on, up = ends < len(upto), upto[some + 1] >= LEAST_WORDS
+    both = np.concatenate([np.stack([some[on], ends[on]], axis=1), np.stack([begins[up], some[up] + 1], axis=1)])
+    return np.unique(both, axis=0)
+
+
+def run_hashes(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """A hash of the lines of each run."""
+    sizes = (of[:, 1] - of[:, 0]).astype(np.int64)
+    out = sizes.astype(np.uint64)
+    for k in range(int(sizes.max(initial=0))):
+        held = sizes > k
+        x = (out[held] ^ keys[of[held, 0] + k]) * _BASE
+        out[held] = x ^ (x >> np.uint64(29))
+    return out.view(np.int64)
+
+
+def aligned_lines(later: list[int], words: list[int], earlier: list[int], earlier_words: list[int]) -> list[int]:
+    """The places of the lines that go from the later of two texts. Lines are hashes, 0 for a blank one; words are the numbers of their words."""
+    mine, theirs = (np.array(x, dtype=np.int64).view(np.uint64) for x in (later, earlier))
+    own = runs(np.array(words))
+    gone: set[int] = set()
     block: list[tuple[int, int]] = []
     for at in [*matches(later, earlier), None]:
         if at and block and at == (block[-1][0] + 1, block[-1][1] + 1):
@@ -90,6 +113,15 @@ def aligned_lines(later: list[int], words: list[int], earlier: list[int]) -> lis
         if sum(words[i] for i, _ in block) >= LEAST_WORDS:
             gone.update(i for i, _ in block)
         block = [at] if at else []
+    open_ = [(i, j) for i, j in own.tolist() if not gone.issuperset(range(i, j))]
+    if open_:  # moved blocks: candidates by hash, then line by line
+        at: dict[int, list[tuple[int, int]]] = {}
+        held = runs(np.array(earlier_words))
+        for h, (i, j) in zip(run_hashes(theirs, held).tolist(), held.tolist(), strict=True):
+            at.setdefault(h, []).append((i, j))
+        for h, (i, j) in zip(run_hashes(mine, np.array(open_)).tolist(), open_, strict=True):
+            if any(earlier[p:q] == later[i:j] for p, q in at.get(h, ())):
+                gone.update(range(i, j))
     return sorted(gone)
 
 
@@ -115,22 +147,46 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _keys(texts: DataFrame) -> DataFrame:
     """(node, first, key) of each text, each key once."""
-    short = lambda x, i: F.xxhash64(F.when(i > 0, F.element_at("keys", F.greatest(i, F.lit(1)))).otherwise(F.lit(0).cast("long")), x)
-    count = lambda i: F.element_at("words", i + 1)
-    keys = F.transform("keys", lambda x, i: F.when(count(i) >= ANCHOR_WORDS, x).when(count(i) > 0, short(x, i)))
-    return texts.select("node", "first", F.explode(F.array_distinct(F.filter(keys, lambda x: x.isNotNull()))).alias("key"))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for at in range(0, whole.num_rows, 500):
+                part = whole.slice(at, 500)
+                found = []
+                for keys, words in zip(part.column(2), part.column(3), strict=True):
+                    lines = keys.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    found.append(np.unique(run_hashes(lines, runs(words.values.to_numpy(zero_copy_only=False).astype(np.int64)))))
+                sizes = np.array([len(x) for x in found], dtype=np.int64)
+                rows = part.take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found]))], names=["node", "first", "key"])
+
+    return texts.select("node", "first", "keys", "words").mapInArrow(batches, "node long, first long, key long")
 
 
 def pairs(texts: DataFrame) -> DataFrame:
     """(node, source) of the texts that are aligned; the source is the earlier one."""
-    place = F.struct("first", "node")
-    keys = _keys(texts)
-    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(place).alias("source")).where("held > 1"))
-    rare = written(keys.join(shared.where(F.col("held") <= RARE).select("key"), "key"))
-    earlier = rare.select("key", F.col("first").alias("s_first"), F.col("node").alias("source"))
-    both = rare.join(earlier, "key").where(F.struct("s_first", "source") < F.struct("first", "node")).select("node", "source")
-    common = keys.join(shared.where(F.col("held") > RARE).select("key", F.col("source.node").alias("source")), "key").where("node <> source").select("node", "source")
-    return both.unionAll(common).distinct()
+    keys = written(_keys(texts))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("first", "node")).alias("source")).where("held > 1")
+    return keys.join(shared.select("key", F.col("source.node").alias("source")), "key").where("node <> source").select("node", "source").distinct()
+
+
+def with_blanks(words: pd.Series, gone: pd.Series) -> pd.Series:
+    """The places of lines that go, blank ones by the lines around them."""
+    out = []
+    for n, places in zip(words, gone, strict=True):
+        if places is None:
+            out.append(None)
+            continue
+        n = np.asarray(n)
+        goes = np.zeros(len(n), dtype=bool)
+        goes[np.asarray(places, dtype=np.int64)] = True
+        solid = np.flatnonzero(n > 0)
+        after = np.searchsorted(solid, np.arange(len(n)))  # of the lines with words, the first at or after each line
+        inner = (n == 0) & (after > 0) & (after < len(solid))
+        goes[n == 0] = False
+        goes[inner] = goes[solid[after[inner] - 1]] & goes[solid[after[inner]]]
+        out.append(np.flatnonzero(goes).astype(np.int32))
+    return pd.Series(out, dtype=object)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -138,20 +194,21 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     texts = written(_texts(docs))
     found = written(pairs(texts))
     later = texts.select("node", "keys", "words")
-    earlier = texts.select(F.col("node").alias("source"), F.col("keys").alias("held"))
-    both = found.join(earlier, "source").join(later, "node").select("node", "keys", "words", "held")
+    earlier = texts.select(F.col("node").alias("source"), F.col("keys").alias("held"), F.col("words").alias("held_words"))
+    both = found.join(earlier, "source").join(later, "node").select("node", "keys", "words", "held", "held_words")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for at in range(0, whole.num_rows, 1000):
                 part = whole.slice(at, 1000)
-                gone = [aligned_lines(a.as_py(), w.as_py(), b.as_py()) for a, w, b in zip(*part.columns[1:])]
+                gone = [aligned_lines(*(x.as_py() for x in row)) for row in zip(*part.columns[1:], strict=True)]
                 out = pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.list_(pa.int32()))], ["node", "gone"])
                 yield out.filter(pa.array([bool(x) for x in gone], pa.bool_()))
 
     gone = both.mapInArrow(batches, "node long, gone array<int>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     enough = F.aggregate("words", F.lit(0), lambda n, x: n + x) >= LEAST_WORDS
-    return texts.select("node", "proof", "first", "rows", enough.alias("whole")).join(gone, "node", "left").where("gone is not null or rows > 1").drop("rows")
+    out = texts.select("node", "proof", "first", "rows", "words", enough.alias("whole")).join(gone, "node", "left").where("gone is not null or rows > 1")
+    return out.withColumn("gone", F.pandas_udf(with_blanks, "array<int>")("words", "gone")).drop("rows", "words")
 
 
 def deduplicated(docs: DataFrame, keep_emptied: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
+
 from sigmill.llm import line_dedup as ld
 
 LINE = "one two three four five six seven eight nine"
@@ -35,24 +37,17 @@ def diff(a, b, i=0, j=0):
 
 
 def brute(rows):
-    """Plain version over all pairs of documents in memory."""
+    """Plain version over all pairs of documents in memory: blocks that patience diff aligns, and blocks that an earlier text holds anywhere."""
     docs = sorted({(i, t) for i, t in rows if i is not None and t is not None})
     first = {}
     for i, t in docs:
         first.setdefault(t, i)
     lines = {t: [x.strip(" ") for x in t.split("\n")] for _, t in docs}
     count = lambda x: len(x.split(" ")) if x else 0
-    keys = {t: {(x,) if count(x) >= ld.ANCHOR_WORDS else (own[k - 1] if k else "", x) for k, x in enumerate(own) if x} for t, own in lines.items()}
-    holders = defaultdict(list)
-    for t, i in first.items():
-        for k in keys[t]:
-            holders[k].append((i, t))
-    pairs = set()
-    for held in holders.values():
-        held.sort()
-        pairs |= set(combinations(held, 2)) if len(held) <= ld.RARE else {(held[0], x) for x in held[1:]}
+    size = lambda t, i, j: sum(count(x) for x in lines[t][i:j])
+    texts = sorted((i, t) for t, i in first.items())
     lost = defaultdict(set)
-    for (_, s), (_, t) in pairs:
+    for (_, s), (_, t) in combinations(texts, 2):
         block = []
         for at in diff(lines[t], lines[s]) + [None]:
             if at and block and at == (block[-1][0] + 1, block[-1][1] + 1):
@@ -61,7 +56,23 @@ def brute(rows):
             if sum(count(lines[t][k]) for k, _ in block) >= ld.LEAST_WORDS:
                 lost[t] |= {k for k, _ in block}
             block = [at] if at else []
-        lost[t] |= {k for k, x in enumerate(lines[t]) if count(x) >= ld.LEAST_WORDS and x in lines[s]}
+        for i in range(len(lines[t])):
+            for p in range(len(lines[s])):
+                n = 0
+                while i + n < len(lines[t]) and p + n < len(lines[s]) and lines[t][i + n] == lines[s][p + n]:
+                    n += 1
+                # blank lines at a block's ends are none of it
+                a, b = i, i + n
+                while a < b and not lines[t][a]:
+                    a += 1
+                while a < b and not lines[t][b - 1]:
+                    b -= 1
+                if size(t, a, b) >= ld.LEAST_WORDS:
+                    lost[t] |= set(range(a, b))
+    for t, own in lines.items():
+        solid = [k for k, x in enumerate(own) if x]
+        around = lambda k: [max((j for j in solid if j < k), default=-1), min((j for j in solid if j > k), default=-1)]  # noqa: B023, E731
+        lost[t] = {k for k in solid if k in lost[t]} | {k for k, x in enumerate(own) if not x and all(j in lost[t] for j in around(k))}
     out = {}
     for i, t in docs:
         whole = i > first[t] and sum(map(count, lines[t])) >= ld.LEAST_WORDS
@@ -106,6 +117,24 @@ def test_a_copy_with_a_repeated_inner_line_goes(documents):
     assert sorted((r.doc_id, r.text) for r in got) == [(1, text), (3, "and more")]
 
 
+def test_a_block_of_common_lines_goes(documents):
+    a, b = "red green blue black white grey", "cat dog cow hen pig ant"
+    rows = [(i, f"{a}\nown words of {i}") for i in range(20)] + [(20 + i, f"{b}\nother words of {i}") for i in range(20)]
+    rows += [(100, f"first\n{a}\n{b}\nthen"), (101, f"{a}\n{b}\nlast"), (102, f"{a}\nbetween\n{b}"), (103, f"{a}\n\n{b}"), (104, f"x\n{a}\n\n{b}\ny")]
+    got = {r.doc_id: r.text for r in ld.deduplicated(documents(rows)).collect()}
+    assert got[100] == rows[40][1] and got[101] == "last" and got[102] == rows[42][1] and got[103] == rows[43][1] and got[104] == "x\ny"
+
+
+def test_runs_cover_every_block():
+    rng = random.Random(3)
+    for _ in range(300):
+        words = np.array([rng.choice([0, 0, 1, 2, 3, 5, 9]) for _ in range(rng.randrange(12))], dtype=np.int64)
+        got = {tuple(x) for x in ld.runs(words).tolist()}
+        every = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words) + 1) if words[i] and words[j - 1] and words[i:j].sum() >= ld.LEAST_WORDS}
+        assert got == {(i, j) for i, j in every if words[i : j - 1].sum() < ld.LEAST_WORDS or words[i + 1 : j].sum() < ld.LEAST_WORDS}
+        assert {k for i, j in every for k in range(i, j) if words[k]} == {k for i, j in got for k in range(i, j) if words[k]}
+
+
 def test_moved_and_repeated_lines(documents):
     other = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
     got = ld.deduplicated(documents([(1, f"{LINE}\n{other}"), (2, f"{other}\nkept\n{LINE}\n{LINE}")])).collect()
