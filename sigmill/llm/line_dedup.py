@@ -25,12 +25,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.llm.shared import table, unused, written
+from sigmill.llm.shared import give_back, table, unused, written
 
 #: Words that an aligned block has at least.
 LEAST_WORDS = 8
@@ -159,6 +158,7 @@ def _keys(texts: DataFrame) -> DataFrame:
                 sizes = np.array([len(x) for x in found], dtype=np.int64)
                 rows = part.take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found]))], names=["node", "first", "key"])
+        give_back()
 
     return texts.select("node", "first", "keys", "words").mapInArrow(batches, "node long, first long, key long")
 
@@ -170,23 +170,25 @@ def pairs(texts: DataFrame) -> DataFrame:
     return keys.join(shared.select("key", F.col("source.node").alias("source")), "key").where("node <> source").select("node", "source").distinct()
 
 
-def with_blanks(words: pd.Series, gone: pd.Series) -> pd.Series:
-    """The places of lines that go, blank ones by the lines around them."""
-    out = []
-    for n, places in zip(words, gone, strict=True):
-        if places is None:
-            out.append(None)
-            continue
-        n = np.asarray(n)
-        goes = np.zeros(len(n), dtype=bool)
-        goes[np.asarray(places, dtype=np.int64)] = True
-        solid = np.flatnonzero(n > 0)
-        after = np.searchsorted(solid, np.arange(len(n)))  # of the lines with words, the first at or after each line
-        inner = (n == 0) & (after > 0) & (after < len(solid))
-        goes[n == 0] = False
-        goes[inner] = goes[solid[after[inner] - 1]] & goes[solid[after[inner]]]
-        out.append(np.flatnonzero(goes).astype(np.int32))
-    return pd.Series(out, dtype=object)
+def with_blanks(words: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """The places of lines that go, out of each text's numbers of words and places; blank ones go by the lines around them."""
+    for sizes, gone in words:
+        out = []
+        for n, places in zip(sizes, gone, strict=True):
+            if not places.is_valid:
+                out.append(None)
+                continue
+            n = n.values.to_numpy(zero_copy_only=False)
+            goes = np.zeros(len(n), dtype=bool)
+            goes[places.values.to_numpy(zero_copy_only=False)] = True
+            solid = np.flatnonzero(n > 0)
+            after = np.searchsorted(solid, np.arange(len(n)))  # of the lines with words, the first at or after each line
+            inner = (n == 0) & (after > 0) & (after < len(solid))
+            goes[n == 0] = False
+            goes[inner] = goes[solid[after[inner] - 1]] & goes[solid[after[inner]]]
+            out.append(np.flatnonzero(goes).astype(np.int32))
+        yield pa.array(out, pa.list_(pa.int32()))
+    give_back()
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -204,11 +206,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                 gone = [aligned_lines(*(x.as_py() for x in row)) for row in zip(*part.columns[1:], strict=True)]
                 out = pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.list_(pa.int32()))], ["node", "gone"])
                 yield out.filter(pa.array([bool(x) for x in gone], pa.bool_()))
+        give_back()
 
     gone = both.mapInArrow(batches, "node long, gone array<int>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     enough = F.aggregate("words", F.lit(0), lambda n, x: n + x) >= LEAST_WORDS
     out = texts.select("node", "proof", "first", "rows", "words", enough.alias("whole")).join(gone, "node", "left").where("gone is not null or rows > 1")
-    return out.withColumn("gone", F.pandas_udf(with_blanks, "array<int>")("words", "gone")).drop("rows", "words")
+    return out.withColumn("gone", F.arrow_udf(with_blanks, "array<int>")("words", "gone")).drop("rows", "words")
 
 
 def deduplicated(docs: DataFrame, keep_emptied: bool = False) -> DataFrame:
