@@ -119,6 +119,13 @@ def overridden(relevant: Column, sure: Column, rejected: Column, rejection: Colu
     return F.when(rejected & ~((sure >= 0.7) & (rejection < 0.85)), False).otherwise(relevant)
 
 
+def aligned(asked: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """(key, entries, decision): questions that found no entry abstain."""
+    counts = entries.groupBy(key).agg(F.count(F.lit(1)).alias("entries"))
+    out = asked.select(key).join(counts, key, "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
+    return out.withColumn("decision", F.when(F.col("entries") > 0, "confident").otherwise("abstain"))
+
+
 def broad_composite(has_entries: Column) -> Column:
     """Questions without an entity pass one gate of half the weight."""
     return F.when(has_entries, 0.85 * 0.5 + 0.5).otherwise(0.0)

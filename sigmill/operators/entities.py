@@ -110,6 +110,7 @@ def intent(text: Column, named: Column, failing: Column) -> Column:
 
 def prompt(text: Column, name: Column, named: Column, kind: Column, label: Column, suffix: Column) -> Column:
     """The question in a fixed form, by what it is about; ``suffix`` names the dates."""
+    # The sentences.
     has = lambda p: F.lower(text).rlike(p)
     about = ((F.size(named) > 0) | has(r"\bversion\b")) & (F.size(named) > 0)
     what = F.concat(F.lit('"'), F.coalesce(label, F.lit("failures")), F.lit('" releases for '), name, suffix)
@@ -123,6 +124,17 @@ def prompt(text: Column, name: Column, named: Column, kind: Column, label: Colum
     )
 
 
+def post_prompt(name: Column, named: Column, about_cve: Column, about_update: Column) -> Column:
+    """What a post asks, by its flags (null: no); ``named``: the version numbers in it."""
+    # The sentences.
+    return (
+        F.when(F.size(named) > 0, F.concat(F.lit("What's new in "), name, F.lit(" "), F.get(named, 0), F.lit("?")))
+        .when(about_cve, F.concat(F.lit("What are the latest security updates for "), name, F.lit("?")))
+        .when(about_update, F.concat(F.lit("What's the latest update for "), name, F.lit("?")))
+        .otherwise(F.concat(F.lit("Tell me about "), name, F.lit(" releases")))
+    )
+
+
 def canonical(asked: DataFrame, names: DataFrame, near: Column | None = None) -> DataFrame:
     """``asked`` (with a column entity) with its listed name: by LISTED, then by a name of ``names`` (name) that is equal without separators, then, for an entity with one of ".-_",
     by its first part (three letters or more), then by ``near``, a name in the question of about its length; null without any. Ties go to the longest, then the smallest name."""

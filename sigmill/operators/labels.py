@@ -53,6 +53,11 @@ def first_k_distinct(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("ord", value)).cast("long")).where(F.col("rank") <= k).drop("ord")
 
 
+def by_lead(rows: DataFrame, lead: str, posts: str, key: str) -> DataFrame:
+    """``rows`` in order of their lead, longest first and missing ones last; then of the number of posts, 0 where it can't be read; then of the key."""
+    return rows.orderBy(F.coalesce(lead, F.lit(-1e9)).desc(), F.coalesce(F.col(posts).try_cast("bigint"), F.lit(0)).desc(), key)
+
+
 def lead(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """``rows`` (key, earliest, ...) with published from ``lookup``, found, and the lead in days and hours: positive where ``rows`` came first."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))

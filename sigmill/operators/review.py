@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sigmill.operators import sequence as Q
 from sigmill.operators import substring as S
 
 # Languages of file endings.
@@ -43,11 +44,12 @@ def detector(name: str) -> Callable:
     return register
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """(pr, pos, file, kind, text) of unified diff lines (pr, pos, line). Lines of a deleted file belong to no file and are left out."""
+def parsed(lines: DataFrame, slices: int | None = None) -> DataFrame:
+    """(pr, pos, file, kind, text) of unified diff lines (pr, pos, line). Lines of a deleted file belong to no file and are left out. The current file is carried from slice
+    to slice of the lines, so a very long diff is no single task's work."""
     line = F.col("line")
     head = F.when(line.startswith("+++ b/"), F.substr(line, F.lit(7))).when(line.startswith("diff --git") | line.startswith("+++ "), "")
-    carried = lines.withColumn("file", F.last(head, ignorenulls=True).over(W.partitionBy("pr").orderBy("pos")))
+    carried = Q.carried(Q.sliced(lines, ["pos"], slices), ["pr"], ["pos"], head, "file")
     kind = F.when(line.startswith("+"), "added").when(line.startswith("-"), "removed").when(line.startswith(" "), "context")
     kept = carried.where((F.col("file") != "") & ~line.startswith("+++ ") & ~line.startswith("--- ")).withColumn("kind", kind)
     return kept.where("kind IS NOT NULL").select("pr", "pos", "file", "kind", F.substr(line, F.lit(2)).alias("text"))
@@ -199,6 +201,12 @@ def predictions(runs: DataFrame, critical: DataFrame) -> DataFrame:
     return of(sums, "crashes > 0", "crash", 0.95, "crashes").unionAll(of(sums, "leaks > 0", "memory_leak", 0.9, "objects")).unionAll(of(critical, "critical > 0", "breaking", 0.99, "critical"))
 
 
+def recurring(keyed: DataFrame, agent: str, least: int = 2) -> DataFrame:
+    """(repo, type, confidence, amount, severity): repositories with patterns of an agent that were found ``least`` times or more, and how many."""
+    patterns = keyed.where(F.col("agent") == agent).groupBy("repo", "pattern_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return patterns.groupBy("repo").agg(F.lit("performance_regression").alias("type"), F.lit(0.7).alias("confidence"), F.count(F.lit(1)).alias("amount"), F.lit("medium").alias("severity"))
+
+
 def feedback(patterns: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Each pattern (repo, pattern_key) with the outcomes (repo, evidence as a JSON list of keys, outcome) that name it, and its confidence; 0.5 without any."""
     each = outcomes.select("repo", F.explode(F.array_distinct(F.from_json("evidence", "array<string>"))).alias("pattern_key"), "outcome")

@@ -19,19 +19,30 @@ DAMPENERS = ("almost", "barely", "hardly", "kinda", "less", "little", "marginall
 NEGATIONS = ("aint", "arent", "cannot", "cant", "couldnt", "didnt", "doesnt", "dont", "hadnt", "hasnt", "havent", "isnt", "neither", "never", "no", "none", "nope", "nor", "not", "nothing", "nowhere", "shouldnt", "wasnt", "werent", "without", "wont", "wouldnt")
 
 
-def polarity(texts: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """(key, neg, neu, pos, compound, label) of each row; blank texts are neutral. The lexicon (word, valence) is small: it is gathered into one map beside each plan.
+def _with_lexicon(rows: DataFrame, key: str, lexicon: DataFrame, most: int) -> DataFrame:
+    """``rows`` (key, _l, the lower-case words) with _lexicon, a map that holds the valences of their words: the whole lexicon beside every row if it has ``most`` words
+    or fewer, else each text's own words, met by equality. Of a word's valences the largest counts."""
+    known = lexicon.where("word is not null").groupBy(F.lower("word").alias("_word")).agg(F.max(F.col("valence").cast("double")).alias("_valence"))
+    entries = F.map_from_entries(F.collect_list(F.struct("_word", "_valence")))
+    if known.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(known.agg(entries.alias("_lexicon"))))  # one row
+    own = rows.select(F.col(key).alias("_of"), F.explode("_l").alias("_word")).distinct().join(known, "_word").groupBy("_of").agg(entries.alias("_lexicon"))
+    none = F.create_map().cast("map<string, double>")
+    return rows.join(own, F.col(key).eqNullSafe(F.col("_of")), "left").withColumn("_lexicon", F.coalesce("_lexicon", none)).drop("_of")
+
+
+def polarity(texts: DataFrame, key: str, text: str, lexicon: DataFrame, most: int = 20_000) -> DataFrame:
+    """(key, neg, neu, pos, compound, label) of each row; blank texts are neutral. The lexicon (word, valence) may have any size.
 
     A word's valence is strengthened by capitals among other writing, by boosters and dampeners up to three words before it, and turned by
     negations there; a "but" halves what stands before it and raises what follows; exclamation and question marks strengthen the whole."""
-    pairs = lexicon.agg(F.map_from_entries(F.collect_list(F.struct(F.lower("word").alias("w"), F.col("valence").cast("double")))).alias("_lexicon"))
-    rows = texts.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(pairs))
+    rows = texts.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     raw = F.filter(F.split("_t", r"\s+"), lambda w: w != "")
     plain = F.transform(raw, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     rows = rows.withColumn("_w", F.filter(plain, lambda w: F.length(w) > 1))
     shouted = lambda w: (F.upper(w) == w) & (F.lower(w) != w)
     rows = rows.withColumn("_mixed", F.exists("_w", shouted) & F.exists("_w", lambda w: ~shouted(w))).withColumn("_l", F.transform("_w", lambda w: F.lower(F.replace(w, F.lit("'"), F.lit("")))))
-    rows = rows.withColumn("_but", F.array_position("_l", "but"))
+    rows = _with_lexicon(rows.withColumn("_but", F.array_position("_l", "but")), key, lexicon, most)
     low = lambda i, back: F.coalesce(F.get("_l", i - back), F.lit(""))
     up = lambda i, back: F.coalesce(F.get("_w", i - back), F.lit(""))
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sigmill.operators import sequence as Q
+
 
 def sentiment_class(score: Column) -> Column:
     """Positive from 0.05, Negative to -0.05, else Neutral; null scores are Neutral."""
@@ -20,19 +21,21 @@ def trend_word(slope: Column) -> Column:
     return F.when(slope > 0, "increasing").when(slope < 0, "decreasing").otherwise("stable")
 
 
-def sequenced(scored: DataFrame) -> DataFrame:
-    """``scored`` (post, side, ts, ord, score) with seq from 0 and n, the length, within post and side."""
-    of = W.partitionBy("post", "side")
-    return scored.withColumn("seq", F.row_number().over(of.orderBy("ts", "ord")) - 1).withColumn("n", F.count(F.lit(1)).over(of))
+def sequenced(scored: DataFrame, slices: int | None = None) -> DataFrame:
+    """``scored`` (post, side, ts, ord, score) with seq from 0 and n, the length, within post and side. Times that are texts are ordered as texts, missing ones come first.
+    A post's rows are numbered slice by slice, so one with most of all comments is no single task's work."""
+    return Q.numbered(Q.sliced(scored, ["ts", "ord"], slices), ["post", "side"], ["ts", "ord"]).drop("_slice")
 
 
-def stats(scored: DataFrame) -> DataFrame:
+def stats(scored: DataFrame, slices: int | None = None) -> DataFrame:
     """One row for each post and side: n, mean, std, low, high, slope, variance, volatility, shift, reliability (unrounded).
 
-    The slope needs two points, the reliability's part of it three; a shift needs four; volatility two."""
-    of = W.partitionBy("post", "side").orderBy("seq")
+    The slope needs two points, the reliability's part of it three; a shift needs four; volatility two. All are sums that tasks add up."""
+    keys, order = ["post", "side"], ["ts", "ord"]
+    numbered = Q.numbered(Q.sliced(scored, order, slices), keys, order)
+    # a missing score is a step's missing end, not the one before it: the pair tells it from a missing row
+    rows = Q.carried(numbered, keys, order, F.struct("score"), "_before", before=True).withColumn("step", F.abs(F.col("score") - F.col("_before.score")))
     half = F.floor(F.col("n") / 2)
-    rows = sequenced(scored).withColumn("step", F.abs(F.col("score") - F.lag("score").over(of)))
     out = rows.groupBy("post", "side").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("score").alias("mean"),

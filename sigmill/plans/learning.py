@@ -21,7 +21,7 @@ def _lexicon(spark: SparkSession) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.substring("text", 1, 280).alias("text"))
+    return load(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
 
 
 def sentiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,8 @@ def stale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' first 200 letters with each keyword between asterisks, once and as it is written."""
-    return load(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), r"(?i)\b(the|token|error|mit)\b", "**$1**").alias("shown"))
+    """Documents' texts with each keyword between asterisks, once and as it is written."""
+    return load(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"(?i)(?<![\p{L}\p{N}_])(the|token|error|mit)(?![\p{L}\p{N}_])", "**$1**").alias("shown"))
 
 
 def shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,25 @@ _VOTES = f"""WITH d AS MATERIALIZED (SELECT doc_id, text, component, {_TRAINS} A
     LEFT JOIN z a ON a.doc_id = q.doc_id LEFT JOIN z b ON b.doc_id = r.doc_id QUALIFY row_number() OVER (PARTITION BY q.doc_id ORDER BY distance, r.doc_id) <= 5),
   v AS (SELECT query, label FROM (SELECT query, label, count(*) AS n FROM s GROUP BY query, label) QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) = 1),
   g AS MATERIALIZED (SELECT d.doc_id, d.component, v.label AS guess FROM d LEFT JOIN v ON v.query = d.doc_id WHERE NOT d.training)"""
+_LIST = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+_STEP = lambda k: f"""(CASE WHEN l{k} IN {_LIST(S.BOOSTERS)} THEN {S.BOOST} + CASE WHEN mixed AND s{k} THEN {S.CAPS} ELSE 0 END WHEN l{k} IN {_LIST(S.DAMPENERS)} THEN -{S.BOOST} - CASE WHEN mixed AND s{k} THEN {S.CAPS} ELSE 0 END ELSE 0 END * {S.DAMPED[k - 1]})"""
+_LAGS = ", ".join(f"lag(l, {k}) OVER o AS l{k}, coalesce(lag(s, {k}) OVER o, false) AS s{k}" for k in (1, 2, 3))
+_POLARITY = f"""WITH t AS (SELECT conv_id || ':' || turn AS id, coalesce(text, '') AS t FROM conversations),
+  w AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS place FROM (SELECT id, list_filter(list_transform(list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''), lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda x: length(x) > 1) AS ws FROM t)),
+  x AS (SELECT *, lower(replace(w, chr(39), '')) AS l, upper(w) = w AND lower(w) <> w AS s FROM w), m AS (SELECT id, bool_or(s) AND bool_or(NOT s) AS mixed, min(place) FILTER (l = 'but') AS but FROM x GROUP BY id),
+  y AS (SELECT x.*, mixed, but, {_LAGS} FROM x JOIN m USING (id) WINDOW o AS (PARTITION BY id ORDER BY place)),
+  v AS (SELECT id, CASE WHEN l IN {_LIST(S.BOOSTERS + S.DAMPENERS)} OR valence IS NULL THEN 0 ELSE (valence + sign(valence) * (CASE WHEN mixed AND s THEN {S.CAPS} ELSE 0 END + {' + '.join(map(_STEP, (1, 2, 3)))}))
+    * CASE WHEN coalesce(l1 IN {_LIST(S.NEGATIONS)}, false) OR coalesce(l2 IN {_LIST(S.NEGATIONS)}, false) OR coalesce(l3 IN {_LIST(S.NEGATIONS)}, false) THEN {S.NEGATED} ELSE 1 END * CASE WHEN place < but THEN 0.5 WHEN place > but THEN 1.5 ELSE 1 END END::DOUBLE AS v
+    FROM y LEFT JOIN (VALUES {_V}) AS k(l, valence) USING (l)),
+  a AS (SELECT id, sum(v) AS total, coalesce(sum(v + 1) FILTER (v > 0), 0) AS p, coalesce(sum(v - 1) FILTER (v < 0), 0) AS n, count(*) FILTER (v = 0) AS z FROM v GROUP BY id),
+  e AS (SELECT t.id, coalesce(total, 0) AS total, coalesce(p, 0) AS p, coalesce(n, 0) AS n, coalesce(z, 0) AS z, least(length(t) - length(replace(t, '!', '')), 4) * 0.292::DOUBLE + CASE WHEN q > 3 THEN 0.96 WHEN q > 1 THEN q * 0.18 ELSE 0 END::DOUBLE AS e
+    FROM (SELECT *, length(t) - length(replace(t, '?', '')) AS q FROM t) t LEFT JOIN a USING (id)),
+  f AS (SELECT id, total + sign(total) * e AS whole, CASE WHEN p > -n THEN p + e ELSE p END AS p, CASE WHEN p < -n THEN n - e ELSE n END AS n, z FROM e),
+  g AS (SELECT *, round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, whole / sqrt(whole * whole + {S.NORM}))), 4) AS compound, p - n + z AS every FROM f)
+  SELECT id, CASE WHEN every > 0 THEN round(abs(n / every), 3) ELSE 0 END AS neg, CASE WHEN every > 0 THEN round(abs(z / every), 3) ELSE 1 END AS neu, CASE WHEN every > 0 THEN round(abs(p / every), 3) ELSE 0 END AS pos, compound,
+    CASE WHEN compound >= 0.05 THEN 'Positive' WHEN compound <= -0.05 THEN 'Negative' ELSE 'Neutral' END AS label FROM g"""
 ORACLE = {
+    "sentiment_scores": _POLARITY,
     "split_sizes": f"SELECT {_TRAINS} AS training, count(*) AS documents FROM documents GROUP BY 1",
     "component_neighbours": f"{_VOTES} SELECT * FROM g",
     "component_knn": f"""{_VOTES} SELECT 'neighbours' AS classifier, n, round(po, 4) AS accuracy, CASE WHEN pe = 1 THEN 0 ELSE round((po - pe) / (1 - pe), 4) END AS kappa FROM (SELECT count(*) AS n, avg((component = guess)::INT) AS po,
@@ -169,7 +187,7 @@ ORACLE = {
       SELECT conv_id, count(*) FILTER (own) AS author, count(*) FILTER (NOT own) AS community FROM o GROUP BY 1""",
     "category_means": "SELECT event_type, round(avg(m), 4) AS mean, round(min(m), 4) AS least, round(max(m), 4) AS most FROM (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY ALL) GROUP BY 1",
     "stale_rows": "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1998-08-01') > 7 AS stale FROM orders",
-    "highlighted": r"SELECT doc_id, regexp_replace(substr(text, 1, 200), '\b(the|token|error|mit)\b', '**\1**', 'gi') AS shown FROM documents",
+    "highlighted": r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), lambda x: CASE WHEN lower(x) IN ('the', 'token', 'error', 'mit') THEN '**' || x || '**' ELSE x END), '') AS shown FROM documents",
     "shortened": """SELECT page_id, CASE WHEN length(t) > 60 THEN substr(t, 1, 60) || '...' ELSE t END AS title, CASE WHEN length(url) > 40 THEN substr(url, 1, 20) || '...' || right(url, 17) ELSE url END AS url
       FROM (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)""",
 }

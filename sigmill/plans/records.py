@@ -55,11 +55,11 @@ def record_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of each identifier, most first, with its earliest time and sources: the 100 most mentioned."""
+    """Records of each identifier, with its earliest time and sources."""
     normal = R.normalised(_records(spark, sf_dir))
     each = normal.select(F.explode(F.split("cves", ";")).alias("cve"), "created_epoch", "subreddit").where("cve <> ''")
     out = each.groupBy("cve").agg(F.count(F.lit(1)).alias("post_count"), F.min("created_epoch").alias("earliest"), _texts(F.array_sort(F.collect_set(F.nullif("subreddit", F.lit(""))))).alias("subreddits"))
-    return out.orderBy(F.desc("post_count"), "cve").limit(100)
+    return out.orderBy(F.desc("post_count"), "cve")
 
 
 def mention_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ ORACLE = {
     "record_normal": f"SELECT * FROM {_NORMAL}",
     "record_audit": f"SELECT post_id, subreddit, created_iso_utc, substr(title, 1, 140) AS title, cves, substr(cve_paths, 1, 320) AS cve_paths, url FROM {_NORMAL} WHERE cve_count > 0",
     "record_rollup": f"""SELECT cve, count(*) AS post_count, min(created_epoch) AS earliest, coalesce(string_agg(DISTINCT nullif(subreddit, ''), ';' ORDER BY nullif(subreddit, '')), '') AS subreddits
-      FROM (SELECT unnest(string_split(cves, ';')) AS cve, created_epoch, subreddit FROM {_NORMAL} WHERE cve_count > 0) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""",
+      FROM (SELECT unnest(string_split(cves, ';')) AS cve, created_epoch, subreddit FROM {_NORMAL} WHERE cve_count > 0) GROUP BY 1""",
     "mention_share": f"SELECT count(*) AS posts, count(*) FILTER (regexp_matches(text, '{X.VERSION}')) AS with_mention, round(count(*) FILTER (regexp_matches(text, '{X.VERSION}')) / count(*), 6) AS share FROM documents",
     "url_cve": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'CVE-2023-' || page_id END AS cve, page_id % 4 = 1 AS tagged FROM pages""",
     "cvss_pick": """SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN '' ELSE CAST(p_size AS VARCHAR) END AS score, CASE p_partkey % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' ELSE '' END AS severity,

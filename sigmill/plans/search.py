@@ -153,12 +153,12 @@ def date_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates of each document: topic, entity, retrieval, completeness."""
+    """Gates of each document: topic, entity, retrieval, entries (more than one line), completeness; the fourth has no weight."""
     docs = load(spark, sf_dir, "documents")
     filled = sum((F.nullif(F.col(c), F.lit("")).isNotNull().cast("long") for c in ("text", "lang", "source")), F.lit(0)) + F.col("n_chars").isNotNull().cast("long")
     g1 = F.when(F.lower("text").contains("update"), 0.85).otherwise(0.6)
     g2 = F.when(X.version_last(F.col("text")).isNotNull(), 0.95).otherwise(0.55)
-    return docs.select("doc_id", g1.alias("g1"), g2.alias("g2"), F.when(F.col("n_chars") >= 200, 1.0).otherwise(0.0).alias("g3"), (filled / 4).alias("g5"))
+    return docs.select("doc_id", g1.alias("g1"), g2.alias("g2"), F.when(F.col("n_chars") >= 200, 1.0).otherwise(0.0).alias("g3"), F.when(F.col("text").contains("\n"), 1.0).otherwise(0.0).alias("g4"), (filled / 4).alias("g5"))
 
 
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first failing gate, the composite of the gates and the decision: below 0.6, or at a failing gate, it abstains."""
     g = _gated(spark, sf_dir)
-    failed = F.when(F.col("g1") < 0.6, 1).when(F.col("g2") < 0.7, 2).when(F.col("g3") == 0, 3).when(F.col("g5") < 0.3, 5)
+    failed = F.when(F.col("g1") < 0.6, 1).when(F.col("g2") < 0.7, 2).when(F.col("g3") == 0, 3).when(F.col("g4") == 0, 4).when(F.col("g5") < 0.3, 5)
     composite = 0.25 * (F.col("g1") + F.col("g2") + F.col("g3") + F.col("g5"))
     out = g.select("doc_id", failed.cast("long").alias("failed_gate"), F.round(composite, 3).alias("composite"))
     return out.withColumn("decision", F.when(F.col("failed_gate").isNotNull() | (F.col("composite") < 0.6), "abstain").otherwise("confident"))
@@ -185,7 +185,7 @@ _SPAN = {
 }
 _WHEN = lambda side: "CASE " + " ".join(f"WHEN contains(question, '{p}') THEN CAST(CAST({s[side]} AS DATE) AS VARCHAR)" for p, s in _SPAN.items()) + " WHEN contains(question, 'last 7 days') THEN CAST(" + (f"{_D} - 7", _D)[side] + " AS VARCHAR) END"
 _GATES = rf"""SELECT doc_id, CASE WHEN contains(lower(text), 'update') THEN 0.85 ELSE 0.6 END AS g1, CASE WHEN regexp_matches(text, '{X.VERSION}') THEN 0.95 ELSE 0.55 END AS g2,
-  CASE WHEN n_chars >= 200 THEN 1.0 ELSE 0.0 END AS g3, ((nullif(text, '') IS NOT NULL)::INT + (nullif(lang, '') IS NOT NULL)::INT + (nullif(source, '') IS NOT NULL)::INT + (n_chars IS NOT NULL)::INT) / 4 AS g5 FROM documents"""
+  CASE WHEN n_chars >= 200 THEN 1.0 ELSE 0.0 END AS g3, contains(text, chr(10)) AS g4, ((nullif(text, '') IS NOT NULL)::INT + (nullif(lang, '') IS NOT NULL)::INT + (nullif(source, '') IS NOT NULL)::INT + (n_chars IS NOT NULL)::INT) / 4 AS g5 FROM documents"""
 ORACLE = {
     "search_breaking": _SEARCH("contains(lower(o_orderpriority), 'urgent')"),
     "search_patch": _SEARCH("o_orderstatus IN ('P', 'F')"),
@@ -210,5 +210,5 @@ ORACLE = {
     "date_phrase": f"SELECT id, CASE WHEN contains(question, 'latest') THEN 'latest' WHEN since = until THEN 'exact' WHEN since IS NOT NULL THEN 'range' END AS kind, since, until FROM (SELECT id, question, {_WHEN(0)} AS since, {_WHEN(1)} AS until FROM {_Q})",
     "completeness": f"SELECT doc_id, round(g5, 3) AS completeness FROM ({_GATES})",
     "gate_decision": f"""SELECT *, CASE WHEN failed_gate IS NOT NULL OR composite < 0.6 THEN 'abstain' ELSE 'confident' END AS decision FROM (SELECT doc_id,
-      CAST(CASE WHEN g1 < 0.6 THEN 1 WHEN g2 < 0.7 THEN 2 WHEN g3 = 0 THEN 3 WHEN g5 < 0.3 THEN 5 END AS BIGINT) AS failed_gate, round(CAST(0.25 * (g1::DOUBLE + g2::DOUBLE + g3::DOUBLE + g5) AS DOUBLE), 3) AS composite FROM ({_GATES}))""",
+      CAST(CASE WHEN g1 < 0.6 THEN 1 WHEN g2 < 0.7 THEN 2 WHEN g3 = 0 THEN 3 WHEN NOT g4 THEN 4 WHEN g5 < 0.3 THEN 5 END AS BIGINT) AS failed_gate, round(CAST(0.25 * (g1::DOUBLE + g2::DOUBLE + g3::DOUBLE + g5) AS DOUBLE), 3) AS composite FROM ({_GATES}))""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sigmill.operators import selection as M
 from sigmill.operators import trajectory as T
 from sigmill.sources.tables import load
 
@@ -103,9 +104,8 @@ def overview_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     author, diverging = F.when(F.col("author_n") > 0, F.col("author_mean")), F.when(F.col("divergence") > 0, F.col("divergence"))
     metrics = [(n, c) for n, c in (("author", author), ("divergence", diverging), ("quality", F.col("quality")))]
     long = q.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("v")) for n, c in metrics])).alias("x")).select("x.*")
-    return long.groupBy("metric").agg(
-        F.count("v").alias("n"), *[F.round(f("v"), 3).alias(a) for f, a in ((F.avg, "mean"), (F.median, "median"), (F.min, "low"), (F.max, "high"), (F.stddev_pop, "std"))]
-    )
+    out = long.groupBy("metric").agg(F.count("v").alias("n"), *[F.round(f("v"), 3).alias(a) for f, a in ((F.avg, "mean"), (F.min, "low"), (F.max, "high"), (F.stddev_pop, "std"))])
+    return out.join(F.broadcast(M.medians(long, "metric", "v").withColumn("median", F.round("median", 3))), "metric", "left")
 
 
 def side_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

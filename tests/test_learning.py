@@ -54,6 +54,8 @@ def test_polarity_against_a_plain_version(spark):
     pool = [*LEXICON, "VERY", "very", "slightly", "not", "don't", "but", "movie", "BAD", "GOOD", "the", "a", "great!", "(awful)", "fine?"]
     texts = [" ".join(random.choices(pool, k=random.randrange(9))) + random.choice(["", "!!", "???", "????"]) for _ in range(400)] + ["", None, "  "]
     lexicon = spark.createDataFrame(list(LEXICON.items()), "word string, valence double")
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert sorted(S.polarity(frame, "k", "t", lexicon, most=2).collect()) == sorted(S.polarity(frame, "k", "t", lexicon).collect())
     got = {r.k: r for r in S.polarity(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", lexicon).collect()}
     assert len(got) == len(texts)
     for k, t in enumerate(texts):

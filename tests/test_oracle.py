@@ -27,7 +27,7 @@ def db():
 
 
 #: Tested against a plain version, and on rows that weren't learned from, in test_learning.py.
-WITHOUT_SQL = {"sentiment_scores", "language_naive_bayes", "language_logistic", "language_forest", "component_naive_bayes", "component_logistic", "component_forest", "security_svm", "security_boosting"}
+WITHOUT_SQL = {"language_naive_bayes", "language_logistic", "language_forest", "component_naive_bayes", "component_logistic", "component_forest", "security_svm", "security_boosting"}
 
 
 def test_all_have_sql():
