@@ -48,11 +48,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.withColumn("until", F.lead("since").over(W.partitionBy("key").orderBy("since")))
 
 
-def keys_of(url: Column, depth: int) -> Column:
-    """Every key that may stand for a url: each suffix of its host, alone and with each prefix of its path of ``depth`` parts at most."""
+def keys_of(url: Column, depth: int, most: int) -> Column:
+    """Every key that may stand for a url: each suffix of its host of ``most`` labels at most, alone and with each prefix of its path of ``depth`` parts at most."""
     host = F.lower(F.regexp_extract(url, HOST, 1))
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.size(labels) - most + 1, F.lit(1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.slice(F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda p: p != ""), 1, depth)
     prefixes = F.concat(F.array(F.lit("")), F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>")))
     every = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
@@ -63,12 +63,13 @@ def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``captures`` (url, fetched date, ...) with the entry and action that hold at the fetch, and whether it is blocked."""
     captures = captures.drop("entry", "action", "blocked")
     spans = intervals(entries)
-    # longer prefixes than the list has match nothing, so a long path costs no more than the list's longest
-    size = spans.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(F.split("key", "/")) - 1), F.lit(0)).alias("depth")).first()
+    # longer prefixes and hosts than the list has match nothing, so long ones cost no more than the list's longest
+    host = F.size(F.split(F.element_at(F.split("key", "/"), 1), r"\."))
+    size = spans.agg(F.coalesce(F.max(host), F.lit(1)).alias("labels"), F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(F.split("key", "/")) - 1), F.lit(0)).alias("depth")).first()
     if size.n <= MOST_BROADCAST:
         spans = F.broadcast(spans)
     asked = captures.select("url", "fetched").distinct().where("url is not null and fetched is not null")
-    each = asked.select("url", "fetched", F.explode(keys_of(F.col("url"), size.depth)).alias("key"))
+    each = asked.select("url", "fetched", F.explode(keys_of(F.col("url"), size.depth, size.labels)).alias("key"))
     active = each.join(spans, "key").where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     path = F.when(F.instr("key", "/") > 0, F.length("key") - F.instr("key", "/") + 1).otherwise(0)
     rank = F.struct(path.alias("path"), F.length("key").alias("long"), F.col("key").alias("key"), F.col("action").alias("action"))

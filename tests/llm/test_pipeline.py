@@ -37,6 +37,7 @@ def folder(spark, tmp_path_factory):
     rows, labels = corpus()
     spark.createDataFrame([(i, t, "en", "x", len(t) if t is not None else None, 7, "z") for i, t in rows], SCHEMA).write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame([(i, 1, y) for i, y in labels.items()], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([(k, rows[k][1]) for k in range(4)], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
     return where
 
 
@@ -92,6 +93,8 @@ def test_registered_queries(spark, folder):
         "op6_ngram_join": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
         "op7_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
         "op9_line_dedup": {"doc_id": "bigint", "text": "string"},
+        "op12_exact_dedup": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+        "op13_importance_resampling": {"doc_id": "bigint", "n_features": "bigint", "weight": "bigint", "score": "bigint", "rank": "bigint"},
     }
     rows = len(corpus()[0])
     queries = entry.queries()
@@ -99,4 +102,6 @@ def test_registered_queries(spark, folder):
         df = queries[name](spark, folder)
         assert columns.items() <= dict(df.dtypes).items(), name
         assert df.count() >= rows if name == "op5_packing" else df.count() == rows, name
-    assert {f"op{k}" for k in range(1, 11)} <= {n.split("_")[0] for n in queries} and "pipeline" in queries
+    ranked = queries["op11_ranked_search"](spark, folder)
+    assert {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"}.items() <= dict(ranked.dtypes).items() and ranked.count() > 0
+    assert {f"op{k}" for k in range(1, 14)} <= {n.split("_")[0] for n in queries} and "pipeline" in queries

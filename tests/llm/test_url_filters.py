@@ -28,6 +28,12 @@ def test_as_of_rules(spark):
     assert all(got[k] == none for k in (7, 8, 9, 10, 11)) and got[12] == ("x.org", "block", True) and got[13] == got[1]
 
 
+def test_hosts_of_many_labels(spark):
+    day = D(2024, 1, 20)
+    got = decide(spark, [("http://" + "a." * 5000 + "bad.com/x", day), ("http://" + "a." * 5000 + "good.bad.com", day), ("http://com", day)], ENTRIES)
+    assert got == {0: ("bad.com", "block", True), 1: ("good.bad.com", "allow", False), 2: (None, None, False)}
+
+
 def test_shuffled_list_and_small_tables(spark, monkeypatch):
     urls = [("http://bad.com/x", D(2024, 1, 10))] * 3
     want = decide(spark, urls, ENTRIES)
