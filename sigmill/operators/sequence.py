@@ -15,10 +15,10 @@ SAMPLE, ROWS, SLICES = 5_000, 1_000_000, 200
 
 
 def sliced(df: DataFrame, order: list[str], slices: int | None = None) -> DataFrame:
-    """``df`` with _slice, whose number rises with ``order`` (nulls first); as many slices as its rows need, or ``slices``."""
+    """``df`` with _slice, whose number rises with ``order`` (nulls first); as many slices as its rows need, or ``slices``. Rows that need one only are left as they are."""
     many = slices or min(SLICES, -(-df.count() // ROWS))
     if many <= 1:
-        return df.withColumn("_slice", F.lit(0))
+        return df
     some = df.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE).orderBy(*[F.col(c).asc_nulls_first() for c in order]).collect()
     cuts = [some[len(some) * k // many] for k in range(1, many)] if some else []
     types = [df.schema[c].dataType for c in order]
@@ -27,8 +27,8 @@ def sliced(df: DataFrame, order: list[str], slices: int | None = None) -> DataFr
     return df.withColumn("_slice", F.size(F.filter(borders, lambda b: b <= place)) if cuts else F.lit(0))
 
 
-def _ordered(keys: list[str], order: list[str]) -> W:
-    return W.partitionBy(*keys, "_slice").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+def _ordered(keys: list[str], order: list[str], slices: bool = True) -> W:
+    return W.partitionBy(*keys, *["_slice"] * slices).orderBy(*[F.col(c).asc_nulls_first() for c in order])
 
 
 def _joined(rows: DataFrame, parts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -42,6 +42,9 @@ def _joined(rows: DataFrame, parts: DataFrame, keys: list[str], columns: list[st
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``sliced`` rows with seq, the number from 0 within their key, and n, the key's rows."""
+    if "_slice" not in rows.columns:
+        alone = rows.withColumn("seq", F.row_number().over(_ordered(keys, order, False)) - 1)
+        return alone.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
     counts = rows.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     parts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("n", F.sum("_c").over(W.partitionBy(*keys)))
@@ -51,6 +54,8 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def carried(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, before: bool = False) -> DataFrame:
     """``sliced`` rows with ``name``: the last value that isn't null up to them in their key, or ``before`` them."""
+    if "_slice" not in rows.columns:
+        return rows.withColumn(name, F.last(value, ignorenulls=True).over(_ordered(keys, order, False).rowsBetween(W.unboundedPreceding, -1 if before else 0)))
     held = rows.withColumn("_value", value)
     place = F.struct(*order)
     last = held.where("_value is not null").groupBy(*keys, "_slice").agg(F.max_by("_value", place).alias("_last"))
