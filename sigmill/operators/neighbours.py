@@ -1,13 +1,15 @@
-"""Nearest texts by their counted words, through an inverted index, and the label that most of them have.
+"""Nearest texts by their counted words, and the label that most of them have.
 
-The distance of two texts is the Euclidean one of their word counts. Queries meet rows in blocks; a block of rows is an inverted index. A query takes its words
-from the rarest on and adds up products. What its remaining words can add to a row's product is bounded by both lengths, so once a row without any of
-the words so far can't be among the nearest, no new rows come in, and only those that still may be are finished from their own words. The words of
-the vocabulary are hashes of 64 bits, so none is left out.
+The distance of two texts is the Euclidean one of their word counts. A block of rows is an index, past which queries stream. Each row has a sketch: the counts of the block's
+weightiest words, and the lengths of the other words' counts by groups of words. By Cauchy and Schwarz in each group, the product of two sketches is no less
+than the texts' own, so one product of matrices bounds all distances from below. The rows with the least bounds are opened, and then those whose bound
+isn't beyond the k-th distance so far: no row that could be among the nearest is left out. Words are hashes of 64 bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,80 +20,127 @@ from sigmill.operators import blocks as B
 
 #: Words of two letters or digits or more, as the usual vectoriser takes them.
 WORD = r"[\p{L}\p{N}_]{2,}"
-ROWS, QUERIES = 10_000, 250
+ROWS, QUERIES = 60_000, 60_000
+#: Columns of a sketch: weightiest words, and groups of the others (a power of two).
+HEAVY, GROUPS = 128, 512
+#: Rows that are opened first, and at once; texts that are read at once.
+FIRST, AT_ONCE, SLICE = 64, 512, 2_000
 
 
 def hashed(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    """The words' hashes in order, so that equal ones lie together."""
+    return F.sort_array(F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
+
+
+def counted(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of texts, one text after the other, how often each is there, and where each text begins, with the end."""
+    starts = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
+    flat = np.concatenate([np.zeros(0, dtype=np.int64), *[np.sort(t) for t in texts]]).astype(np.int64)
+    new = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+    new[starts[:-1][starts[:-1] < len(flat)]] = True
+    at = np.flatnonzero(new)
+    return flat[at], np.diff(np.append(at, len(flat))), np.searchsorted(at, starts)
 
 
 class Index:
-    """Rows of words by word: ``rows`` and ``times`` from starts[word] to starts[word + 1]; and by row: ``words`` and ``counts`` from begins[row] on."""
+    """Rows' distinct words (``words``, as places in ``names``) and ``counts``, from begins[row] to begins[row + 1], their sketches and squared lengths."""
 
     def __init__(self, texts: pd.Series) -> None:
         self.size = len(texts)
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        flat = np.concatenate([np.zeros(0, dtype=np.int64), *texts.tolist()]).astype(np.int64)
-        self.names, words = np.unique(flat, return_inverse=True)
-        cells, counts = np.unique(np.repeat(np.arange(self.size), sizes) * max(1, len(self.names)) + words, return_counts=True)
-        rows, words = cells // max(1, len(self.names)), cells % max(1, len(self.names))
-        self.words, self.counts, self.begins = words, counts.astype(np.float64), np.searchsorted(rows, np.arange(self.size + 1))
-        order = np.argsort(words, kind="stable")
-        self.rows, self.times, self.starts = rows[order], self.counts[order], np.searchsorted(words[order], np.arange(len(self.names) + 1))
-        self.norms = np.bincount(rows, weights=self.counts**2, minlength=self.size)
+        parts = [counted(texts.iloc[at : at + SLICE].tolist()) for at in range(0, self.size, SLICE)]
+        self.names = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[w for w, _, _ in parts]]))
+        self.words = np.concatenate([np.zeros(0, dtype=np.int32), *[np.searchsorted(self.names, w).astype(np.int32) for w, _, _ in parts]])
+        self.counts = np.concatenate([np.zeros(0, dtype=np.int32), *[c.astype(np.int32) for _, c, _ in parts]])
+        self.begins = np.append(0, np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *[np.diff(b) for _, _, b in parts]])))
+        weights = np.zeros(len(self.names))
+        for w, c, _ in parts:
+            weights += np.bincount(np.searchsorted(self.names, w), weights=c.astype(np.float64) ** 2, minlength=len(self.names))
+        self.columns = (HEAVY + (self.names & (GROUPS - 1))).astype(np.int64)
+        heavy = np.argsort(-weights, kind="stable")[:HEAVY]
+        self.columns[heavy] = np.arange(len(heavy))
+        self.mine = np.zeros(len(self.names))
+        self.norms, self.sketches = np.zeros(self.size), np.zeros((self.size, HEAVY + GROUPS), dtype=np.float32)
+        for at in range(0, self.size, SLICE):
+            end = min(at + SLICE, self.size)
+            a, b = self.begins[at], self.begins[end]
+            rows = np.repeat(np.arange(end - at), np.diff(self.begins[at : end + 1]))
+            self.sketches[at:end], self.norms[at:end] = self._sketch(rows, self.words[a:b], self.counts[a:b], end - at)
+        # in single precision, a product of sketches is off by less than a part in 10,000: none of its terms is negative
+        self.sketches *= np.float32(1.0001)
+        self.lengths = (self.norms * (1 - 1e-6)).astype(np.float32)
+
+    def _sketch(self, rows: np.ndarray, words: np.ndarray, counts: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+        width = HEAVY + GROUPS
+        squares = np.bincount(rows * width + self.columns[words], weights=counts.astype(np.float64) ** 2, minlength=many * width).reshape(many, width)
+        return np.sqrt(squares).astype(np.float32), squares.sum(axis=1)
+
+    def _opened(self, rows: np.ndarray) -> np.ndarray:
+        """Squared lengths of rows less twice their products with the query that ``mine`` holds."""
+        begins, ends = self.begins[rows], self.begins[rows + 1]
+        sizes = ends - begins
+        until = np.cumsum(sizes)
+        at = np.repeat(begins - (until - sizes), sizes) + np.arange(until[-1] if len(until) else 0)
+        sums = np.append(0.0, np.cumsum(self.mine[self.words[at]] * self.counts[at]))
+        return self.norms[rows] - 2 * (sums[until] - sums[until - sizes])
+
+    def _nearest(self, bounds: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that hold the ``most`` nearest with all their ties, and their distances, less the query's squared length."""
+        if not most:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        first = np.arange(self.size) if self.size <= FIRST + most else np.argpartition(bounds, FIRST + most)[: FIRST + most]
+        far = np.partition(self._opened(first), most - 1)[most - 1]
+        rows = np.flatnonzero(bounds <= far)
+        rows, at = rows[np.argsort(bounds[rows], kind="stable")], 0
+        opened: list[np.ndarray] = []
+        while at < len(rows) and bounds[rows[at]] <= far:
+            opened.append(self._opened(rows[at : at + AT_ONCE]))
+            at += len(opened[-1])
+            far = min(far, np.partition(np.concatenate(opened), most - 1)[most - 1]) if at >= most else far
+        distance = np.concatenate([np.zeros(0), *opened])
+        near = distance <= far
+        return rows[:at][near], distance[near]
+
+    def all_nearest(self, texts: pd.Series, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text, the k rows of smallest squared distance, ties by id, and the distances."""
+        step = max(1, 4 * B.CELLS // max(1, self.size))
+        for begun in range(0, len(texts), step):
+            words, counts, begins = counted(texts.iloc[begun : begun + step].tolist())
+            many = len(begins) - 1
+            at = np.searchsorted(self.names, words)
+            held = (at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == words) if len(self.names) else np.zeros(len(words), dtype=bool)
+            rows = np.repeat(np.arange(many), np.diff(begins))
+            own = np.bincount(rows, weights=counts.astype(np.float64) ** 2, minlength=many)
+            bounds = self.lengths - 2 * (self._sketch(rows[held], at[held], counts[held], many)[0] @ self.sketches.T)
+            for i in range(many):
+                mine = slice(begins[i], begins[i + 1])
+                there = at[mine][held[mine]]
+                self.mine[there] = counts[mine][held[mine]]
+                found, distance = self._nearest(bounds[i], min(k, self.size))
+                self.mine[there] = 0
+                best = np.lexsort((ids[found], distance))[:k]
+                yield found[best], distance[best] + own[i]
 
     def nearest(self, text: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows of smallest squared distance, ties by id, and the distances."""
-        names, times = np.unique(text, return_counts=True)
-        own = float((times.astype(np.float64) ** 2).sum())
-        at = np.searchsorted(self.names, names)
-        held = (at < len(self.names)) & (self.names[np.minimum(at, max(0, len(self.names) - 1))] == names) if len(self.names) else np.zeros(len(names), dtype=bool)
-        words, times = at[held], times[held].astype(np.float64)
-        order = np.argsort(self.starts[words + 1] - self.starts[words], kind="stable")
-        words, times = words[order], times[order]
-        rest = np.append(np.cumsum((times**2)[::-1])[::-1], 0.0)  # squares of the words from here on
-        products, norms = np.zeros(self.size), np.sqrt(self.norms)
-        most = min(k, self.size)
-        done = 0
-        for done, (w, x) in enumerate(zip(words.tolist(), times.tolist(), strict=True), 1):
-            a, b = self.starts[w], self.starts[w + 1]
-            products[self.rows[a:b]] += x * self.times[a:b]
-            if done % 16 == 0 and done < len(words):
-                far = np.partition(own + self.norms - 2 * products, most - 1)[most - 1]  # no less than what the last of the nearest has
-                if own - rest[done] > far:
-                    break
-        open_ = np.arange(self.size)
-        if done < len(words):
-            far = np.partition(own + self.norms - 2 * products, most - 1)[most - 1]
-            open_ = np.flatnonzero((products > 0) & (own + self.norms - 2 * products - 2 * np.sqrt(rest[done]) * norms <= far + 1e-6))
-            mine = np.zeros(len(self.names))
-            mine[words] = times
-            for row in open_.tolist():
-                a, b = self.begins[row], self.begins[row + 1]
-                products[row] = mine[self.words[a:b]] @ self.counts[a:b]
-        distance = own + self.norms[open_] - 2 * products[open_]
-        if len(open_) > most:
-            near = distance <= np.partition(distance, most - 1)[most - 1]
-            open_, distance = open_[near], distance[near]
-        best = np.lexsort((ids[open_], distance))[:most]
-        return open_[best], distance[best]
+        """The k rows nearest to one text."""
+        return next(self.all_nearest(pd.Series([text]), ids, k))
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query, id, label, distance, rank): the k rows (id, label, text) nearest to each query (query, text), ties to the smaller id; distance is squared. Rows and queries
     with a null id or text are left out; texts without words are as far as the other's words are many."""
 
-    def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        found, out = Index(r["words"]), []
-        ids, labels = r["id"].to_numpy(), r["label"].to_numpy()
-        for query, words in zip(q["query"], q["words"], strict=True):
-            at, distance = found.nearest(np.asarray(words, dtype=np.int64), ids, k) if len(r) else (np.zeros(0, dtype=int), np.zeros(0))
-            out.append(pd.DataFrame({"query": query, "id": ids[at], "label": labels[at], "distance": distance.round().astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "label": pd.Series(dtype=str), "distance": pd.Series(dtype="int64")})
+    def prepared(r: pd.DataFrame) -> tuple[Index, np.ndarray, np.ndarray]:
+        return Index(r["words"]), r["id"].to_numpy(), r["label"].to_numpy()
+
+    def score(q: pd.DataFrame, block: tuple[Index, np.ndarray, np.ndarray]) -> pd.DataFrame:
+        index, ids, labels = block
+        found = list(index.all_nearest(q["words"], ids, k))
+        at, distance = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        return pd.DataFrame({"query": np.repeat(q["query"].to_numpy(), [len(x) for x, _ in found]), "id": ids[at], "label": labels[at], "distance": distance.round().astype(np.int64)})
 
     listed = rows.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), hashed(F.col("text")).alias("words"))
     asked = queries.where("query is not null and text is not null").select(F.col("query").cast("long").alias("query"), hashed(F.col("text")).alias("words"))
-    found = B.against(listed, asked, "id", "query", score, "query long, id long, label string, distance long", ROWS, QUERIES)
+    found = B.against(listed, asked, "id", "query", score, "query long, id long, label string, distance long", ROWS, QUERIES, prepared)
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", "id"))).where(F.col("rank") <= k)
 
 
