@@ -1,4 +1,7 @@
-"""Which strings hold which others, through postings of grams: each needle is looked for under its rarest gram only, then verified."""
+"""Which strings hold which others, through postings of grams: each needle is looked for under its rarest gram only, then verified.
+
+Postings and counts of grams compress so well that adaptive execution takes them for small and would broadcast them through the driver: their joins are merge joins.
+"""
 
 from __future__ import annotations
 
@@ -28,10 +31,10 @@ def candidates(needles: DataFrame, texts: DataFrame, keys: list[str]) -> DataFra
     counts = of_texts.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
     long = needles.where(F.length("needle") >= SIZE).select(*keys, "needle", F.explode(grams(F.col("needle"), SIZE)).alias("gram"))
     # a gram that no text holds stands first: such a needle meets nothing
-    rarest = long.join(counts, [*keys, "gram"], "left").groupBy(*keys, "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
-    found = rarest.where("m.n > 0").select(*keys, "needle", F.col("m.gram").alias("gram")).join(of_texts, [*keys, "gram"])
+    rarest = long.join(counts.hint("merge"), [*keys, "gram"], "left").groupBy(*keys, "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    found = rarest.where("m.n > 0").select(*keys, "needle", F.col("m.gram").alias("gram")).join(of_texts.hint("merge"), [*keys, "gram"])
     short = needles.where(F.length("needle").between(1, SIZE - 1)).select(*keys, "needle", F.col("needle").alias("gram"))
-    return found.unionByName(short.join(_postings(texts, keys, True), [*keys, "gram"])).select(*keys, "needle", "text")
+    return found.unionByName(short.join(_postings(texts, keys, True).hint("merge"), [*keys, "gram"])).select(*keys, "needle", "text")
 
 
 def holding(needles: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:

@@ -36,3 +36,11 @@ def test_recurrence_against_all_pairs(spark):
         long = [w for w in (title or "").lower().split() if len(w) > 4]
         k = min(5, sum(repo is not None and r == repo and j < i and any(w in (t or "").lower() for w in long) for j, r, t in rows))
         assert got[i] == (k, round(min(0.5 + 0.1 * k, 0.95), 2) if k >= 2 else None), i
+
+
+def test_no_side_of_recurrence_is_broadcast(spark):
+    rows = spark.createDataFrame([(i, i % 3, f"timeout {i % 7} unimported") for i in range(60)], "id int, repo int, title string")
+    found = D.related(rows)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
