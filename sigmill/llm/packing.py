@@ -91,16 +91,24 @@ class _Words:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that aren't kept yet."""
-        found = [(w, m) for w in words if (m := LETTERS.fullmatch(w))]
-        whole = list(words) if not found else list(words.difference([w for w, _ in found]))
-        pairs = [(w, m[1].lower(), m[2]) for w, m in found]
+        # lists of columns cost less than a tuple for each word
+        simple, stems, ends, whole = [], [], [], []
+        for w in words:
+            m = LETTERS.fullmatch(w)
+            if m:
+                stem, mark = m.groups()
+                simple.append(w)
+                stems.append(stem.lower())
+                ends.append(mark)
+            else:
+                whole.append(w)
         kept, marks = self.kept, self.marks
-        need = list({stem for _, stem, _ in pairs}.difference(kept.keys()))
+        need = list(set(stems).difference(kept.keys()))
         of = dict(zip(need, self._simple(need)))
-        if more := list({mark for _, _, mark in pairs}.difference(marks.keys())):
+        if more := list(set(ends).difference(marks.keys())):
             marks.update(zip(more, self._ids(more)))
         new = dict(zip(whole, self._ids(whole)))
-        new.update([(w, (of.get(stem) or kept[stem]) + marks[mark]) for w, stem, mark in pairs])
+        new.update(zip(simple, [(of.get(stem) or kept[stem]) + marks[mark] for stem, mark in zip(stems, ends)]))
         if len(kept) < KEPT_WORDS:
             kept.update(of)
             kept.update(new)
