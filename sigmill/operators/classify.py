@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, RegexTokenizer, StringIndexer, UnivariateFeatureSelector
@@ -46,24 +47,28 @@ def _reading(classifier, column: str):
 
 
 def predicted(rows: DataFrame, key: str, label: str, name: str, text: str = "text") -> DataFrame:
-    """(key, label, guess) of the rows that aren't learned from, by one classifier; labels are texts or numbers, rows without label or text are left out."""
+    """(key, label, guess) of the rows that aren't learned from, by one classifier; labels are texts or numbers, rows without label or text are left out. Labels are worked out and
+    texts cut into words once, and counted words held on disk: learning reads them many times over, and memory is for what it holds itself."""
     known = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(key, F.col(label).cast("string").alias("label"), text)
-    training, rest = known.where(in_training(F.col(key))).persist(), known.where(~in_training(F.col(key)))  # read for the labels, then for the model
+    counted = bag_of_words(text).transform(known).select(key, "label", "features", in_training(F.col(key)).alias("_learned")).persist(StorageLevel.DISK_ONLY)
+    training, rest = counted.where("_learned").select("label", "features"), counted.where("not _learned")
     index = StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc").fit(training)
     if len(index.labels) < 2:
-        training.unpersist()
-        return rest.select(key, "label", F.lit(index.labels[0] if index.labels else None).cast("string").alias("guess"))
-    stages, shaped = [bag_of_words(text)], bag_of_words(text).transform(index.transform(training))
-    classifier = classifiers(len(index.labels))[name]
-    if name in ("random_forest", "boosting"):
-        chosen = UnivariateFeatureSelector(featuresCol="features", labelCol="_label", outputCol="_bound", selectionMode="fpr").setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(CHANCE).fit(shaped)
-        if chosen.selectedFeatures:
-            stages, shaped = [*stages, chosen], chosen.transform(shaped)
-            classifier = _reading(classifier, "_bound")
-    model = PipelineModel([*stages, classifier.fit(shaped)])
-    training.unpersist()
-    names = F.array(*[F.lit(x) for x in index.labels])
-    return model.transform(rest).select(key, "label", F.get(names, F.col("prediction").cast("int")).alias("guess"))
+        found = rest.withColumn("guess", F.lit(index.labels[0] if index.labels else None).cast("string"))
+    else:
+        stages, shaped = [], index.transform(training)
+        classifier = classifiers(len(index.labels))[name]
+        if name in ("random_forest", "boosting"):
+            chosen = UnivariateFeatureSelector(featuresCol="features", labelCol="_label", outputCol="_bound", selectionMode="fpr").setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(CHANCE).fit(shaped)
+            if chosen.selectedFeatures:
+                stages, shaped = [chosen], chosen.transform(shaped)
+                classifier = _reading(classifier, "_bound")
+        model = PipelineModel([*stages, classifier.fit(shaped)])
+        found = model.transform(rest).withColumn("guess", F.get(F.array(*[F.lit(x) for x in index.labels]), F.col("prediction").cast("int")))
+    found = found.select(key, "label", "guess").persist(StorageLevel.DISK_ONLY)
+    found.count()  # guesses are small, and held in place of the words
+    counted.unpersist()
+    return found
 
 
 def agreement(rows: DataFrame, label: str = "label", guess: str = "guess") -> DataFrame:

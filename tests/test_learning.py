@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sigmill import plans
 from sigmill.operators import classify as C
@@ -81,6 +82,19 @@ def test_one_label_and_agreement(spark):
     assert tuple(C.agreement(made).first()) == (10, 0.7, 0.4)
 
 
+@pytest.mark.parametrize("name", ["linear_svm", "logistic_regression", "random_forest", "boosting"])
+def test_texts_are_read_once(spark, name):
+    read = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        read.add(1)
+        return ("alpha beta " if i % 2 else "gamma delta ") + f"w{i % 5}x"
+
+    rows = spark.range(200).select("id", F.udf(text, "string").asNondeterministic()("id").alias("text"), (F.col("id") % 2).alias("y"))
+    assert C.agreement(C.predicted(rows, "id", "y", name)).first().accuracy == 1
+    assert read.value == 200
+
+
 def test_registered_queries(spark):
     queries = plans.queries()
     sizes = {r.training: r.documents for r in queries["split_sizes"](spark, DATA).collect()}
