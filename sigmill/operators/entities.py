@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,16 @@ SOFTWARE = (
     rf"\b(postgres(?:ql)?{_V}|mysql{_V}|mongodb{_V}|redis{_V}|sqlite{_V})\b",
 )
 DEVICE = (r"\b(ipad|iphone|macbook|imac)\b", r"\b(pixel\s*\d*|galaxy\s*\w*|surface\s*\w*)\b")
+#: What a match of each pattern holds, one of these at least: looked for first, as a plain search takes far less than a pattern.
+OS_HOLDS = (("win",), ("mac", "os"), ("ios",), ("ipados",), ("android",), ("ubuntu", "debian", "fedora", "centos"), ("chrome",), ("linux",))
+SOFTWARE_HOLDS = (
+    ("firefox",), ("chrom",), ("safari",), ("edge",), ("visual", "code"), ("office", "excel", "word", "outlook", "powerpoint", "teams"), ("slack", "discord", "zoom", "skype"), ("docker", "kubernetes", "k8s"),
+    ("node", "python", "java"), ("photoshop", "illustrator", "premiere", "lightroom"), ("spotify", "netflix", "whatsapp", "telegram", "signal"), ("openss", "nginx", "apache"), ("kernel",), ("git", "curl", "bash"),
+    ("github", "gitlab", "bitbucket"), ("npm", "yarn", "pip", "gradle", "maven"), ("terraform", "ansible", "jenkins", "prometheus", "grafana"), ("react", "vue", "angular", "next", "express"),
+    ("postgres", "mysql", "mongodb", "redis", "sqlite"),
+)
+DEVICE_HOLDS = (("ipad", "iphone", "macbook", "imac"), ("pixel", "galaxy", "surface"))
+HOLDS = dict(zip((*OS, *SOFTWARE, *DEVICE), (*OS_HOLDS, *SOFTWARE_HOLDS, *DEVICE_HOLDS), strict=True))
 GROUPS = (("os", OS, 0.95), ("software", SOFTWARE, 0.92), ("device", DEVICE, 0.88))
 VERSION = r"\b(?:(?:version|ver|v)\s*(\d+(?:\.\d+)*(?:\s*(?:beta|alpha|rc|dev|preview)\s*\d*)?)|(\d+\.\d+(?:\.\d+)*))\b"
 DICTIONARY_SURE, NOUN_SURE = 0.95, 0.55
@@ -37,9 +49,16 @@ ABOUT_UPDATE = r"\b(update|upgrade|latest|new version|changelog)\b"
 ABOUT_ALL = r"\b(all|every|each|list|show\s+all|show\s+every|give\s+(me\s+)?all|any)\b"
 
 
-def _found(text: Column, group: str, patterns: tuple[str, ...], sure: float) -> Column:
+def _matches(low: Column, pattern: str) -> Column:
+    """The matches of a pattern in a text in lower case, trimmed; the pattern is tried only where the text holds what each match does."""
+    held = reduce(Column.__or__, [low.contains(x) for x in HOLDS[pattern]])
+    found = F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda x: F.trim(x))
+    return F.when(held, found).otherwise(F.array().cast("array<string>"))
+
+
+def _found(low: Column, group: str, patterns: tuple[str, ...], sure: float) -> Column:
     """Distinct names of one group in order of the patterns: array<struct<kind, name, sure>>."""
-    each = F.concat(*[F.transform(F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(1)), lambda x: F.trim(x)) for p in patterns])
+    each = F.concat(*[_matches(low, p) for p in patterns])
     return F.transform(F.array_distinct(each), lambda n: F.struct(F.lit(group).alias("kind"), n.alias("name"), F.lit(sure).alias("sure")))
 
 
@@ -48,18 +67,18 @@ def nouns(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(text), F.lit(NOUN), F.lit(1)), lambda x: F.trim(x))
 
 
-def entities(text: Column) -> Column:
-    """The entities of a text by the grammar of patterns: systems, software, devices."""
-    none = F.array().cast("array<struct<kind: string, name: string, sure: double>>")
-    return F.when(F.lower(text).rlike("|".join(p for _, ps, _ in GROUPS for p in ps)), F.concat(*[_found(text, k, p, s) for k, p, s in GROUPS])).otherwise(none)
+def entities(low: Column) -> Column:
+    """The entities of a text in lower case by the grammar of patterns: systems, software, devices."""
+    return F.concat(*[_found(low, k, p, s) for k, p, s in GROUPS])
 
 
 def in_texts(texts: DataFrame, key: str, text: str, known: DataFrame | None = None) -> DataFrame:
     """(key, kind, name, sure) of the entities of each text: those of the grammar; ``known`` (key, name), a dictionary name in the text, which joins the software and is surer than a
     pattern; and nouns of the text as software, if they have three letters or more, begin with one of a to z and are nothing else."""
     row = lambda source, kind, name, sure: F.struct(F.lit(source).alias("source"), kind.alias("kind"), name.alias("name"), sure.alias("sure"))
-    found = texts.select(key, F.explode(entities(F.col(text))).alias("x")).select(key, row("grammar", F.col("x.kind"), F.col("x.name"), F.col("x.sure")).alias("x"))
-    others = texts.select(key, F.explode(F.array_distinct(nouns(F.col(text)))).alias("n")).where((F.length("n") > 2) & F.col("n").rlike("^[a-z]"))
+    low = texts.select(key, F.lower(text).alias("_low"))  # a column of its own, as each pattern reads it
+    found = low.select(key, F.explode(entities(F.col("_low"))).alias("x")).select(key, row("grammar", F.col("x.kind"), F.col("x.name"), F.col("x.sure")).alias("x"))
+    others = low.select(key, F.explode(F.array_distinct(nouns(F.col("_low")))).alias("n")).where((F.length("n") > 2) & F.col("n").rlike("^[a-z]"))
     rows = found.unionAll(others.select(key, row("noun", F.lit("software"), F.col("n"), F.lit(NOUN_SURE)).alias("x")))
     if known is not None:
         rows = rows.unionAll(known.select(key, row("list", F.lit("software"), F.lower("name"), F.lit(DICTIONARY_SURE)).alias("x")))

@@ -37,7 +37,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each different question is parsed once."""
     q, asked = F.col("question"), _asked(spark, sf_dir)
-    rows = asked.select("question").distinct().select("question", E.entities(q).alias("found"), E.versions(q).alias("versions"), E.breaking(q, FAILURES).alias("failure"))
+    rows = asked.select("question").distinct().select("question", E.entities(F.lower(q)).alias("found"), E.versions(q).alias("versions"), E.breaking(q, FAILURES).alias("failure"))
     rows = rows.withColumn("intent", E.intent(q, F.col("versions"), F.col("failure").isNotNull())).withColumn("primary", E.primary(F.col("found")))
     return asked.join(rows, "question")
 

@@ -96,3 +96,20 @@ def test_few_rows_are_finished(monkeypatch):
 def test_votes(spark):
     found = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "b"), (2, "a"), (3, None)], "query int, label string")
     assert {(r["query"], r.guess) for r in N.voted(found).collect()} == {(1, "b"), (2, "a")}
+
+
+def test_patterns_are_tried_where_a_match_can_be(spark):
+    samples = (
+        "windows 11.2,win 7,macos 14.1,mac os 9,os x 10,ios 17,ipados,android 14,ubuntu 22.04,debian,fedora 40,centos,chrome os,chromeos,linux mint 21,firefox 120,chrome 1.2,chromium,safari,edge 3,visual studio code,vs code,"
+        "vscode,microsoft office,office 365,excel,word,outlook,powerpoint,teams,slack,discord,zoom,skype,docker 1,kubernetes,k8s,node.js 20,nodejs,python 3.13,java,photoshop,illustrator,premiere,lightroom,spotify,netflix,"
+        "whatsapp,telegram,signal,openssl 3.0,openssh,nginx,apache,linux kernel,kernel 6,git,curl,bash,github,gitlab,bitbucket,npm,yarn,pip,gradle,maven,terraform,ansible,jenkins,prometheus,grafana,react,vue,angular,"
+        "next.js,nextjs,express,postgres,postgresql 16,mysql,mongodb,redis,sqlite,ipad,iphone,macbook,imac,pixel 8,galaxy s,surface pro"
+    ).split(",")
+    for x in samples:
+        tried = {p for _, ps, _ in E.GROUPS for p in ps if re.search(p, x)}
+        assert tried and all(any(h in x for h in E.HOLDS[p]) for p in tried), x
+    # each alternative of each pattern has a sample
+    assert {p for p in E.HOLDS} == {p for x in samples for p in E.HOLDS if re.search(p, x)}
+    rows = spark.createDataFrame([(i, x.upper()) for i, x in enumerate(samples)] + [(999, None), (1000, "nothing here")], "id long, text string")
+    got = {(r.id, r.name) for r in E.in_texts(rows, "id", "text").where("sure > 0.6").collect()}
+    assert got == {(i, m.strip()) for i, x in enumerate(samples) for p in E.HOLDS for m in re.findall(p, x)}
