@@ -24,6 +24,8 @@ INFRASTRUCTURE = ("requests", "pymongo", "sqlite3", "sqlalchemy", "psycopg")
 PRESENTATION = ("cli", "presentation", "view", "controller", "routes")
 REQUESTS = ("get", "post", "put", "delete", "patch")
 LONGEST, DEEPEST, METHODS, NUMBERS = 50, 4, 12, 3
+#: Letters of source that a task gets, at most about.
+LETTERS = 4_000_000
 
 #: Formatted strings keep their text, other strings and comments go.
 QUOTED = r"""[fF][rR]?"([^"\\]*(?:\\.[^"\\]*)*)"|[fF][rR]?'([^'\\]*(?:\\.[^'\\]*)*)'|[rRbBuU]{0,2}"[^"\\]*(?:\\.[^"\\]*)*"|[rRbBuU]{0,2}'[^'\\]*(?:\\.[^'\\]*)*'|#.*"""
@@ -45,6 +47,13 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(F.split("source", r"\r?\n")).alias("line", "text")).select("file", (F.col("line") + 1).cast("long").alias("line"), "text")
 
 
+def dealt(files: DataFrame, letters: int = LETTERS) -> DataFrame:
+    """``files`` dealt by file over tasks of about ``letters`` letters, so that a task's memory doesn't grow with the input: lines compress so well that adaptive execution makes few
+    tasks of them. All that is worked out by file stays where its file is."""
+    size = files.select(F.sum(F.length("source"))).first()[0] or 0
+    return files.repartition(max(files.sparkSession.sparkContext.defaultParallelism, -(-size // letters)), "file")
+
+
 def _count(text: Column, what: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)).cast("long")
 
@@ -137,7 +146,7 @@ def unused_imports(of_statements: DataFrame) -> DataFrame:
 
 def findings(files: DataFrame) -> DataFrame:
     """(file, line, rule, severity, name, amount) of files (file, source), by all checks. Rules on a statement, and rules on a block, are read in one pass each."""
-    each = statements(lines(files))
+    each = statements(lines(dealt(files)))
     bound = imports(each)
     c, file, name, kind = F.col("code"), F.col("file"), F.col("name"), F.col("kind")
     order = W.partitionBy("file").orderBy("line")

@@ -87,3 +87,11 @@ def test_findings(spark):
         (6, "star import", "q", None), (7, "repeated import", "import os, sys as system", None), (1, "unused import", "os", None), (1, "unused import", "system", None), (2, "unused import", "e", None), (16, "no return type", "m", None),
         (24, "nested loop", None, 2), (26, "number without name", "7", None), (31, "number without name", "3", None),
     }
+
+
+def test_tasks_are_bounded(spark):
+    files = spark.createDataFrame([(f"a{i}.py", "import os\n" * 100) for i in range(60)] + [("b.py", None)], "file string, source string")
+    dealt = S.dealt(files, letters=3_000)
+    assert dealt.count() == 61 and dealt.rdd.getNumPartitions() == 20
+    assert S.findings(files).where("rule = 'repeated import'").count() == 60 * 99
+    assert S.dealt(files.limit(0)).count() == 0
