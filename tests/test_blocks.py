@@ -1,15 +1,19 @@
 """Searches in blocks: what is sent and held at once, groups that share a task, and nearest texts of odd shapes against all pairs."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 
+from sigmill import plans
 from sigmill.operators import blocks as B
 from sigmill.operators import neighbours as N
 
+DATA = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize(("rows", "queries"), [(41_000, 10_250), (410_000, 102_500)])
 def test_few_copies_of_texts_are_sent(rows, queries):
@@ -54,3 +58,43 @@ def test_bounds_lose_no_neighbour(monkeypatch):
         want = sorted((d, int(i)) for d, i in zip(far, ids))[:5]
         assert [(round(d), int(ids[a])) for a, d in zip(at, distance)] == want
     assert [len(a) for a, _ in N.Index(shape([])).all_nearest(shape([[1]]), np.zeros(0, dtype=np.int64), 5)] == [0]
+
+
+def step(spark, monkeypatch, name):
+    """What a vector query hands to a task: the frames that a batch of questions finds in a block of rows, one after the other."""
+    held, whole = [], B.against
+
+    def kept(*args, **more):
+        held.append((args[4], more.get("prepare")))
+        return whole(*args, **more)
+
+    monkeypatch.setattr(B, "against", kept)
+    plans.queries()[name](spark, DATA)
+    ((score, prepare),) = held
+
+    def found(q, rows):
+        out = score(q, rows if prepare is None else prepare(rows))
+        yield from [out] if isinstance(out, pd.DataFrame) else out
+
+    return found
+
+
+def vectors(rows, queries, labels, length=8):
+    rng = np.random.default_rng(5)
+    r = pd.DataFrame({"vec_id": np.arange(rows), "label": rng.integers(0, labels, rows).astype("int32"), "embedding": list(rng.normal(size=(rows, length)).astype("float32"))})
+    every = max(1, rows // queries)
+    return r[::every].rename(columns={"vec_id": "query_id", "label": "query_label", "embedding": "q"}).reset_index(drop=True), r
+
+
+def peak(spark, monkeypatch, name, labels):
+    found, (q, r) = step(spark, monkeypatch, name), vectors(20_000, 2_000, labels)
+    tracemalloc.start()
+    try:
+        assert sum(len(f) for f in found(q, r)) >= len(q)
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_cosine_topk_holds_few_scores(spark, monkeypatch):
+    assert peak(spark, monkeypatch, "cosine_topk", 10) < 150
