@@ -1,9 +1,9 @@
 """Nearest texts by their counted words, and the label that most of them have.
 
-The distance of two texts is the Euclidean one of their word counts. A block of rows is an index, past which queries stream. Each row has a sketch: the counts of the block's
-weightiest words, and the lengths of the other words' counts by groups of words. By Cauchy and Schwarz in each group, the product of two sketches is no less
-than the texts' own, so one product of matrices bounds all distances from below. The rows with the least bounds are opened, and then those whose bound
-isn't beyond the k-th distance so far: no row that could be among the nearest is left out. Words are hashes of 64 bits.
+The distance of two texts is the Euclidean one of their word counts. A block of rows is an index, past which queries stream. Its rows lie in tiles by their length: two texts
+are no nearer than their lengths differ, so a query begins at the tile of its own length and leaves out those that are further than its k-th so far. In a tile, the counts of
+the weightiest words are a matrix, those of the others lists of the rows that hold a word. The matrix, with the lengths of what it leaves out, bounds all distances of the tile from
+below (Cauchy and Schwarz); only queries with a bound that isn't beyond their k-th go through their words' lists, which give exact distances. Words are hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from sigmill.operators import blocks as B
 
 #: Words of two letters or digits or more, as the usual vectoriser takes them.
 WORD = r"[\p{L}\p{N}_]{2,}"
-ROWS, QUERIES = 60_000, 60_000
-#: Columns of a sketch: weightiest words, and groups of the others (a power of two).
-HEAVY, GROUPS = 128, 512
-#: Rows that are opened first, and at once; texts that are read at once.
-FIRST, AT_ONCE, SLICE = 64, 512, 2_000
+ROWS, QUERIES = 60_000, 120_000
+#: Columns of a tile's matrix: its weightiest words.
+HEAVY = 512
+#: Rows of a tile, and the queries that it meets at once; texts that are read at once; entries of lists that are added up at once.
+FIRST, AT_ONCE, SLICE, ENTRIES = 4_096, 128, 2_000, 100_000
+#: Whole numbers below this are exact in single precision.
+EXACT = 1 << 24
 
 
 def hashed(text: Column) -> Column:
@@ -42,83 +44,159 @@ def counted(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat[at], np.diff(np.append(at, len(flat))), np.searchsorted(at, starts)
 
 
+def _runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs from ``begins`` on, one run after the other."""
+    until = np.cumsum(sizes)
+    return np.repeat(begins - (until - sizes), sizes) + np.arange(until[-1] if len(until) else 0)
+
+
+class Tile:
+    """Rows of like length (``rows``, their places in the block): matrix of the weightiest words' counts, lists of rows for the others."""
+
+    def __init__(self, rows: np.ndarray, words: np.ndarray, counts: np.ndarray, sizes: np.ndarray, norms: np.ndarray) -> None:
+        self.rows, self.norms, self.size = rows, norms, len(rows)
+        self.least, self.most = np.sqrt(norms.min()), np.sqrt(norms.max())
+        order = np.argsort(words, kind="stable")
+        words, counts, at = words[order], counts[order], np.repeat(np.arange(self.size, dtype=np.int32), sizes)[order]
+        begins = np.flatnonzero(np.append(True, words[1:] != words[:-1])[: len(words)])
+        self.names, self.begins = words[begins], np.append(begins, len(words))
+        weights = np.add.reduceat(counts.astype(np.float64) ** 2, begins) if len(begins) else np.zeros(0)
+        heavy = np.argsort(-weights, kind="stable")[:HEAVY]
+        self.columns = np.full(len(self.names), -1, dtype=np.int32)
+        self.columns[heavy] = np.arange(len(heavy))
+        column = np.repeat(self.columns, np.diff(self.begins))
+        held = column >= 0
+        self.matrix = np.zeros((self.size, len(heavy)), dtype=np.float32)
+        self.matrix[at[held], column[held]] = counts[held]
+        inside = np.bincount(at[held], weights=counts[held].astype(np.float64) ** 2, minlength=self.size)
+        self.heaviest, self.rest = np.sqrt(inside.max()), np.sqrt(norms - inside)
+        # lists of the other words only: a weighty word's list is empty
+        self.at, self.counts = at[~held], counts[~held].astype(np.float32)
+        self.sizes = np.where(self.columns < 0, np.diff(self.begins), 0)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        # single precision: rests are taken for somewhat longer and lengths for shorter than they are
+        self.longer, self.shorter = (self.rest * 1.00001).astype(np.float32), (norms * (1 - 1e-5)).astype(np.float32)
+
+
+class Queries:
+    """Some queries' distinct words (``names``, to which ``places`` point) and counts, query after query, and their lengths."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> None:
+        self.many, self.of = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        self.names, self.places = np.unique(words, return_inverse=True)
+        self.counts = counts.astype(np.float64)
+        self.norms = np.bincount(self.of, weights=self.counts**2, minlength=self.many)
+        self.lengths = np.sqrt(self.norms)
+        #: The k-th squared distance so far, and what is known within it: (rows, distances) of each query.
+        self.far = np.full(self.many, np.inf)
+        self.known: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(self.many)]
+
+    def meet(self, tile: Tile, k: int) -> None:
+        """Rows of a tile that may be among the k nearest."""
+        gap = np.maximum(0, np.maximum(tile.least - self.lengths, self.lengths - tile.most))
+        active = gap * gap * (1 - 1e-9) <= self.far
+        if not active.any():
+            return
+        place = np.minimum(np.searchsorted(tile.names, self.names), len(tile.names) - 1) if len(tile.names) else np.zeros(len(self.names), dtype=np.int64)
+        there = tile.names[place] == self.names if len(tile.names) else np.zeros(len(self.names), dtype=bool)
+        mine = np.flatnonzero(active[self.of] & there[self.places])
+        of, counts, place = self.of[mine], self.counts[mine], place[self.places[mine]]
+        asked = np.flatnonzero(active)
+        line = np.cumsum(active) - 1
+        column = tile.columns[place]
+        heavy = column >= 0
+        matrix = np.zeros((len(asked), tile.matrix.shape[1]))
+        matrix[line[of[heavy]], column[heavy]] = counts[heavy]
+        inside = (matrix * matrix).sum(axis=1)
+        exact = np.sqrt(inside.max()) * tile.heaviest < EXACT
+        products = matrix.astype(np.float32) @ tile.matrix.T if exact else matrix @ tile.matrix.T.astype(np.float64)
+        rest = np.sqrt(np.maximum(self.norms[asked] - inside, 0))
+        bounds = np.multiply.outer((rest * 1.00001).astype(np.float32), tile.longer)
+        bounds += products
+        bounds *= -2
+        bounds += tile.shorter
+        own = self.norms[asked]
+        near = np.flatnonzero(bounds.min(axis=1) <= (self.far[asked] - own) + 1e-5 * own)
+        if not len(near):
+            return
+        chosen = np.zeros(self.many, dtype=bool)
+        chosen[asked[near]] = True
+        light = np.flatnonzero(~heavy & chosen[of])
+        of, counts, place = of[light], counts[light], place[light]
+        ends = np.searchsorted(of, asked[near], side="right")
+        until = np.append(0, np.cumsum(tile.sizes[place]))[np.append(0, ends)]
+        begun = 0
+        while begun < len(near):
+            # as many queries as their lists allow, one at least
+            end = max(begun + 1, int(np.searchsorted(until, until[begun] + ENTRIES, side="right")) - 1)
+            part = slice(ends[begun - 1] if begun else 0, ends[end - 1])
+            sizes = tile.sizes[place[part]]
+            runs = _runs(tile.begins[place[part]], sizes)
+            cells = np.repeat((np.searchsorted(near, line[of[part]]) - begun) * tile.size, sizes)
+            cells += tile.at[runs]
+            added = np.bincount(cells, weights=tile.counts[runs] * np.repeat(counts[part], sizes), minlength=(end - begun) * tile.size).astype(np.float64, copy=False).reshape(end - begun, tile.size)
+            added += products[near[begun:end]]
+            added *= -2
+            added += tile.norms
+            for i, distance in zip(asked[near[begun:end]].tolist(), added, strict=True):
+                self._take(i, tile, distance + self.norms[i], k)
+            begun = end
+
+    def _take(self, i: int, tile: Tile, distance: np.ndarray, k: int) -> None:
+        far = self.far[i]
+        if np.isinf(far) and len(distance) > k:
+            far = np.partition(distance, k - 1)[k - 1]
+        found = np.flatnonzero(distance <= far)
+        if len(found):
+            self.known[i].append((tile.rows[found], distance[found]))
+            every = np.concatenate([d for _, d in self.known[i]])
+            if len(every) >= k:
+                self.far[i] = np.partition(every, k - 1)[k - 1]
+            if len(self.known[i]) > 1 and len(every) > k:
+                rows = np.concatenate([r for r, _ in self.known[i]])
+                kept = every <= self.far[i]
+                self.known[i] = [(rows[kept], every[kept])]
+
+
 class Index:
-    """Rows' distinct words (``words``, as places in ``names``) and ``counts``, from begins[row] to begins[row + 1], their sketches and squared lengths."""
+    """Rows' distinct words, dealt to tiles by the rows' lengths; row k of the block has the words from begins[k] to begins[k + 1]."""
 
     def __init__(self, texts: pd.Series) -> None:
         self.size = len(texts)
         parts = [counted(texts.iloc[at : at + SLICE].tolist()) for at in range(0, self.size, SLICE)]
-        self.names = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[w for w, _, _ in parts]]))
-        self.words = np.concatenate([np.zeros(0, dtype=np.int32), *[np.searchsorted(self.names, w).astype(np.int32) for w, _, _ in parts]])
-        self.counts = np.concatenate([np.zeros(0, dtype=np.int32), *[c.astype(np.int32) for _, c, _ in parts]])
-        self.begins = np.append(0, np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *[np.diff(b) for _, _, b in parts]])))
-        weights = np.zeros(len(self.names))
-        for w, c, _ in parts:
-            weights += np.bincount(np.searchsorted(self.names, w), weights=c.astype(np.float64) ** 2, minlength=len(self.names))
-        self.columns = (HEAVY + (self.names & (GROUPS - 1))).astype(np.int64)
-        heavy = np.argsort(-weights, kind="stable")[:HEAVY]
-        self.columns[heavy] = np.arange(len(heavy))
-        self.mine = np.zeros(len(self.names))
-        self.norms, self.sketches = np.zeros(self.size), np.zeros((self.size, HEAVY + GROUPS), dtype=np.float32)
-        for at in range(0, self.size, SLICE):
-            end = min(at + SLICE, self.size)
-            a, b = self.begins[at], self.begins[end]
-            rows = np.repeat(np.arange(end - at), np.diff(self.begins[at : end + 1]))
-            self.sketches[at:end], self.norms[at:end] = self._sketch(rows, self.words[a:b], self.counts[a:b], end - at)
-        # in single precision, a product of sketches is off by less than a part in 10,000: none of its terms is negative
-        self.sketches *= np.float32(1.0001)
-        self.lengths = (self.norms * (1 - 1e-6)).astype(np.float32)
-
-    def _sketch(self, rows: np.ndarray, words: np.ndarray, counts: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
-        width = HEAVY + GROUPS
-        squares = np.bincount(rows * width + self.columns[words], weights=counts.astype(np.float64) ** 2, minlength=many * width).reshape(many, width)
-        return np.sqrt(squares).astype(np.float32), squares.sum(axis=1)
-
-    def _opened(self, rows: np.ndarray) -> np.ndarray:
-        """Squared lengths of rows less twice their products with the query that ``mine`` holds."""
-        begins, ends = self.begins[rows], self.begins[rows + 1]
-        sizes = ends - begins
-        until = np.cumsum(sizes)
-        at = np.repeat(begins - (until - sizes), sizes) + np.arange(until[-1] if len(until) else 0)
-        sums = np.append(0.0, np.cumsum(self.mine[self.words[at]] * self.counts[at]))
-        return self.norms[rows] - 2 * (sums[until] - sums[until - sizes])
-
-    def _nearest(self, bounds: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that hold the ``most`` nearest with all their ties, and their distances, less the query's squared length."""
-        if not most:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        first = np.arange(self.size) if self.size <= FIRST + most else np.argpartition(bounds, FIRST + most)[: FIRST + most]
-        far = np.partition(self._opened(first), most - 1)[most - 1]
-        rows = np.flatnonzero(bounds <= far)
-        rows, at = rows[np.argsort(bounds[rows], kind="stable")], 0
-        opened: list[np.ndarray] = []
-        while at < len(rows) and bounds[rows[at]] <= far:
-            opened.append(self._opened(rows[at : at + AT_ONCE]))
-            at += len(opened[-1])
-            far = min(far, np.partition(np.concatenate(opened), most - 1)[most - 1]) if at >= most else far
-        distance = np.concatenate([np.zeros(0), *opened])
-        near = distance <= far
-        return rows[:at][near], distance[near]
+        words = np.concatenate([np.zeros(0, dtype=np.int64), *[w for w, _, _ in parts]])
+        counts = np.concatenate([np.zeros(0, dtype=np.int32), *[c.astype(np.int32) for _, c, _ in parts]])
+        sizes = np.concatenate([np.zeros(0, dtype=np.int64), *[np.diff(b) for _, _, b in parts]])
+        del parts
+        self.begins = np.append(0, np.cumsum(sizes))
+        norms = np.bincount(np.repeat(np.arange(self.size), sizes), weights=counts.astype(np.float64) ** 2, minlength=self.size)
+        order = np.argsort(norms, kind="stable")
+        self.tiles = []
+        for at in range(0, self.size, FIRST):
+            rows = order[at : at + FIRST]
+            runs = _runs(self.begins[rows], sizes[rows])
+            self.tiles.append(Tile(rows, words[runs], counts[runs], sizes[rows], norms[rows]))
 
     def all_nearest(self, texts: pd.Series, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text, the k rows of smallest squared distance, ties by id, and the distances."""
-        step = max(1, 4 * B.CELLS // max(1, self.size))
-        for begun in range(0, len(texts), step):
-            words, counts, begins = counted(texts.iloc[begun : begun + step].tolist())
+        for begun in range(0, len(texts), SLICE):
+            words, counts, begins = counted(texts.iloc[begun : begun + SLICE].tolist())
             many = len(begins) - 1
-            at = np.searchsorted(self.names, words)
-            held = (at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == words) if len(self.names) else np.zeros(len(words), dtype=bool)
-            rows = np.repeat(np.arange(many), np.diff(begins))
-            own = np.bincount(rows, weights=counts.astype(np.float64) ** 2, minlength=many)
-            bounds = self.lengths - 2 * (self._sketch(rows[held], at[held], counts[held], many)[0] @ self.sketches.T)
-            for i in range(many):
-                mine = slice(begins[i], begins[i + 1])
-                there = at[mine][held[mine]]
-                self.mine[there] = counts[mine][held[mine]]
-                found, distance = self._nearest(bounds[i], min(k, self.size))
-                self.mine[there] = 0
-                best = np.lexsort((ids[found], distance))[:k]
-                yield found[best], distance[best] + own[i]
+            sizes = np.diff(begins)
+            order = np.argsort(np.bincount(np.repeat(np.arange(many), sizes), weights=counts.astype(np.float64) ** 2, minlength=many), kind="stable")
+            found: list = [None] * many
+            for at in range(0, many, AT_ONCE):
+                some = order[at : at + AT_ONCE]
+                runs = _runs(begins[some], sizes[some])
+                queries = Queries(words[runs], counts[runs], sizes[some])
+                middle = np.median(queries.lengths)
+                for tile in sorted(self.tiles, key=lambda t: max(t.least - middle, middle - t.most)):
+                    queries.meet(tile, k)
+                for i, known in zip(some.tolist(), queries.known, strict=True):
+                    rows, distance = (np.concatenate([np.zeros(0, dtype=kind), *[x[j] for x in known]]) for j, kind in ((0, np.int64), (1, np.float64)))
+                    best = np.lexsort((ids[rows], distance))[:k]
+                    found[i] = rows[best], distance[best]
+            yield from found
 
     def nearest(self, text: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k rows nearest to one text."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,10 +137,13 @@ def security_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def component_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component that most of the five nearest texts of the training rows have, for each other row."""
-    rows = _components(spark, sf_dir)
-    training, rest = rows.where(C.in_training(F.col("doc_id"))), rows.where(~C.in_training(F.col("doc_id")))
-    found = N.nearest(training.select(F.col("doc_id").alias("id"), F.col("component").alias("label"), "text"), rest.select(F.col("doc_id").alias("query"), "text"))
-    return rest.select("doc_id", "component").join(N.voted(found).withColumnRenamed("query", "doc_id"), "doc_id", "left")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id is not null")
+    labels = P.component_primary(spark, sf_dir).where("doc_id is not null").persist(StorageLevel.DISK_ONLY)  # worked out once
+    training, rest = docs.where(C.in_training(F.col("doc_id"))), docs.where(~C.in_training(F.col("doc_id")))
+    # the search sends words without labels: they join what is found
+    found = N.nearest(training.select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("label"), "text"), rest.select(F.col("doc_id").alias("query"), "text"))
+    named = found.drop("label").join(labels.select(F.col("doc_id").alias("id"), F.col("component").alias("label")), "id")
+    return labels.where(~C.in_training(F.col("doc_id"))).select("doc_id", "component").join(N.voted(named).withColumnRenamed("query", "doc_id"), "doc_id", "left")
 
 
 def component_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,25 @@ def test_few_copies_of_texts_are_sent(rows, queries):
     assert many * asked >= 12 and rows * asked + queries * many <= 4 * rows
 
 
+@pytest.mark.parametrize("rows", [205_000, 410_000, 820_000])
+def test_no_core_waits_for_the_last_pairs(rows):
+    many, asked = B.grid(rows, rows // 4, N.ROWS, N.QUERIES, 12)
+    assert many * asked / 12 / -(-many * asked // 12) > 0.8 and rows / many <= N.ROWS
+
+
+def test_texts_of_other_lengths_are_left_out(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(N, "FIRST", 50)
+    scored, take = [], N.Queries._take
+    monkeypatch.setattr(N.Queries, "_take", lambda self, i, tile, distance, k: (scored.append(len(distance)), take(self, i, tile, distance, k)))
+    texts = [np.array([rng.randrange(40) for _ in range(10 * 3**n)], dtype=np.int64) for n in range(6) for _ in range(50)]
+    index = N.Index(pd.Series(texts))
+    for n in range(0, 300, 30):
+        scored.clear()
+        at, distance = index.nearest(texts[n], np.arange(300), 5)
+        assert (at[0], distance[0]) == (n, 0) and sum(scored) <= 150
+
+
 def test_scores_at_once_are_bounded():
     for rows, queries in ((20_000, 2_000), (20_000, 10), (3, 2_000), (5_000_000, 3), (0, 4)):
         cut = list(B.slices(queries, rows))
