@@ -44,3 +44,13 @@ def test_no_side_of_recurrence_is_broadcast(spark):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_titles_are_not_cut_into_grams(spark, monkeypatch):
+    # words of titles meet once for all repositories: what is cut into grams doesn't grow with repositories or titles
+    rows = spark.createDataFrame([(i, i % 40, f"Timeout number {i} unimported" if i % 2 else f"timeouts at {i} import") for i in range(400)], "id int, repo int, title string")
+    cut, whole = [], S._postings
+    monkeypatch.setattr(S, "_postings", lambda texts, keys, short: (cut.append(texts), whole(texts, keys, short))[1])
+    got = {r.id: r.earlier for r in D.related(rows).collect()}
+    assert got == {i: min(5, i // 40) for i in range(400)}
+    assert cut and max(t.count() for t in cut) <= 5
