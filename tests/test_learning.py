@@ -75,6 +75,47 @@ def test_classifiers_learn_what_words_tell(spark, name):
     assert got.n > 30 and got.accuracy > 0.95 and got.kappa > 0.9
 
 
+def counted(spark, many):
+    random.seed(6)
+    words = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(many):
+        text = random.choices(words, [1 / (k + 1) for k in range(60)], k=random.randrange(5, 60))
+        rows.append((i, " ".join(text), float((text.count("w0") > 6) ^ ("w5" in text) ^ (random.random() < 0.1))))
+    return C.bag_of_words(columns=256).transform(spark.createDataFrame(rows, "id long, text string, _label double")).select("id", "_label", "features").persist()
+
+
+def test_boosted_trees_are_those_of_sparks_library(spark):
+    from pyspark.ml.classification import GBTClassifier
+
+    from sigmill.operators import boosting
+
+    rows = counted(spark, 600)
+    want = GBTClassifier(labelCol="_label", maxIter=10, maxBins=16, seed=C.SEED).fit(rows)
+    model = boosting.fit(rows, "features", F.when(F.col("_label") == 1, 1.0).otherwise(-1.0), list(range(256)))
+    sure = {r.id: r.rawPrediction[1] for r in want.transform(rows).collect()}
+    found = {r.id: r.sure for r in boosting.margins(rows, "features", ["id"], model, "sure").collect()}
+    assert len(found) == 600 and sum(abs(found[i] - sure[i]) < 1e-6 for i in sure) > 570
+    assert sum((found[i] > 0) != (sure[i] > 0) for i in sure) <= 3
+
+
+def test_boosting_holds_the_words_of_a_text_only(spark):
+    from sigmill.operators import boosting
+
+    rows = counted(spark, 200)
+    binned, bins = boosting._binned(rows, "features", F.when(F.col("_label") == 1, 1.0).otherwise(-1.0), list(range(256)))
+    held = binned.select(F.sum(F.size("slots"))).first()[0]
+    assert 0 < held <= sum(r.features.numNonzeros() for r in rows.collect()) and len(bins.columns) <= 60
+
+
+def test_boosting_tells_more_labels_than_two(spark):
+    random.seed(2)
+    own = {"a": ["alpha", "alpine"], "b": ["beta", "bravo"], "c": ["gamma", "giga"]}
+    rows = [(i, " ".join(random.choices(own[y], k=3) + random.choices(["the", "of"], k=6)), y) for i in range(150) for y in ["abc"[i % 3]]]
+    got = C.agreement(C.predicted(spark.createDataFrame(rows, "id long, text string, y string"), "id", "y", "boosting")).first()
+    assert got.n > 10 and got.accuracy > 0.95
+
+
 def test_one_label_and_agreement(spark):
     rows = spark.createDataFrame([(i, "some words", "only") for i in range(60)], "id long, text string, y string")
     assert C.agreement(C.predicted(rows, "id", "y", "naive_bayes")).first().asDict() | {"n": 0} == {"n": 0, "accuracy": 1.0, "kappa": 0.0}
